@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.nested import dewey_nodes
 from .operators.sessions import sessions
+from .plans import pages
 from .sources.tables import load
 
 
 def p7_sessions(spark: SparkSession, root: str) -> DataFrame:
     rows = load(spark, root, "scrobbles")
-    user = F.lower(F.trim(F.col("user")))
+    user = F.lower(F.regexp_replace("user", r"(?U)^\s+|\s+$", ""))
     return sessions(rows, user, F.unix_timestamp("scrobbled_at"), 1800).withColumnRenamed("entity", "user_key")
 
 
@@ -20,5 +20,21 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return p7_sessions(spark, root).select("user_key", "start_s", "end_s")
 
 
-QUERIES = {"p7_found": p7_found, "p7_sessions": p7_sessions}
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return pages.artist_ids(load(spark, root, "run_metadata"))
+
+
+def p3_pages(spark: SparkSession, root: str) -> DataFrame:
+    return pages.page_table(load(spark, root, "run_metadata"))
+
+
+def p3_tracks(spark: SparkSession, root: str) -> DataFrame:
+    return pages.track_table(load(spark, root, "run_metadata"))
+
+
+def p3_references(spark: SparkSession, root: str) -> DataFrame:
+    return pages.reference_table(load(spark, root, "run_metadata"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_pages": p3_pages, "p3_tracks": p3_tracks, "p3_references": p3_references, "p7_found": p7_found, "p7_sessions": p7_sessions}
 SQL: dict[str, str] = {}

@@ -89,12 +89,11 @@ def flat_table(nodes: DataFrame, path: str, fields: dict[str, str]) -> DataFrame
     at = {f"{path}/{member}": column for column, member in fields.items()}
     kept = nodes.where(F.col("path").isin(path, *at))
     owner = F.slice("label", 1, 2 * depth)
-    own = kept.withColumn("label", F.when(F.col("path") == path, F.col("label")).otherwise(owner))
+    own = kept.withColumn("full", F.col("label")).withColumn("label", F.when(F.col("path") == path, F.col("label")).otherwise(owner))
     first = [
         F.min_by(F.when(F.col("path") == p, F.col("value")), F.when((F.col("path") == p) & F.col("value").isNotNull(), F.col("full"))).alias(c)
         for p, c in at.items()
     ]
-    own = own.withColumn("full", kept["label"])
     return (
         own.groupBy("doc_key", "label")
         .agg(F.max((F.col("path") == path) & (F.col("kind") == "object")).alias("there"), *first)
