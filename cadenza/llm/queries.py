@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import charform, entities
+from ..storage import materialise
+from . import charform, entities, history, plays, repeats
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
@@ -16,5 +18,26 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return entities.same_pairs(entities.link_names(load(spark, root, "artist_profile")))
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found}
+def _plays(spark: SparkSession, root: str) -> DataFrame:
+    clusters = entities.link_names(load(spark, root, "artist_profile"))
+    return plays.play_rows(load(spark, root, "scrobbles"), clusters)
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return history.repeated_deliveries(_plays(spark, root))
+
+
+def p2_runs(spark: SparkSession, root: str) -> DataFrame:
+    """Every run of the same track of a user as one event with its rows and duration."""
+    events = _plays(spark, root).select("row_no", F.col("user").alias("entity"), "t", F.col("artist").alias("item"), F.col("title").alias("text"))
+    runs = repeats.repeated_runs(materialise(events, "events"))
+    return runs.select(F.col("entity").alias("user_key"), "row0", "row1", F.col("n").alias("n_rows"), ((F.col("t1") - F.col("t0")) / F.lit(1_000_000)).cast("bigint").alias("duration_s"))
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    runs = p2_runs(spark, root).where("n_rows > 1")
+    return runs.select(F.least("row0", "row1").alias("row_no_a"), F.greatest("row0", "row1").alias("row_no_b"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p6_found": p6_found}
 SQL: dict[str, str] = {}
