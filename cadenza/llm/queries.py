@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import load
 from ..storage import materialise
-from . import charform, entities, history, plays, repeats
+from . import charform, entities, history, packing, plays, repeats, tokens
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
@@ -39,5 +39,13 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return runs.select(F.least("row0", "row1").alias("row_no_a"), F.greatest("row0", "row1").alias("row_no_b"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p6_found": p6_found}
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    return tokens.token_ids(load(spark, root, "documents"))
+
+
+def p9_pack(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack(tokens.token_counts(load(spark, root, "documents")), 2048)
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_pack": p9_pack, "p1_found": p1_found, "p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p6_found": p6_found}
 SQL: dict[str, str] = {}

@@ -61,15 +61,12 @@ def _version_of(note: str) -> str:
 @lru_cache(400_000)
 def title_key(text: str) -> str:
     """words, version and numbers of a title in its consistent form, joined by a separator."""
-    text = plain(text)
-    base, notes = _split(text)
-    tail = GUEST_TAIL.search(" " + base)
-    if tail and tail.start() > 0:
-        base = base[: tail.start() - 1] if tail.start() > 1 else base
-    elif not tail and (m := GUEST_TAIL.search(base)):
-        base = base[: m.start()]
-    guest = bool(tail)
-    kept = [v for n in reversed(notes) if (v := _version_of(n)) and not (guest and not set(v.split()) & VERSION)]
+    base, notes = _split(plain(text))
+    kept = [_version_of(n) for n in reversed(notes)]
+    if (m := GUEST_TAIL.search(base)) and m.start() > 0:  # notes behind a guest's name may belong to the name
+        base, before = _split(base[: m.start()])
+        kept = [_version_of(n) for n in reversed(before)] + [v for v in kept if set(v.split()) & VERSION]
+    kept = [v for v in kept if v]
     words, numbers = [], []
     raw = re.findall(r"[^\W\d_]+|\d+", re.sub(r"['’`]", "", base)) or [base.strip()]
     for i, w in enumerate(raw):
@@ -94,7 +91,7 @@ def _slips(a: str, b: str, limit: int) -> bool:
     total = 0
     for p, q in zip(x, y, strict=True):
         n = min(len(p), len(q))
-        most = 0 if n < 2 else 1 if n < 6 else 2
+        most = 0 if n < 2 else 1 if n < 7 else 2
         d = near(p, q, most)
         if d > most:
             return False
