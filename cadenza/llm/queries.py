@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from ..storage import materialise
-from . import charform, entities, history, packing, plays, repeats, tokens
+from ..storage import materialise, shared_root
+from . import charform, cooccur, entities, history, packing, plays, repeats, spans, tokens
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
@@ -47,5 +49,44 @@ def p9_pack(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(tokens.token_counts(load(spark, root, "documents")), 2048)
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_pack": p9_pack, "p1_found": p1_found, "p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p6_found": p6_found}
-SQL: dict[str, str] = {}
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    index = spans.FingerprintIndex(spark, f"{shared_root(spark)}/cadenza/index-{uuid.uuid4().hex}")
+    return spans.shared_spans(load(spark, root, "documents"), index)
+
+
+def p10_shares(spark: SparkSession, root: str) -> DataFrame:
+    """How much of each text stands elsewhere too, texts without such stretches and null texts included."""
+    found = p10_found(spark, root).groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum(F.col("span_end") - F.col("span_start")).alias("n_shared"))
+    docs = load(spark, root, "documents").select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("n_chars"))
+    out = docs.join(found, "doc_id", "left").select("doc_id", "n_chars", F.coalesce("n_spans", F.lit(0)).cast("bigint").alias("n_spans"), F.coalesce("n_shared", F.lit(0)).cast("bigint").alias("n_shared"))
+    return out.withColumn("share", F.when(F.col("n_chars") > 0, F.col("n_shared") / F.col("n_chars")).otherwise(F.lit(0.0)))
+
+
+def p5_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """Every pair of tags that some artist carries, with its lift."""
+    pairs = cooccur.pair_counts(load(spark, root, "artist_tags"), F.col("artist_key"), F.col("tag_normalized"))
+    lift = F.col("n_ab") * F.col("n_baskets") / (F.col("n_a") * F.col("n_b"))
+    return pairs.select(F.col("a").alias("tag_a"), F.col("b").alias("tag_b"), "n_a", "n_b", "n_ab", F.round(lift, 6).alias("lift"))
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    pairs = cooccur.pair_counts(load(spark, root, "artist_tags"), F.col("artist_key"), F.col("tag_normalized"), least=5)
+    return cooccur.lifted(pairs, 3).select(F.col("a").alias("tag_a"), F.col("b").alias("tag_b"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p5_found": p5_found, "p5_pairs": p5_pairs,
+    "p6_found": p6_found, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_shares": p10_shares,
+}
+
+BASKETS = """
+WITH b AS (SELECT DISTINCT artist_key, tag_normalized AS tag FROM artist_tags WHERE artist_key IS NOT NULL AND regexp_matches(tag_normalized, '\\S')),
+f AS (SELECT tag, count(*) AS n FROM b GROUP BY tag),
+t AS (SELECT count(DISTINCT artist_key) AS n FROM b),
+p AS (SELECT x.tag AS tag_a, y.tag AS tag_b, count(*) AS n_ab FROM b x JOIN b y ON x.artist_key = y.artist_key AND x.tag < y.tag GROUP BY 1, 2),
+r AS (SELECT tag_a, tag_b, fa.n AS n_a, fb.n AS n_b, n_ab, t.n AS n_baskets FROM p JOIN f fa ON fa.tag = tag_a JOIN f fb ON fb.tag = tag_b CROSS JOIN t)
+"""
+SQL: dict[str, str] = {
+    "p5_found": BASKETS + "SELECT tag_a, tag_b FROM r WHERE n_ab >= 5 AND n_ab * n_baskets >= 3 * n_a * n_b",
+    "p5_pairs": BASKETS + "SELECT tag_a, tag_b, n_a, n_b, n_ab, round(n_ab * n_baskets / (n_a * n_b)::DOUBLE, 6) AS lift FROM r",
+}
