@@ -1,14 +1,254 @@
-"""Queries by name, and the SQL they are compared with."""
+"""Queries by name. Each reads the tables under a folder; times come out as text so that any engine's result compares."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .catalog_sql import SQL  # noqa: F401
+from .functions.calendar import Period, local_time
+from .functions.text import artist_key, event_id
+from .operators import dedup
 from .operators.sessions import sessions
-from .plans import pages
+from .plans import consumer, enriched, enrichment, gold, pages, silver
+from .sources.landing import complete, latest_incomplete
 from .sources.tables import load
 
+#: Three stretches inside the test tables' time, two places.
+_EDGES = [datetime(2019, 6, 1, 3, tzinfo=timezone.utc), datetime(2020, 9, 15, 22, tzinfo=timezone.utc)]
+PERIODS = [
+    Period("first_home", "Argentina", "America/Argentina/Cordoba", None, _EDGES[0]),
+    Period("abroad", "France", "Europe/Paris", *_EDGES),
+    Period("second_home", "Argentina", "America/Argentina/Cordoba", _EDGES[1], None),
+]
+CURRENT_YEAR = 2021
+SPLIT_RUN = "2020"  # runs before it count as processed
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Times and dates as text."""
+    out = {}
+    for f in df.schema:
+        if isinstance(f.dataType, T.DateType):
+            out[f.name] = F.date_format(f.name, "yyyy-MM-dd")
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            out[f.name] = F.date_format(f.name, "yyyy-MM-dd HH:mm:ss")
+    return df.withColumns(out) if out else df
+
+
+def events(spark: SparkSession, root: str) -> DataFrame:
+    return silver.landed(load(spark, root, "scrobbles"))
+
+
+def _base(spark: SparkSession, root: str) -> DataFrame:
+    return gold.base(gold.prepare(events(spark, root)))
+
+
+def _with_artists(spark: SparkSession, root: str) -> DataFrame:
+    return enriched.with_artists(events(spark, root), load(spark, root, "artist_profile"), validate=False)
+
+
+def _weights(spark: SparkSession, root: str) -> DataFrame:
+    return enriched.tag_weights(load(spark, root, "artist_tags"), load(spark, root, "tag_taxonomy"))
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Sums of fractions depend on their order in the last digits."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def silver_events(spark, root):
+    return plain(events(spark, root).select("scrobble_id", "scrobbled_at", "bronze_run_id", "bronze_page", "row_no"))
+
+
+def silver_merge_incremental(spark, root):
+    rows = load(spark, root, "scrobbles").where("user is not null and scrobbled_at is not null")
+    order = ["scrobbled_at", "bronze_run_id", "bronze_page", "row_no"]
+    old = dedup.keep_first(rows.where(F.col("bronze_run_id") < SPLIT_RUN), ["scrobble_id"], order)
+    merged = dedup.merge_first(old, rows.where(F.col("bronze_run_id") >= SPLIT_RUN), ["scrobble_id"], order)
+    return plain(merged.select("scrobble_id", "bronze_run_id", "bronze_page", "row_no"))
+
+
+def unprocessed_runs(spark, root):
+    done = load(spark, root, "scrobbles").where(F.col("bronze_run_id") < SPLIT_RUN).select(F.col("bronze_run_id").alias("run_id"))
+    return dedup.absent(load(spark, root, "run_metadata").select("run_id", "mode", "status"), done.distinct(), ["run_id"])
+
+
+def landed_runs(spark, root):
+    seen = load(spark, root, "scrobbles").select(F.col("bronze_run_id").alias("run_id")).distinct()
+    return dedup.present(load(spark, root, "run_metadata").select("run_id", "mode", "status"), seen, ["run_id"])
+
+
+def completed_runs(spark, root):
+    return complete(load(spark, root, "run_metadata")).select("run_id", "started_at", "expected_pages")
+
+
+def latest_incomplete_backfill(spark, root):
+    return latest_incomplete(load(spark, root, "run_metadata")).select("run_id", "started_at", "status")
+
+
+def watermark(spark, root):
+    """Over completed runs only: a failed run must not move it past events that were never taken in."""
+    runs = completed_runs(spark, root).select(F.col("run_id").alias("bronze_run_id"))
+    rows = dedup.present(load(spark, root, "scrobbles"), runs, ["bronze_run_id"])
+    return rows.agg(F.max(F.unix_timestamp("scrobbled_at")).alias("watermark"))
+
+
+def payload_tracks(spark, root):
+    """Records in the runs' payloads by outcome: completed, now playing, or why rejected."""
+    runs = load(spark, root, "run_metadata").select("run_id", "payload")
+    doc = F.try_variant_get(F.try_parse_json("payload"), "$.pages", "array<variant>")
+    docs = runs.select("run_id", F.posexplode(doc).alias("page", "d")).select("run_id", "page", F.to_json("d").alias("document"))
+    return silver.read_tracks(silver.flatten(docs)).groupBy(F.coalesce("reason", F.lit("completed")).alias("outcome")).agg(F.count("*").alias("n_records"))
+
+
+def reject_reasons(spark, root):
+    rows = load(spark, root, "scrobbles")
+    missing = F.concat_ws(",", *[F.when(F.trim(F.coalesce(c, F.lit(""))) == "", F.lit(c)) for c in ("user", "artist_name", "track_name")])
+    reason = F.when(F.col("scrobbled_at").isNull(), "invalid_scrobble_timestamp").when(missing != "", F.concat(F.lit("missing_required:"), missing)).otherwise("accepted")
+    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n_rows"))
+
+
+def event_ids(spark, root):
+    rows = load(spark, root, "scrobbles").where("user is not null and scrobbled_at is not null")
+    return rows.select("row_no", event_id("user", "artist_name", "track_name", F.unix_timestamp("scrobbled_at")).alias("event_id"))
+
+
+def artist_keys(spark, root):
+    return load(spark, root, "scrobbles").select("artist_name").distinct().select("artist_name", artist_key("artist_name").alias("artist_key"))
+
+
+def artist_bridge(spark, root):
+    j = _with_artists(spark, root)
+    return j.groupBy("resolution_status").agg(F.count("*").alias("n_events"), F.count_distinct("artist_key").alias("n_artists"))
+
+
+def silver_profile(spark, root):
+    return plain(silver.profile(events(spark, root)))
+
+
+def listening_patterns(spark, root):
+    return gold.listening_patterns(gold.prepare(events(spark, root)))
+
+
+def gold_profile(spark, root):
+    ev = events(spark, root)
+    return gold.profile(ev, gold.build_marts(ev))
+
+
+def tag_weights(spark, root):
+    return _weights(spark, root)
+
+
+def artist_profile(spark, root):
+    return plain(enriched.artist_profile(_with_artists(spark, root), _weights(spark, root)))
+
+
+def genre_evolution(spark, root):
+    return _rounded(enriched.genre_evolution(_with_artists(spark, root), _weights(spark, root)), "weighted_scrobbles", "share_of_year", "genre_tag_coverage")
+
+
+def _evolution(spark, root):
+    return enriched.artist_evolution(_with_artists(spark, root))
+
+
+def artist_evolution(spark, root):
+    return plain(_evolution(spark, root))
+
+
+def era_comparison(spark, root):
+    return enriched.era_comparison(_with_artists(spark, root), CURRENT_YEAR)
+
+
+def local_times(spark, root):
+    cols = ["scrobble_id", "timezone_period", "location", "timezone_name", "scrobbled_at_local", "local_date", "local_year", "local_month", "local_day", "local_hour", "local_weekday"]
+    return plain(local_time(events(spark, root), PERIODS).select(*cols))
+
+
+def _time_patterns(spark, root):
+    return enriched.time_patterns(local_time(_with_artists(spark, root), PERIODS))
+
+
+def entities(spark, root):
+    return plain(enrichment.entities(events(spark, root)))
+
+
+def top_entities(spark, root):
+    return plain(enrichment.by_volume(enrichment.entities(events(spark, root)), 50))
+
+
+def coverage(spark, root):
+    return enrichment.coverage(events(spark, root), load(spark, root, "artist_profile"), load(spark, root, "artist_tags"))
+
+
+def enriched_coverage(spark, root):
+    return enriched.coverage(_with_artists(spark, root), _weights(spark, root))
+
+
+def resolve_candidates(spark, root):
+    """Each unresolved artist's candidates are the resolved artists whose canonical name has the same first word; the score is
+    made of the lengths of both names, so that every branch of the resolution occurs."""
+    a = load(spark, root, "artist_profile")
+    word = lambda c: F.lower(F.substring_index(c, " ", 1))
+    asked = a.where("resolution_status <> 'resolved'").select("artist_key", F.col("source_artist_name").alias("name"))
+    known = a.where("resolution_status = 'resolved' and canonical_name is not null and length(canonical_name) % 7 = 3")
+    known = known.select(F.col("artist_key").alias("id"), F.col("canonical_name").alias("cand"), word(F.col("canonical_name")).alias("w"))
+    pairs = asked.withColumn("w", word(F.col("name"))).join(known, "w")
+    score = F.when(F.length("cand") == F.length("name"), 95).otherwise(50)
+    cands = pairs.select("artist_key", "id", F.col("cand").alias("name"), F.lit(None).cast("string").alias("sort_name"), score.alias("score"), F.array().cast("array<string>").alias("aliases"))
+    return enrichment.resolve(asked, cands)
+
+
+def dashboard_top_artists(spark, root):
+    return consumer.top_artists(enriched.artist_profile(_with_artists(spark, root), _weights(spark, root)))
+
+
+def dashboard_genres(spark, root):
+    return consumer.genre_families(enriched.genre_evolution(_with_artists(spark, root), _weights(spark, root)))
+
+
+def dashboard_genre_view(spark, root):
+    families = [r[0] for r in load(spark, root, "tag_taxonomy").select("genre_family").where("genre_family is not null").distinct().orderBy("genre_family").limit(6).collect()]
+    return consumer.genre_view(genre_evolution(spark, root), families)
+
+
+def dashboard_name_history(spark, root):
+    e = _evolution(spark, root)
+    return consumer.name_history(e, consumer.busiest_names(e))
+
+
+def dashboard_lifecycle(spark, root):
+    return consumer.lifecycle_counts(_evolution(spark, root))
+
+
+def dashboard_heatmap(spark, root):
+    return consumer.heatmap(_time_patterns(spark, root))
+
+
+def dashboard_locations(spark, root):
+    return consumer.by_location(_time_patterns(spark, root))
+
+
+def _geography(spark, root):
+    return enriched.geography_evolution(_with_artists(spark, root))
+
+
+def dashboard_countries(spark, root):
+    return consumer.by_country(_geography(spark, root))
+
+
+def _insight(name: str):
+    def run(spark, root):
+        ev = _with_artists(spark, root)
+        marts = {"genre_evolution": _rounded(enriched.genre_evolution(ev, _weights(spark, root)), "weighted_scrobbles", "share_of_year"), "concentration": enriched.concentration(ev), "diversity": enriched.diversity(ev)}
+        return consumer.insights(marts)[name]
+
+    return run
+
 
 def p7_sessions(spark: SparkSession, root: str) -> DataFrame:
     rows = load(spark, root, "scrobbles")
@@ -20,21 +260,33 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return p7_sessions(spark, root).select("user_key", "start_s", "end_s")
 
 
-def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    return pages.artist_ids(load(spark, root, "run_metadata"))
-
-
-def p3_pages(spark: SparkSession, root: str) -> DataFrame:
-    return pages.page_table(load(spark, root, "run_metadata"))
+def _runs(builder):
+    return lambda spark, root: builder(load(spark, root, "run_metadata"))
 
 
-def p3_tracks(spark: SparkSession, root: str) -> DataFrame:
-    return pages.track_table(load(spark, root, "run_metadata"))
+def _from_base(builder):
+    return lambda spark, root: plain(builder(_base(spark, root)))
 
 
-def p3_references(spark: SparkSession, root: str) -> DataFrame:
-    return pages.reference_table(load(spark, root, "run_metadata"))
+def _from_artists(builder):
+    return lambda spark, root: builder(_with_artists(spark, root))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pages": p3_pages, "p3_tracks": p3_tracks, "p3_references": p3_references, "p7_found": p7_found, "p7_sessions": p7_sessions}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "listening_yearly": _from_base(gold.listening_yearly), "listening_daily": _from_base(gold.listening_daily), "listening_monthly": _from_base(gold.listening_monthly),
+    "artist_stats": _from_base(gold.artist_stats), "track_stats": _from_base(gold.track_stats), "discovery": _from_base(gold.discovery),
+    "listening_patterns": listening_patterns, "streaks": _from_base(gold.listening_streaks), "gold_profile": gold_profile,
+    "silver_events": silver_events, "silver_merge_incremental": silver_merge_incremental, "unprocessed_runs": unprocessed_runs, "landed_runs": landed_runs,
+    "completed_runs": completed_runs, "latest_incomplete_backfill": latest_incomplete_backfill, "watermark": watermark, "payload_tracks": payload_tracks,
+    "reject_reasons": reject_reasons, "event_ids": event_ids, "artist_keys": artist_keys, "artist_bridge": artist_bridge, "silver_profile": silver_profile,
+    "tag_weights": tag_weights, "artist_profile": artist_profile, "genre_evolution": genre_evolution, "artist_evolution": artist_evolution,
+    "concentration": _from_artists(enriched.concentration), "diversity": _from_artists(enriched.diversity), "discovery_enriched": _from_artists(enriched.discovery_enriched),
+    "geography_evolution": _geography, "time_patterns": _time_patterns, "local_time": local_times, "era_comparison": era_comparison, "entities": entities,
+    "top_entities": top_entities, "coverage": coverage, "enriched_coverage": enriched_coverage, "resolve_candidates": resolve_candidates,
+    "dashboard_top_artists": dashboard_top_artists, "dashboard_genres": dashboard_genres, "dashboard_genre_view": dashboard_genre_view,
+    "dashboard_name_history": dashboard_name_history, "dashboard_lifecycle": dashboard_lifecycle, "dashboard_heatmap": dashboard_heatmap,
+    "dashboard_locations": dashboard_locations, "dashboard_countries": dashboard_countries,
+    "insight_genres": _insight("top_genre_years"), "insight_concentration": _insight("highest_concentration"), "insight_diversity": _insight("highest_artist_diversity"),
+    "p3_found": _runs(pages.artist_ids), "p3_pages": _runs(pages.page_table), "p3_tracks": _runs(pages.track_table), "p3_references": _runs(pages.reference_table),
+    "p7_found": p7_found, "p7_sessions": p7_sessions,
+}
