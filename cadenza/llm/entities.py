@@ -171,20 +171,42 @@ def average_linkage(n: int, pairs: list[tuple[int, int, float]], least: float, a
         of = [i if c == j else c for c in of]
 
 
-def _link_component(least: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        none = lambda x: None if pd.isna(x) else x
+def _link_components(least: float):
+    """Clusters of whole components; rows arrive sorted by component, and a component is never cut."""
+
+    def clusters(rows: list[tuple]) -> list[tuple[int, int]]:
         known = {}
-        for s in "ab":
-            known |= {u: tuple(map(none, t)) for u, *t in pdf[[s, *[f"{c}_{s}" for c in ATTRS]]].itertuples(index=False)}
+        for r in rows:
+            known[r[1]], known[r[2]] = r[4:7], r[7:10]
         items = sorted(known)
         at = {u: i for i, u in enumerate(items)}
-        of = average_linkage(len(items), [(at[a], at[b], s) for a, b, s in zip(pdf.a, pdf.b, pdf.sim, strict=True)], least, [known[u] for u in items])
-        return pd.DataFrame({"unit": items, "cluster": [items[c] for c in of]})
+        of = average_linkage(len(items), [(at[r[1]], at[r[2]], r[3]) for r in rows], least, [known[u] for u in items])
+        return [(u, items[c]) for u, c in zip(items, of, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        done: list[tuple[int, int]] = []
+        for b in batches:
+            for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if held and held[0][0] != r[0]:
+                    done += clusters(held)
+                    held = []
+                held.append(r)
+            if len(done) > 10_000:
+                yield _pairs(done)
+                done = []
+        if held:
+            done += clusters(held)
+        if done:
+            yield _pairs(done)
 
     return run
 
 
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["unit", "cluster"])
+
+
 def linkage_rounds(units: DataFrame, edges: DataFrame, least: float) -> DataFrame:
     """(unit, cluster): the same clustering for components of any size. In each round every cluster whose best partner has
     it as its best partner merges with it; for average linkage that gives what merging one pair at a time gives."""
@@ -228,7 +250,9 @@ def link_names(
     sizes = comp.groupBy("component").agg(F.count("*").alias("units"))
     comp = comp.join(sizes, "component")
     tagged = materialise(edges.join(comp.withColumnRenamed("v", "a"), "a"), "tagged")
-    small = tagged.where(F.col("units") <= large).groupBy("component").applyInPandas(_link_component(link), "unit bigint, cluster bigint")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranked = tagged.where(F.col("units") <= large).select("component", "a", "b", "sim", *[f"{c}_{s}" for s in "ab" for c in ATTRS])
+    small = ranked.repartition(parts, "component").sortWithinPartitions("component").mapInArrow(_link_components(link), "unit bigint, cluster bigint")
     big = tagged.where(F.col("units") > large)
     clusters = small
     if not big.isEmpty():
