@@ -107,16 +107,15 @@ def word_cost(a: str, b: str) -> float:
 def agree(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     """Cost of laying the tokens of one name on those of the other, one to one; 9 if some token finds no partner.
 
-    Tokens written together or apart ("Vejan-Bikan", "VejanBikan") are compared as one string. Two initials, or an initial
-    without any other full word in common, say nothing.
+    Names of different numbers of tokens are different. At most one token may begin with another letter, and some token
+    must be a full word on both sides.
     """
     if a == b:
         return 0.0
-    ja, jb = "".join(a), "".join(b)
     if len(a) != len(b):
-        return 0.3 if sorted(ja) == sorted(jb) and len(ja) > 5 else 9.0
+        return 9.0
     left = list(b)
-    total, strong = 0.0, 0
+    total, strong, heads = 0.0, 0, 0
     for x in sorted(a, key=len, reverse=True):
         cost, at = min((word_cost(x, y), i) for i, y in enumerate(left))
         if cost >= 9:
@@ -124,7 +123,16 @@ def agree(a: tuple[str, ...], b: tuple[str, ...]) -> float:
         y = left.pop(at)
         total += cost
         strong += min(len(x), len(y)) > 3
-    return total if strong and total <= 1.1 else 9.0
+        heads += x[:1] != y[:1]
+    return total if strong and heads < 2 and total <= 1.1 else 9.0
+
+
+def head_mask(form: str) -> int:
+    """A bit for each letter that begins a token: forms that agree differ in two bits at most."""
+    mask = 0
+    for token in form.split(" "):
+        mask |= 1 << (ord(token[0]) % 63 if token else 0)
+    return mask
 
 
 def reduced(col: pa.Array) -> tuple[list[tuple[tuple[str, ...], str] | None], pa.Array]:
