@@ -22,7 +22,7 @@ from .graph import components
 from .rolling import Ranges
 from .titles import same_title
 
-WINDOW, MASK, COVERAGE = 4, np.uint64(7), 0.2
+WINDOW, MASK, COVERAGE = 4, np.uint64(15), 0.2
 SECOND = 1_000_000
 
 
@@ -47,30 +47,34 @@ def cut(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        record, start, stop, h = cut(*utf8(b.column(1)))
-        take = pa.array(record)
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0).take(take), b.column(2).take(take), pa.array(h.view(np.int64)), pa.array((stop - start).astype(np.int32))], ["did", "ctx", "h", "bytes"]
-        )
+        record, start, stop, h = cut(*utf8(b.column(2)))
+        _, once = np.unique(np.stack([record.view(np.uint64), h]), axis=1, return_index=True)  # a chunk counts once in a record
+        take = pa.array(record[once])
+        size = pa.array((stop - start)[once].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(h[once].view(np.int64)), size], ["did", "c", "h", "bytes"])
 
 
 def chunk_table(records: DataFrame) -> DataFrame:
-    """(chunk, did, bytes) of records (did, content, ctx array<bigint>): a chunk counts once for each context and record."""
-    rows = records.select("did", "content", "ctx").mapInArrow(_chunk_rows, "did bigint, ctx array<bigint>, h bigint, bytes int")
-    return rows.select("did", "h", "bytes", F.explode("ctx").alias("c")).select(F.xxhash64("c", "h").alias("chunk"), "did", "bytes").distinct()
+    """(chunk, did, bytes) of records (did, c, content): the chunks of a record, bound to its context c."""
+    rows = records.select("did", "c", "content").mapInArrow(_chunk_rows, "did bigint, c bigint, h bigint, bytes int")
+    return rows.select(F.xxhash64("c", "h").alias("chunk"), "did", "bytes")
 
 
 def shared_bytes(new: DataFrame, old: DataFrame) -> DataFrame:
-    """(did_a, did_b, shared) of records of ``old`` and ``new`` with a common chunk, as byte totals."""
-    a, b = old.select("chunk", F.col("did").alias("did_a")), new.select("chunk", F.col("did").alias("did_b"), "bytes")
-    return a.join(b, "chunk").where("did_a <> did_b").groupBy("did_a", "did_b").agg(F.sum("bytes").alias("shared"))
+    """(did_a, did_b, shared) of records of ``old`` and ``new`` with a common chunk, as byte totals. Records that share both
+    of their contexts count twice; that only makes the filter wider."""
+    pair = new.alias("y").join(old.alias("x"), "chunk").where("x.did <> y.did")
+    return pair.groupBy(F.col("x.did").alias("did_a"), F.col("y.did").alias("did_b")).agg(F.sum("y.bytes").alias("shared"))
 
 
 def distinct_plays(rows: DataFrame) -> DataFrame:
-    """(did, user, t, artist, title, size, content, ctx): one record for all rows that are equal in these columns."""
-    d = rows.select("did", "user", "t", "artist", "title").dropDuplicates(["did"])
-    content = F.concat(F.hex("artist"), F.lit("\x1f"), F.col("title"))
-    return d.withColumns({"content": content, "size": F.octet_length(content)})
+    """(did, user, t, artist, title): one record for all rows that are equal in these columns."""
+    return rows.select("did", "user", "t", "artist", "title").dropDuplicates(["did"])
+
+
+def content():
+    """The text of a record that is cut into chunks."""
+    return F.concat(F.hex("artist"), F.lit("\x1f"), F.col("title"))
 
 
 def contexts(within_s: int):
@@ -80,6 +84,18 @@ def contexts(within_s: int):
     return F.array(F.xxhash64("user", F.lit(0), window(F.col("t"))), F.xxhash64("user", F.lit(1), window(F.col("t") + F.lit(half))))
 
 
+def in_context(plays: DataFrame, within_s: int) -> DataFrame:
+    """(did, c, content): each record in each of its contexts."""
+    return plays.select("did", content().alias("content"), F.explode(contexts(within_s)).alias("c"))
+
+
+def meeting(plays: DataFrame, within_s: int) -> DataFrame:
+    """The same for the contexts that hold two or more records only: nothing can be shared in the others."""
+    at = plays.select("did", F.explode(contexts(within_s)).alias("c"))
+    busy = at.groupBy("c").agg(F.min("did").alias("i"), F.max("did").alias("j")).where("i < j").select("c")
+    return at.join(busy, "c").join(plays.select("did", content().alias("content")), "did")
+
+
 def _same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         yield b.loc[[same_title(x, y) for x, y in zip(b.title_a, b.title_b, strict=True)], ["a", "b"]]
@@ -87,7 +103,7 @@ def _same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def same_plays(pairs: DataFrame, old: DataFrame, new: DataFrame, within_s: int, coverage: float = COVERAGE) -> DataFrame:
     """(a, b): pairs whose shared bytes cover enough of the smaller record and that pass the exact check."""
-    side = lambda d, s: d.select(*[F.col(c).alias(f"{c}_{s}") for c in ("did", "user", "t", "artist", "title", "size")])
+    side = lambda d, s: d.select(*[F.col(c).alias(f"{c}_{s}") for c in ("did", "user", "t", "artist", "title")], F.octet_length(content()).alias(f"size_{s}"))
     both = pairs.join(side(old, "a"), "did_a").join(side(new, "b"), "did_b")
     both = both.where((F.col("shared") >= coverage * F.least("size_a", "size_b")) & (F.abs(F.col("t_a") - F.col("t_b")) <= within_s * SECOND))
     both = both.where("user_a = user_b and artist_a = artist_b")
@@ -99,10 +115,12 @@ def repeated_deliveries(rows: DataFrame, within_s: int = 30) -> DataFrame:
     of the lowest number. Rows equal in user, time, artist and title are one record before chunks are made, so that a play
     delivered without end costs one record; equal deliveries of one run are no cases."""
     rows = materialise(rows.withColumn("did", F.xxhash64("user", "t", "artist", "title")), "rows")
-    plays = materialise(distinct_plays(rows).withColumn("ctx", contexts(within_s)), "plays")
-    chunks = chunk_table(plays)
-    pairs = shared_bytes(chunks, chunks).where("did_a < did_b")
-    linked = components(same_plays(pairs, plays, plays, within_s)).select(F.col("v").alias("did"), "component")
+    plays = distinct_plays(rows)
+    chunks = chunk_table(meeting(plays, within_s))
+    pairs = materialise(shared_bytes(chunks, chunks).where("did_a < did_b"), "pairs")
+    ends = pairs.select(F.col("did_a").alias("did")).unionByName(pairs.select(F.col("did_b").alias("did"))).distinct()
+    few = materialise(distinct_plays(rows.join(ends, "did", "left_semi")), "plays")
+    linked = components(same_plays(pairs, few, few, within_s)).select(F.col("v").alias("did"), "component")
     of = rows.select("did", "row_no", "run").join(linked, "did", "left").select("row_no", "run", F.coalesce("component", "did").alias("play"))
     first = of.groupBy("play").agg(F.min("row_no").alias("row_no_a"), F.min("run").alias("first_run"), F.max("run").alias("last_run")).where("first_run < last_run")
     return of.join(first, "play").where("run > first_run and row_no > row_no_a").select("row_no_a", F.col("row_no").alias("row_no_b"))
@@ -118,8 +136,8 @@ class ChunkHistory:
         """(row_no, run, did, known): known is the record of the history, or an earlier record of the batch, that the row
         delivers again, else null. Reads only the history's rows with a chunk of the batch, not the plays themselves."""
         rows = materialise(batch.withColumn("did", F.xxhash64("user", "t", "artist", "title")), "rows")
-        new = materialise(distinct_plays(rows).withColumn("ctx", contexts(self.within_s)), "plays")
-        chunks = materialise(chunk_table(new), "chunks")
+        new = materialise(distinct_plays(rows), "plays")
+        chunks = materialise(chunk_table(in_context(new, self.within_s)), "chunks")
         old, old_chunks = load_or_none(self.spark, f"{self.path}/records"), load_or_none(self.spark, f"{self.path}/chunks")
         self._pending = (new, chunks)
         links = same_plays(shared_bytes(chunks, chunks).where("did_a < did_b"), new, new, self.within_s)
