@@ -77,14 +77,14 @@ def saved_pages(folder: Path) -> list[int]:
 
 def runs(spark: SparkSession, root: str) -> DataFrame:
     """State documents of all runs; a damaged one is a row of nulls with its folder."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", STATE).text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", STATE).text(root, wholetext=True)
     doc = F.from_json("value", RUNS)
     return files.select(doc.alias("d"), F.regexp_extract(F.input_file_name(), r"(.*)/[^/]+$", 1).alias("folder")).select("d.*", "folder")
 
 
 def page_files(spark: SparkSession, root: str) -> DataFrame:
     """(folder, page, document) of all page files."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "page_*.json").text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "page_*.json").text(root, wholetext=True)
     path = F.input_file_name()
     number = F.regexp_extract(path, r"/page_(\d{4,})\.json$", 1)
     rows = files.select(F.regexp_extract(path, r"(.*)/[^/]+$", 1).alias("folder"), number.alias("p"), F.col("value").alias("document"))
