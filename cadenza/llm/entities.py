@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 from .graph import components
-from .names import agree, head_mask, reduced
+from .names import MOST_SLIPS, agree, reduced, shape
 
 GRAM, COSINE, LINK, LARGE = 4, 0.35, 0.4, 2000
+SHAPE = ["heads", "letters", "size", "loose"]
 
 
 def _reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,41 +51,41 @@ def name_rows(df: DataFrame, key: str, name: str, canonical: str, ident: str, co
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        ids, grams, counts, heads = [], [], [], []
+        ids, grams, counts, shapes = [], [], [], []
         for i, form in zip(b.fid, b.form, strict=True):
             found = Counter(p[k : k + GRAM] for w in form.split(" ") for p in (f" {w} ",) for k in range(max(1, len(p) - GRAM + 1)))
             ids += [i] * len(found)
             grams += found.keys()
             counts += found.values()
-            heads += [head_mask(form)] * len(found)
-        yield pd.DataFrame({"fid": ids, "gram": grams, "tf": counts, "heads": heads})
+            shapes += [shape(form)] * len(found)
+        yield pd.DataFrame({"fid": ids, "gram": grams, "tf": counts}).join(pd.DataFrame(shapes, columns=SHAPE))
 
 
 def _prefixes(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, heads, parts in zip(b.fid, b.heads, b.parts, strict=True):
+            for i, *looks, parts in zip(b.fid, *[b[c] for c in SHAPE], b.parts, strict=True):
                 parts = sorted(((x["df"], x["gram"], x["w"]) for x in parts))
                 w = np.array([p[2] for p in parts])
                 w /= math.sqrt(float((w * w).sum())) or 1.0
                 rest = np.sqrt(np.concatenate([np.cumsum((w * w)[::-1])[::-1], [0.0]]))
                 n = int((rest[:-1] >= least - 1e-9).sum())
-                out.append((i, heads, [p[1] for p in parts], w.tolist(), n, float(rest[n])))
-            yield pd.DataFrame(out, columns=["fid", "heads", "grams", "weights", "n", "rest"])
+                out.append((i, *looks, [p[1] for p in parts], w.tolist(), n, float(rest[n])))
+            yield pd.DataFrame(out, columns=["fid", *SHAPE, "grams", "weights", "n", "rest"])
 
     return run
 
 
 def vectors(forms: DataFrame, least: float) -> DataFrame:
-    """(fid, form, nt, heads, grams, weights, n, rest): unit vectors, rarest n-gram first; the first n make the postings, the rest
+    """(fid, form, nt, heads, letters, size, loose, grams, weights, n, rest): unit vectors, rarest n-gram first; the first n make the postings, the rest
     of the vector has the length ``rest`` < ``least``."""
     total = forms.count()
-    grams = materialise(forms.mapInPandas(_grams, "fid bigint, gram string, tf int, heads bigint"), "grams")
+    grams = materialise(forms.mapInPandas(_grams, "fid bigint, gram string, tf int, heads bigint, letters bigint, size int, loose boolean"), "grams")
     df = grams.groupBy("gram").agg(F.count("*").alias("df"))
     part = F.struct("df", "gram", (F.col("tf") * F.log(1 + F.lit(float(total)) / F.col("df"))).alias("w"))
-    by_form = grams.join(df, "gram").groupBy("fid").agg(F.collect_list(part).alias("parts"), F.first("heads").alias("heads"))
-    vec = by_form.mapInPandas(_prefixes(least), "fid bigint, heads bigint, grams array<string>, weights array<double>, n int, rest double")
+    by_form = grams.join(df, "gram").groupBy("fid").agg(F.collect_list(part).alias("parts"), *[F.first(c).alias(c) for c in SHAPE])
+    vec = by_form.mapInPandas(_prefixes(least), "fid bigint, heads bigint, letters bigint, size int, loose boolean, grams array<string>, weights array<double>, n int, rest double")
     return materialise(vec.join(forms, "fid").withColumn("nt", F.size(F.split("form", " "))), "vectors")
 
 
@@ -103,14 +104,16 @@ def similar_forms(vec: DataFrame, least: float = COSINE) -> DataFrame:
     """(fa, fb, sim), fa < fb: forms of as many tokens with a cosine of at least ``least`` whose tokens agree.
 
     The products of common prefix n-grams plus the largest possible product of the rests bound a pair's cosine from above.
-    Pairs whose tokens begin with too many different letters cannot agree and leave the join at once.
+    Pairs whose shapes differ too much cannot agree and leave the join at once.
     """
     parts = F.arrays_zip(F.slice("grams", 1, F.col("n")).alias("g"), F.slice("weights", 1, F.col("n")).alias("w"))
-    post = vec.select("fid", "nt", "heads", F.explode(parts).alias("p")).select("fid", "nt", "heads", F.col("p.g").alias("g"), F.col("p.w").cast("float").alias("w"))
-    a, b = (post.select("g", "nt", *[F.col(c).alias(f"{c}_{s}") for c in ("fid", "heads", "w")]) for s in "ab")
+    post = vec.select("fid", "nt", *SHAPE, F.explode(parts).alias("p")).select("fid", "nt", *SHAPE, F.col("p.g").alias("g"), F.col("p.w").cast("float").alias("w"))
+    a, b = (post.select("g", "nt", *[F.col(c).alias(f"{c}_{s}") for c in ("fid", *SHAPE, "w")]) for s in "ab")
+    bits = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
+    close = (F.abs(F.col("size_a") - F.col("size_b")) <= MOST_SLIPS) & (bits("letters") <= 2 * MOST_SLIPS)
     pairs = (
         a.join(b, ["g", "nt"])
-        .where((F.col("fid_a") < F.col("fid_b")) & (F.bit_count(F.col("heads_a").bitwiseXOR(F.col("heads_b"))) <= 2))
+        .where((F.col("fid_a") < F.col("fid_b")) & (bits("heads") <= 2) & (close | F.col("loose_a") | F.col("loose_b")))
         .groupBy("fid_a", "fid_b")
         .agg(F.sum(F.col("w_a") * F.col("w_b")).alias("dot"))
         .where(F.col("dot") >= least - least * least - 1e-4)

@@ -34,6 +34,7 @@ FULL: dict[str, set[str]] = {}
 for _full, _names in NICKNAMES.items():
     for _n in _names.split():
         FULL.setdefault(_n, set()).add(_full)
+MOST_SLIPS = 3
 DROPPED = {"the", "thee", "tthe", "thhe", "teh", "hte", "and", "annd", "aand", "adn", "nad", "andd"}
 
 
@@ -127,14 +128,26 @@ def agree(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     return total if strong and heads < 2 and total <= 1.1 else 9.0
 
 
-def head_mask(form: str) -> int:
-    """A bit for each letter that begins a token: forms that agree differ in two bits at most."""
+def _mask(chars) -> int:
     mask = 0
-    for token in form.split(" "):
-        mask |= 1 << (ord(token[0]) % 63 if token else 0)
+    for c in chars:
+        mask |= 1 << (ord(c) % 63)
     return mask
 
 
+def shape(form: str) -> tuple[int, int, int, bool]:
+    """(heads, letters, size, loose): bits of the letters that begin tokens, bits of all letters, number of letters, and
+    whether a token is an initial or a nickname.
+
+    Of forms that agree at most one token begins with another letter, so their heads differ in two bits at most; if neither
+    is loose they are at most MOST_SLIPS edits apart, so their sizes differ by that much and their letters in twice as many
+    bits at most.
+    """
+    tokens = [t for t in form.split(" ") if t]
+    joined = "".join(tokens)
+    return _mask(t[0] for t in tokens), _mask(joined), len(joined), any(len(t) == 1 or t in NICK for t in tokens)
+
+
 def reduced(col: pa.Array) -> tuple[list[tuple[tuple[str, ...], str] | None], pa.Array]:
     form, _ = normal_form(col)
     return [reduce_name(x) if x is not None else None for x in form.to_pylist()], form
