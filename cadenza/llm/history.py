@@ -89,11 +89,13 @@ def in_context(plays: DataFrame, within_s: int) -> DataFrame:
     return plays.select("did", content().alias("content"), F.explode(contexts(within_s)).alias("c"))
 
 
-def meeting(plays: DataFrame, within_s: int) -> DataFrame:
-    """The same for the contexts that hold two or more records only: nothing can be shared in the others."""
-    at = plays.select("did", F.explode(contexts(within_s)).alias("c"))
+def meeting(rows: DataFrame, within_s: int) -> tuple[DataFrame, DataFrame]:
+    """(records, (c, did)) of the contexts that hold two or more records only: nothing can be shared in the others. ``rows`` may repeat
+    a record; its copies are combined on the map side."""
+    at = rows.select("did", F.explode(contexts(within_s)).alias("c"))
     busy = at.groupBy("c").agg(F.min("did").alias("i"), F.max("did").alias("j")).where("i < j").select("c")
-    return at.join(busy, "c").join(plays.select("did", content().alias("content")), "did")
+    ids = materialise(at.join(busy, "c").distinct(), "meeting")
+    return distinct_plays(rows.join(ids.select("did").distinct(), "did", "left_semi")), ids
 
 
 def _same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,13 +117,15 @@ def repeated_deliveries(rows: DataFrame, within_s: int = 30) -> DataFrame:
     of the lowest number. Rows equal in user, time, artist and title are one record before chunks are made, so that a play
     delivered without end costs one record; equal deliveries of one run are no cases."""
     rows = materialise(rows.withColumn("did", F.xxhash64("user", "t", "artist", "title")), "rows")
-    plays = distinct_plays(rows)
-    chunks = chunk_table(meeting(plays, within_s))
-    pairs = materialise(shared_bytes(chunks, chunks).where("did_a < did_b"), "pairs")
-    ends = pairs.select(F.col("did_a").alias("did")).unionByName(pairs.select(F.col("did_b").alias("did"))).distinct()
-    few = materialise(distinct_plays(rows.join(ends, "did", "left_semi")), "plays")
-    linked = components(same_plays(pairs, few, few, within_s)).select(F.col("v").alias("did"), "component")
-    of = rows.select("did", "row_no", "run").join(linked, "did", "left").select("row_no", "run", F.coalesce("component", "did").alias("play"))
+    plays, ids = meeting(rows, within_s)
+    plays = materialise(plays, "plays")
+    chunks = chunk_table(ids.join(plays.select("did", content().alias("content")), "did"))
+    pairs = shared_bytes(chunks, chunks).where("did_a < did_b")
+    linked = components(same_plays(pairs, plays, plays, within_s)).select(F.col("v").alias("did"), "component")
+    # a play with one record and one row is no case; all others are few
+    twice = rows.groupBy("did").agg(F.count("*").alias("n")).where("n > 1").select("did", F.col("did").alias("component"))
+    known = linked.unionByName(twice.join(linked, "did", "left_anti"))
+    of = materialise(rows.select("did", "row_no", "run").join(known, "did").select("row_no", "run", F.col("component").alias("play")), "deliveries")
     first = of.groupBy("play").agg(F.min("row_no").alias("row_no_a"), F.min("run").alias("first_run"), F.max("run").alias("last_run")).where("first_run < last_run")
     return of.join(first, "play").where("run > first_run and row_no > row_no_a").select("row_no_a", F.col("row_no").alias("row_no_b"))
 
