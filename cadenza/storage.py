@@ -27,10 +27,21 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def work_folder(spark: SparkSession) -> str:
+    """This application's own folder under the shared root."""
+    return f"{shared_root(spark)}/cadenza/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete everything this application has written in the middle of its plans; results must have been written by then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to its own folder under the shared root and return a scan of it."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/cadenza/{label}-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
