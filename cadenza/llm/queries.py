@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from ..storage import materialise, shared_root
+from ..storage import materialise, work_folder
 from . import charform, cooccur, entities, history, packing, plays, repeats, spans, tokens
 
 
@@ -50,7 +50,7 @@ def p9_pack(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
-    index = spans.FingerprintIndex(spark, f"{shared_root(spark)}/cadenza/index-{uuid.uuid4().hex}")
+    index = spans.FingerprintIndex(spark, f"{work_folder(spark)}/index-{uuid.uuid4().hex}")
     return spans.shared_spans(load(spark, root, "documents"), index)
 
 

@@ -65,6 +65,6 @@ def repeated_runs(events: DataFrame, gap_s: int = 1800, same: Callable[[str, str
     """
     rows = events.select("entity", "item", "text", "t", "row_no").repartitionByRange("entity", "t", "row_no").sortWithinPartitions("entity", "t", "row_no")
     found = materialise(rows.mapInArrow(_machine(gap_s * 1_000_000, same, False), SCHEMA), "runs")
-    edges = found.where("edge").coalesce(1).sortWithinPartitions("part", "seq")
+    edges = found.where("edge").repartition(1).sortWithinPartitions("part", "seq")
     joined = edges.mapInArrow(_machine(gap_s * 1_000_000, same, True), SCHEMA)
     return found.where("not edge").unionByName(joined).select("entity", "item", "anchor", "t0", "t1", "row0", "row1", "n")
