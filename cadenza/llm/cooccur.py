@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 
-BLOCK = 32_768
+BLOCK, PROBES = 32_768, 500_000
 PAIR = "a string, b string, n bigint"
 
 
@@ -30,9 +30,10 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(first + at // BLOCK), pa.array(at % BLOCK)], ["basket", "block", "bit"])
 
 
-def block_counts(matrix: np.ndarray, names: np.ndarray, light: np.ndarray, bits: np.ndarray) -> tuple[list, list, list]:
+def block_counts(matrix: np.ndarray, names: np.ndarray, light: np.ndarray, bits: np.ndarray, inner: bool = True) -> tuple[list, list, list]:
     """(a, b, n) with a < b: pairs of the items ``names`` with the bit rows ``matrix`` (items x bytes), and of these with the
-    rare items: ``light`` and ``bits`` are parallel, one entry for each basket a rare item stands in."""
+    rare items: ``light`` and ``bits`` are parallel, one entry for each basket a rare item stands in. Pairs of the matrix
+    itself are counted only if ``inner``."""
     out: tuple[list, list, list] = ([], [], [])
 
     def put(name: str, others: np.ndarray, n: np.ndarray) -> None:
@@ -42,7 +43,7 @@ def block_counts(matrix: np.ndarray, names: np.ndarray, light: np.ndarray, bits:
             out[2].append(k)
 
     words = matrix.view(np.uint64)
-    for i in range(len(names) - 1):
+    for i in range(len(names) - 1 if inner else 0):
         put(names[i], names[i + 1 :], np.bitwise_count(words[i] & words[i + 1 :]).sum(axis=1, dtype=np.int64))
     if len(names) and len(light):
         order = np.argsort(light, kind="stable")
@@ -63,7 +64,8 @@ def block_counts(matrix: np.ndarray, names: np.ndarray, light: np.ndarray, bits:
 def _count_block(left: pa.Table, right: pa.Table) -> pa.Table:
     matrix = np.frombuffer(b"".join(left["bitmap"].to_pylist()), np.uint8).reshape(len(left), -1) if len(left) else np.zeros((0, BLOCK // 8), np.uint8)
     names = np.array(left["item"].to_pylist(), dtype=object)
-    a, b, n = block_counts(matrix, names, np.array(right["item"].to_pylist(), dtype=object), right["bit"].to_numpy().astype(np.int64))
+    inner = len(left) > 0 and left["part"][0].as_py() == 0
+    a, b, n = block_counts(matrix, names, np.array(right["item"].to_pylist(), dtype=object), right["bit"].to_numpy().astype(np.int64), inner)
     return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()), "n": pa.array(n, pa.int64())})
 
 
@@ -99,7 +101,12 @@ def pair_counts(baskets: DataFrame, basket: Column, item: Column, least: int = 1
     placed = materialise(rows.join(items.select("item", "heavy"), "item").join(numbered, "basket").select("block", "bit", "item", "heavy"), "placed")
     matrix = placed.where("heavy").groupBy("block", "item").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
     light = placed.where("not heavy").select("block", "bit", "item")
-    blocks = matrix.groupBy("block").cogroup(light.groupBy("block")).applyInArrow(_count_block, PAIR)
+    # the lists that probe one block's matrix are split by item when they are long; the matrix goes along with each part
+    parts = light.groupBy("block").agg(F.ceil(F.count("*") / F.lit(PROBES)).cast("int").alias("parts"))
+    each = matrix.join(parts, "block", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    lists = light.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
+    sides = each.select("block", "part", "item", "bitmap"), lists.select("block", "part", "item", "bit")
+    blocks = sides[0].groupBy("block", "part").cogroup(sides[1].groupBy("block", "part")).applyInArrow(_count_block, PAIR)
     pairs = blocks.unionByName(_light_pairs(light, least)).groupBy("a", "b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= least)
     sizes = items.select("item", "n_item")
     return pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").select("a", "b", "n_a", "n_b", "n_ab", F.lit(total).cast("bigint").alias("n_baskets"))

@@ -33,6 +33,13 @@ def test_random(spark, least, share):
     assert run(spark, rows, least=least, heavy_share=share) == brute(rows, least)
 
 
+def test_long_lists_are_split(spark, monkeypatch):
+    monkeypatch.setattr("cadenza.llm.cooccur.PROBES", 100)
+    rng = random.Random(9)
+    rows = [(str(rng.randint(0, 60)), f"i{min(int(rng.expovariate(0.1)), 40)}") for _ in range(1500)]
+    assert run(spark, rows, least=2, heavy_share=0.3) == brute(rows, 2)
+
+
 def test_empty(spark):
     assert run(spark, []) == set()
     assert run(spark, [("a", "x")]) == set()
