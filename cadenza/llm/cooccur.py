@@ -105,7 +105,8 @@ def pair_counts(baskets: DataFrame, basket: Column, item: Column, least: int = 1
     parts = light.groupBy("block").agg(F.ceil(F.count("*") / F.lit(PROBES)).cast("int").alias("parts"))
     each = matrix.join(parts, "block", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     lists = light.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
-    sides = each.select("block", "part", "item", "bitmap"), lists.select("block", "part", "item", "bit")
+    own = lambda df, *names: df.select(*[F.col(c).alias(c) for c in names])  # noqa: E731  (both sides come from one table)
+    sides = own(each, "block", "part", "item", "bitmap"), own(lists, "block", "part", "item", "bit")
     blocks = sides[0].groupBy("block", "part").cogroup(sides[1].groupBy("block", "part")).applyInArrow(_count_block, PAIR)
     pairs = blocks.unionByName(_light_pairs(light, least)).groupBy("a", "b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= least)
     sizes = items.select("item", "n_item")
