@@ -17,6 +17,7 @@ from .operators.sessions import sessions
 from .plans import consumer, enriched, enrichment, gold, pages, silver
 from .sources.landing import complete, latest_incomplete
 from .sources.tables import load
+from .storage import materialise
 
 #: Three stretches inside the test tables' time, two places.
 _EDGES = [datetime(2019, 6, 1, 3, tzinfo=timezone.utc), datetime(2020, 9, 15, 22, tzinfo=timezone.utc)]
@@ -45,13 +46,22 @@ def events(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _base(spark: SparkSession, root: str) -> DataFrame:
-    return gold.base(gold.prepare(events(spark, root)))
+    """The shared aggregate, written once: a mart reads it in several branches."""
+    return materialise(gold.base(gold.prepare(events(spark, root))), "base")
 
 
-def _with_artists(spark: SparkSession, root: str) -> DataFrame:
+def _joined(spark: SparkSession, root: str) -> DataFrame:
     return enriched.with_artists(events(spark, root), load(spark, root, "artist_profile"), validate=False)
 
 
+#: What the enriched marts that read events in several branches need of them.
+_MART_COLUMNS = ["artist_key", "artist_name", "track_name", "scrobbled_at", "date", "year", "tracking_era", "country"]
+
+
+def _with_artists(spark: SparkSession, root: str) -> DataFrame:
+    return materialise(_joined(spark, root).select(*_MART_COLUMNS), "joined")
+
+
 def _weights(spark: SparkSession, root: str) -> DataFrame:
     return enriched.tag_weights(load(spark, root, "artist_tags"), load(spark, root, "tag_taxonomy"))
 
@@ -123,7 +133,7 @@ def artist_keys(spark, root):
 
 
 def artist_bridge(spark, root):
-    j = _with_artists(spark, root)
+    j = _joined(spark, root)
     return j.groupBy("resolution_status").agg(F.count("*").alias("n_events"), F.count_distinct("artist_key").alias("n_artists"))
 
 
@@ -145,15 +155,15 @@ def tag_weights(spark, root):
 
 
 def artist_profile(spark, root):
-    return plain(enriched.artist_profile(_with_artists(spark, root), _weights(spark, root)))
+    return plain(enriched.artist_profile(_joined(spark, root), _weights(spark, root)))
 
 
 def genre_evolution(spark, root):
-    return _rounded(enriched.genre_evolution(_with_artists(spark, root), _weights(spark, root)), "weighted_scrobbles", "share_of_year", "genre_tag_coverage")
+    return _rounded(enriched.genre_evolution(_joined(spark, root), _weights(spark, root)), "weighted_scrobbles", "share_of_year", "genre_tag_coverage")
 
 
 def _evolution(spark, root):
-    return enriched.artist_evolution(_with_artists(spark, root))
+    return enriched.artist_evolution(_joined(spark, root))
 
 
 def artist_evolution(spark, root):
@@ -161,7 +171,7 @@ def artist_evolution(spark, root):
 
 
 def era_comparison(spark, root):
-    return enriched.era_comparison(_with_artists(spark, root), CURRENT_YEAR)
+    return enriched.era_comparison(_joined(spark, root), CURRENT_YEAR)
 
 
 def local_times(spark, root):
@@ -170,7 +180,7 @@ def local_times(spark, root):
 
 
 def _time_patterns(spark, root):
-    return enriched.time_patterns(local_time(_with_artists(spark, root), PERIODS))
+    return enriched.time_patterns(local_time(_joined(spark, root), PERIODS))
 
 
 def entities(spark, root):
@@ -186,7 +196,7 @@ def coverage(spark, root):
 
 
 def enriched_coverage(spark, root):
-    return enriched.coverage(_with_artists(spark, root), _weights(spark, root))
+    return enriched.coverage(_joined(spark, root), _weights(spark, root))
 
 
 def resolve_candidates(spark, root):
@@ -204,11 +214,11 @@ def resolve_candidates(spark, root):
 
 
 def dashboard_top_artists(spark, root):
-    return consumer.top_artists(enriched.artist_profile(_with_artists(spark, root), _weights(spark, root)))
+    return consumer.top_artists(enriched.artist_profile(_joined(spark, root), _weights(spark, root)))
 
 
 def dashboard_genres(spark, root):
-    return consumer.genre_families(enriched.genre_evolution(_with_artists(spark, root), _weights(spark, root)))
+    return consumer.genre_families(enriched.genre_evolution(_joined(spark, root), _weights(spark, root)))
 
 
 def dashboard_genre_view(spark, root):
@@ -234,7 +244,7 @@ def dashboard_locations(spark, root):
 
 
 def _geography(spark, root):
-    return enriched.geography_evolution(_with_artists(spark, root))
+    return enriched.geography_evolution(_joined(spark, root))
 
 
 def dashboard_countries(spark, root):
@@ -268,8 +278,8 @@ def _from_base(builder):
     return lambda spark, root: plain(builder(_base(spark, root)))
 
 
-def _from_artists(builder):
-    return lambda spark, root: builder(_with_artists(spark, root))
+def _from_artists(builder, read=_joined):
+    return lambda spark, root: builder(read(spark, root))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -280,7 +290,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "completed_runs": completed_runs, "latest_incomplete_backfill": latest_incomplete_backfill, "watermark": watermark, "payload_tracks": payload_tracks,
     "reject_reasons": reject_reasons, "event_ids": event_ids, "artist_keys": artist_keys, "artist_bridge": artist_bridge, "silver_profile": silver_profile,
     "tag_weights": tag_weights, "artist_profile": artist_profile, "genre_evolution": genre_evolution, "artist_evolution": artist_evolution,
-    "concentration": _from_artists(enriched.concentration), "diversity": _from_artists(enriched.diversity), "discovery_enriched": _from_artists(enriched.discovery_enriched),
+    "concentration": _from_artists(enriched.concentration), "diversity": _from_artists(enriched.diversity), "discovery_enriched": _from_artists(enriched.discovery_enriched, _with_artists),
     "geography_evolution": _geography, "time_patterns": _time_patterns, "local_time": local_times, "era_comparison": era_comparison, "entities": entities,
     "top_entities": top_entities, "coverage": coverage, "enriched_coverage": enriched_coverage, "resolve_candidates": resolve_candidates,
     "dashboard_top_artists": dashboard_top_artists, "dashboard_genres": dashboard_genres, "dashboard_genre_view": dashboard_genre_view,

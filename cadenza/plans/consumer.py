@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import CONSISTENT
+from ..sources.publish import mart_path, read_json
 
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 
+def load_mart(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A published mart, kept in memory for the questions that follow."""
+    return spark.read.parquet(f"{root.rstrip('/')}/{mart_path(name)}").cache()
+
+
+def tiles(spark: SparkSession, root: str) -> dict:
+    """The headline numbers of the published enriched marts, from their description."""
+    document = read_json(spark, f"{root.rstrip('/')}/_metadata.json")
+    if not document:
+        raise FileNotFoundError(f"nothing is published at {root}")
+    profile, quality = document["profile"], document["quality"]
+    return {"events": profile["events_analyzed"], "artists": profile["artists_enriched"], "tagged_event_coverage_pct": quality["tagged_event_coverage_pct"]}
+
+
 def top_artists(profile: DataFrame, n: int = 20) -> DataFrame:
     return profile.orderBy(F.desc("total_scrobbles"), "source_artist_name", "artist_key").limit(n).select("source_artist_name", "total_scrobbles", "active_years", "primary_genre_family", "country")
 

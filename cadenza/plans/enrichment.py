@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import artist_key, canonical_text, tag_normalized
+from .gold import one_row
 
 
 def entities(events: DataFrame, order: tuple[str, ...] = ("scrobbled_at", "bronze_run_id", "bronze_page", "scrobble_id")) -> DataFrame:
@@ -115,4 +116,4 @@ def coverage(events: DataFrame, artists: DataFrame, tags: DataFrame) -> DataFram
         F.coalesce(F.sum("tagged"), F.lit(0)).alias("tagged_artists"), pct(F.sum("tagged"), one).alias("tag_entity_coverage_pct"), pct(F.sum(F.col("n") * F.col("tagged")), n).alias("tag_event_coverage_pct"),
     )
     total = counts.agg(F.count("*").alias("unique_artists"))
-    return total.join(row)
+    return one_row(total, row)

@@ -172,4 +172,13 @@ def profile(events: DataFrame, marts: dict[str, DataFrame], boundary: str = BOUN
     artists = tracks.groupBy("artist_name").agg(F.sum("total_scrobbles").alias("n"))
     top_artist = artists.orderBy(F.desc("n"), "artist_name").limit(1).agg(F.first("artist_name").alias("top_artist"))
     top_track = in_order(tracks, SORTED["track_stats"]).limit(1).agg(F.first("track_name").alias("top_track"))
-    return eras.join(s).join(top_artist).join(top_track)
+    return one_row(eras, s, top_artist, top_track)
+
+
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Tables of at most one row each, side by side; a union and an aggregate, not a product."""
+    columns = [c for p in parts for c in p.columns]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in columns])

@@ -84,7 +84,11 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return None
-    return "\n".join(r[0] for r in spark.read.text(path).collect())  # a description, not data
+    stream = fs.open(p)  # not spark.read, which passes over names with an underscore
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
 
 
 def write_json(spark: SparkSession, path: str, document: dict) -> None:

@@ -3,7 +3,7 @@ import json
 import pytest
 from cadenza.functions.text import canonical
 from cadenza.operators.joins import ContractError
-from cadenza.plans import enriched, enrichment, ingest, pipeline
+from cadenza.plans import consumer, enriched, enrichment, ingest, pipeline
 from cadenza.sources import config, landing
 from cadenza.sources.cache import ResponseCache, cached_responses
 from cadenza.sources.http import ApiError, EntityProvider, HttpError, PagedSource, RateLimiter, ShapeError, TagProvider, backoff
@@ -130,7 +130,9 @@ def test_transform_full_noop_incremental(spark, tmp_path):
     assert (again["runs"], again["events"]) == (1, 2)
     assert spark.read.parquet(f"{silver}/events").select("scrobble_id").distinct().count() == 2
     assert spark.read.parquet(f"{silver}/processed_runs").count() == 2
-    assert str(tmp_path) not in json.dumps(read_json(spark, f"{silver}/_metadata.json"))
+    about = read_json(spark, f"{silver}/_metadata.json")
+    assert about["row_count"] == 2
+    assert str(tmp_path) not in json.dumps(about)
     land(bronze, "20240105T000000Z", [track()], files=(1,))
     (landing.run_folder(bronze, "20240105T000000Z") / "page_0001.json").write_text("{", encoding="utf-8")
     with pytest.raises(ContractError):
@@ -191,6 +193,10 @@ def test_enrich_gold_and_marts(spark, tmp_path):
     assert built["marts"]["artist_profile"] == 2
     again = pipeline.build_enriched(spark, f"{d}/silver/events", f"{d}/norm/artists", f"{d}/norm/artist_tags", taxonomy, periods_of(CONFIG), f"{d}/enriched", current_year=2023)
     assert again["marts"] == built["marts"]
+    assert consumer.tiles(spark, f"{d}/enriched") == {"events": 3, "artists": 2, "tagged_event_coverage_pct": 100.0}
+    assert consumer.load_mart(spark, f"{d}/enriched", "artist_profile").count() == 2
+    with pytest.raises(FileNotFoundError):
+        consumer.tiles(spark, f"{d}/nothing")
 
 
 def test_cache(spark, tmp_path):
