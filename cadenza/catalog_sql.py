@@ -129,6 +129,14 @@ WITH s AS (SELECT lower(trim("user")) AS u, floor(epoch(scrobbled_at))::BIGINT A
 l AS (SELECT *, CASE WHEN s - lag(s) OVER w <= 1800 THEN 0 ELSE 1 END AS f FROM s WINDOW w AS (PARTITION BY u ORDER BY s)),
 g AS (SELECT *, sum(f) OVER (PARTITION BY u ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM l)
 SELECT u AS user_key, min(s) AS start_s, max(s) AS end_s"""
+PAGES = r"""
+WITH n AS (SELECT run_id, t.fullkey AS k, t.type AS ty, t.atom ->> '$' AS v FROM (SELECT run_id, payload FROM run_metadata WHERE json_valid(payload)) m, json_tree(m.payload) t WHERE t.atom IS NOT NULL),
+x AS (SELECT run_id, regexp_extract(k, '^\$\.pages(\[\d+\])?', 0) AS pg, k, ty, v FROM n WHERE starts_with(k, '$.pages')),
+a AS (SELECT run_id, pg, coalesce(try_cast(nullif(regexp_extract(k, '\.track\[(\d+)\]', 1), '') AS INTEGER), 0) AS track_pos, lower(trim(v)) AS artist_mbid FROM x
+  WHERE ty = 'VARCHAR' AND trim(v) <> '' AND regexp_matches(k, '^\$\.pages(\[\d+\])?\.payload\.recenttracks\.track(\[\d+\])?\.(artist|credits(\[\d+\])?\.(artist|members))(\[\d+\])?\.mbid$')),
+p AS (SELECT run_id, pg, coalesce(min(try_cast(v AS INTEGER)) FILTER (WHERE regexp_matches(k, '\.metadata\.page$')), min(try_cast(v AS INTEGER)) FILTER (WHERE regexp_matches(k, '\.payload\.recenttracks\."?@attr"?\.page$'))) AS page FROM x
+  WHERE regexp_matches(k, '^\$\.pages(\[\d+\])?\.(metadata|payload\.recenttracks\."?@attr"?)\.page$') GROUP BY ALL)
+SELECT DISTINCT run_id, page, track_pos, artist_mbid FROM a LEFT JOIN p USING (run_id, pg)"""
 OK_RUN = "status = 'completed' AND expected_pages >= 1 AND list_sort(list_distinct(pages_saved)) = range(1, expected_pages + 1) AND len(pages_saved) = expected_pages"
 TRACKS = f"""
 SELECT artist_name, track_name, count(*) AS total_scrobbles, strftime(min(ts), {TS}) AS first_seen, strftime(max(ts), {TS}) AS last_seen, count(DISTINCT d) AS active_days,
@@ -187,6 +195,7 @@ SQL: dict[str, str] = {
     "insight_genres": f"WITH {GENRE} SELECT year, genre_family, share_of_year FROM ge ORDER BY weighted_scrobbles DESC, year, genre_family LIMIT 5",
     "insight_concentration": f"WITH {CONC} SELECT * FROM conc ORDER BY top_1_share DESC, year, tracking_era LIMIT 3",
     "insight_diversity": f"WITH {DIV} SELECT * FROM div ORDER BY artists_per_100_scrobbles DESC, year, tracking_era LIMIT 3",
+    "p3_found": PAGES,
     "p7_found": SESSIONS + " FROM g GROUP BY u, k",
     "p7_sessions": SESSIONS + ", count(*) AS n_events FROM g GROUP BY u, k",
 }
