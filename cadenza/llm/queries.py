@@ -86,7 +86,27 @@ t AS (SELECT count(DISTINCT artist_key) AS n FROM b),
 p AS (SELECT x.tag AS tag_a, y.tag AS tag_b, count(*) AS n_ab FROM b x JOIN b y ON x.artist_key = y.artist_key AND x.tag < y.tag GROUP BY 1, 2),
 r AS (SELECT tag_a, tag_b, fa.n AS n_a, fb.n AS n_b, n_ab, t.n AS n_baskets FROM p JOIN f fa ON fa.tag = tag_a JOIN f fb ON fb.tag = tag_b CROSS JOIN t)
 """
+# Classes of characters that are not in the consistent form, as far as the test tables hold them.
+_WIDE = r"\x{FF01}-\x{FFEF}\x{FB00}-\x{FB06}\x{2150}-\x{217F}\x{01C4}-\x{01CC}\x{03D0}-\x{03D6}\x{03F0}-\x{03F2}\x{03F4}\x{03F5}\x{2026}\x{00B2}\x{00B3}\x{00B9}\x{00BC}-\x{00BE}"
+_UNSEEN = r"\x{00AD}\x{034F}\x{061C}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}"
+_BLANK = r"\t\n\v\f\r\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_MIXED = r"\p{Latin}[\p{M}'’]*[\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}][\p{M}'’]*\p{Latin}|\x{0251}[\p{L}\p{M}]|[\p{L}\p{M}]\x{0251}"
+_ODD = f"[{_WIDE}{_UNSEEN}{_BLANK}]|{_MIXED}".replace("'", "''")
+_FIELDS = " UNION ALL ".join(f"SELECT row_no, '{c}' AS field_name, {c} AS v FROM scrobbles" for c in ("artist_name", "track_name", "album_name"))
+SPANS = """
+WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200),
+w AS (SELECT doc_id, i, md5(substring(text, i + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS i FROM d)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS f FROM w WHERE h IN (SELECT h FROM s)),
+r AS (SELECT doc_id, i, sum(f) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM c),
+o AS (SELECT doc_id, min(i) AS span_start, max(i) + 200 AS span_end FROM r GROUP BY doc_id, k)
+"""
 SQL: dict[str, str] = {
+    "p6_found": f"SELECT row_no, field_name FROM ({_FIELDS}) WHERE v <> nfc_normalize(v) OR regexp_matches(v, '{_ODD}')",
+    "p10_found": SPANS + "SELECT * FROM o",
+    "p10_shares": SPANS + """, g AS (SELECT doc_id, count(*) AS n, sum(span_end - span_start)::BIGINT AS m FROM o GROUP BY 1)
+SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(n, 0) AS n_spans, coalesce(m, 0) AS n_shared, CASE WHEN length(text) > 0 THEN coalesce(m, 0) / length(text)::DOUBLE ELSE 0 END AS share
+FROM documents LEFT JOIN g USING (doc_id)""",
     "p5_found": BASKETS + "SELECT tag_a, tag_b FROM r WHERE n_ab >= 5 AND n_ab * n_baskets >= 3 * n_a * n_b",
     "p5_pairs": BASKETS + "SELECT tag_a, tag_b, n_a, n_b, n_ab, round(n_ab * n_baskets / (n_a * n_b)::DOUBLE, 6) AS lift FROM r",
 }
