@@ -24,7 +24,7 @@ from ..storage import materialise
 from .graph import components
 from .names import MOST_SLIPS, agree, reduced, shape
 
-GRAM, COSINE, LINK, LARGE = 4, 0.35, 0.4, 2000
+GRAM, COSINE, LINK, LARGE = 4, 0.35, 0.2, 2000
 SHAPE = ["heads", "letters", "size", "loose"]
 
 

@@ -34,7 +34,9 @@ FULL: dict[str, set[str]] = {}
 for _full, _names in NICKNAMES.items():
     for _n in _names.split():
         FULL.setdefault(_n, set()).add(_full)
-MOST_SLIPS = 3
+MOST_SLIPS = 2
+# The rows of the usual keyboard; a slip hits a neighbouring key.
+KEYS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 DROPPED = {"the", "thee", "tthe", "thhe", "teh", "hte", "and", "annd", "aand", "adn", "nad", "andd"}
 
 
@@ -66,8 +68,21 @@ def reduce_name(text: str) -> tuple[tuple[str, ...], str]:
     return tuple(sorted(kept)), qualifier
 
 
+def _neighbours() -> frozenset[tuple[str, str]]:
+    at = {c: (row, col + row * 0.5) for row, keys in enumerate(KEYS) for col, c in enumerate(keys)}
+    return frozenset((a, b) for a, (r, x) in at.items() for b, (q, y) in at.items() if a != b and abs(r - q) <= 1 and abs(x - y) <= 1)
+
+
+NEIGHBOURS = _neighbours()
+
+
+def swap_cost(x: str, y: str) -> int:
+    """Slips it takes to write ``y`` for ``x``: 1 for a neighbouring key or letters of no known keyboard, else 2."""
+    return 0 if x == y else 2 if x.isascii() and y.isascii() and (x, y) not in NEIGHBOURS else 1
+
+
 def near(a: str, b: str, most: int) -> int:
-    """Edits (insert, delete, replace, swap of neighbours) between two words, or most + 1 if there are more."""
+    """Slips (insert, delete, replace, swap of neighbours) between two words, or most + 1 if there are more."""
     if a == b:
         return 0
     if abs(len(a) - len(b)) > most:
@@ -76,11 +91,11 @@ def near(a: str, b: str, most: int) -> int:
     for i, x in enumerate(a, 1):
         now = [i]
         for j, y in enumerate(b, 1):
-            d = min(row[j] + 1, now[j - 1] + 1, row[j - 1] + (x != y))
+            d = min(row[j] + 1, now[j - 1] + 1, row[j - 1] + swap_cost(x, y))
             if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 d = min(d, before[j - 2] + 1)
             now.append(d)
-        if min(now) > most:
+        if min(now) > most and (before is None or min(row) > most):
             return most + 1
         before, row = row, now
     return min(row[-1], most + 1)
@@ -91,41 +106,42 @@ def allowed(a: str, b: str) -> int:
     return 0 if n < 3 else 1 if n < 5 else 2
 
 
-def word_cost(a: str, b: str) -> float:
-    """0 for the same word; up to 1 for a slip, an initial or a nickname; 9 if they are different words."""
+def word_cost(a: str, b: str) -> tuple[float, int]:
+    """(cost, slips) of taking one word for the other: a cost of 0 for the same word, 9 for different words."""
     if a == b:
-        return 0.0
+        return 0.0, 0
     if len(a) == 1 or len(b) == 1:
-        return 0.5 if a[0] == b[0] and max(len(a), len(b)) > 1 else 9.0
+        return (0.5, 0) if a[0] == b[0] and max(len(a), len(b)) > 1 else (9.0, 0)
     if NICK.get(a) and b in FULL[a] or NICK.get(b) and a in FULL[b]:
-        return 0.4
+        return 0.4, 0
     most = allowed(a, b)
     d = near(a, b, most)
-    return 0.3 * d if d <= most else 9.0
+    return (0.3 * d, d) if d <= most else (9.0, 0)
 
 
 @lru_cache(200_000)
 def agree(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """Cost of laying the tokens of one name on those of the other, one to one; 9 if some token finds no partner.
+    """Cost of laying the tokens of one name on those of the other, one to one; 9 if they do not agree.
 
-    Names of different numbers of tokens are different. At most one token may begin with another letter, and some token
-    must be a full word on both sides.
+    Names of different numbers of tokens are different. At most one token may begin with another letter, there are at most
+    MOST_SLIPS slips in all, and some token must be a full word on both sides.
     """
     if a == b:
         return 0.0
     if len(a) != len(b):
         return 9.0
     left = list(b)
-    total, strong, heads = 0.0, 0, 0
+    total, slips, strong, heads = 0.0, 0, 0, 0
     for x in sorted(a, key=len, reverse=True):
-        cost, at = min((word_cost(x, y), i) for i, y in enumerate(left))
+        (cost, d), at = min((word_cost(x, y), i) for i, y in enumerate(left))
         if cost >= 9:
             return 9.0
         y = left.pop(at)
         total += cost
+        slips += d
         strong += min(len(x), len(y)) > 3
         heads += x[:1] != y[:1]
-    return total if strong and heads < 2 and total <= 1.1 else 9.0
+    return total if strong and heads < 2 and slips <= MOST_SLIPS and total <= 1.1 else 9.0
 
 
 def _mask(chars) -> int:

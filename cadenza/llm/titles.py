@@ -91,7 +91,7 @@ def _slips(a: str, b: str, limit: int) -> bool:
     total = 0
     for p, q in zip(x, y, strict=True):
         n = min(len(p), len(q))
-        most = 0 if n < 2 else 1 if n < 7 else 2
+        most = 0 if n < 2 else 1 if n < 5 else 2
         d = near(p, q, most)
         if d > most:
             return False
