@@ -26,7 +26,7 @@ KEY = f"sha256(regexp_replace(trim({_nfkc('artist_name')}), '\\s+', ' ', 'g'))"
 LANDED = """
 landed AS (SELECT *, scrobbled_at AT TIME ZONE 'UTC' AS ts FROM scrobbles WHERE "user" IS NOT NULL AND scrobbled_at IS NOT NULL AND scrobble_id IS NOT NULL),
 ev AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY scrobble_id ORDER BY ts, bronze_run_id, bronze_page, row_no) AS k FROM landed) WHERE k = 1),
-e AS (SELECT *, ts::DATE AS d, year(ts) AS year, month(ts) AS month, isodow(ts) - 1 AS weekday, hour(ts) AS hour,
+e AS (SELECT *, ts::DATE AS d, year(ts)::INTEGER AS year, month(ts)::INTEGER AS month, (isodow(ts) - 1)::INTEGER AS weekday, hour(ts)::INTEGER AS hour,
   CASE WHEN ts >= TIMESTAMP '2020-01-01 00:00:00' THEN 'consistent_tracking' ELSE 'partial_tracking' END AS tracking_era FROM ev)"""
 TS, DAY = "'%Y-%m-%d %H:%M:%S'", "'%Y-%m-%d'"
 ARTISTS = (
@@ -56,7 +56,7 @@ ys AS (SELECT DISTINCT artist_key, year FROM g),
 lc AS (SELECT x.artist_key, x.year, max(p.year) AS prev, coalesce(bool_or(p.year = x.year - 1), false) AS p1, coalesce(bool_or(p.year = x.year - 2), false) AS p2
   FROM ys x LEFT JOIN ys p ON p.artist_key = x.artist_key AND p.year < x.year GROUP BY ALL),
 ae AS (SELECT g.artist_key, artist_name, g.year, tracking_era, scrobbles, strftime(first_ts, '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS last_seen,
-  row_number() OVER (PARTITION BY g.year ORDER BY scrobbles DESC, artist_name, g.artist_key, tracking_era) AS rank, scrobbles / sum(scrobbles) OVER (PARTITION BY g.year)::DOUBLE AS share_of_year,
+  (row_number() OVER (PARTITION BY g.year ORDER BY scrobbles DESC, artist_name, g.artist_key, tracking_era))::INTEGER AS rank, scrobbles / sum(scrobbles) OVER (PARTITION BY g.year)::DOUBLE AS share_of_year,
   g.year - min(g.year) OVER (PARTITION BY g.artist_key) AS years_since_first_seen,
   CASE WHEN prev IS NULL THEN 'new' WHEN prev <= g.year - 3 THEN 'resurgent' WHEN p1 AND p2 THEN 'persistent' ELSE 'returning' END AS lifecycle
   FROM g JOIN lc ON lc.artist_key = g.artist_key AND lc.year = g.year)"""
@@ -104,7 +104,7 @@ PATTERNS = (
     + ","
     + LOCAL.replace("SRC", "a")
     + """,
-tp AS (SELECT year(lt) AS local_year, month(lt) AS local_month, tracking_era, timezone_period, location, timezone_name, isodow(lt) - 1 AS local_weekday, hour(lt) AS local_hour,
+tp AS (SELECT year(lt)::INTEGER AS local_year, month(lt)::INTEGER AS local_month, tracking_era, timezone_period, location, timezone_name, (isodow(lt) - 1)::INTEGER AS local_weekday, hour(lt)::INTEGER AS local_hour,
   count(*) AS scrobbles, count(DISTINCT artist_key) AS unique_artists FROM l GROUP BY ALL)"""
 )
 GEO = (
@@ -147,7 +147,7 @@ SQL: dict[str, str] = {
     "listening_yearly": f"WITH {LANDED},{YEARLY} SELECT year, tracking_era, y.n AS scrobble_count, days AS active_days, artists AS unique_artists, tracks AS unique_tracks, y.n / days::DOUBLE AS average_scrobbles_per_active_day, coalesce(na, 0) AS new_artists, coalesce(nt, 0) AS new_tracks, top_artist, top_n AS top_artist_scrobbles, s1 AS top_1_artist_share, s5 AS top_5_artist_share, s10 AS top_10_artist_share, y.n / artists::DOUBLE AS scrobbles_per_unique_artist FROM y JOIN sh USING (year) LEFT JOIN na USING (year) LEFT JOIN nt USING (year)",
     "listening_daily": f"WITH {LANDED} SELECT strftime(d, {DAY}) AS date, year, month, weekday, tracking_era, count(*) AS scrobble_count, count(DISTINCT artist_name) AS unique_artists, count(DISTINCT (artist_name, track_name)) AS unique_tracks FROM e GROUP BY ALL",
     "listening_monthly": f"WITH {LANDED} SELECT year, month, printf('%04d-%02d', year, month) AS year_month, tracking_era, count(*) AS scrobble_count, count(DISTINCT d) AS active_days, count(DISTINCT artist_name) AS unique_artists, count(DISTINCT (artist_name, track_name)) AS unique_tracks, count(*) / count(DISTINCT d)::DOUBLE AS scrobbles_per_active_day FROM e GROUP BY ALL",
-    "artist_stats": f"WITH {LANDED}, g AS (SELECT artist_name, year, tracking_era, count(*) AS n, count(DISTINCT track_name) AS ut, count(DISTINCT d) AS ad, min(ts) AS f, max(ts) AS l FROM e GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY n DESC, artist_name, tracking_era) AS rk FROM g), t AS (SELECT artist_name, sum(n)::BIGINT AS tn, min(f) AS tf, max(l) AS tl, count(DISTINCT year) AS ay, count(*) FILTER (WHERE rk <= 10) AS t10, count(*) FILTER (WHERE rk <= 50) AS t50 FROM k GROUP BY ALL) SELECT artist_name, year, tracking_era, n AS scrobble_count, ut AS unique_tracks, ad AS active_days, strftime(f, {TS}) AS first_scrobble, strftime(l, {TS}) AS last_scrobble, rk AS rank_in_year, tn AS total_scrobbles, strftime(tf, {TS}) AS first_seen, strftime(tl, {TS}) AS last_seen, ay AS active_years, t10 AS years_in_top_10, t50 AS years_in_top_50, n / sum(n) OVER (PARTITION BY year)::DOUBLE AS share_of_year FROM k JOIN t USING (artist_name)",
+    "artist_stats": f"WITH {LANDED}, g AS (SELECT artist_name, year, tracking_era, count(*) AS n, count(DISTINCT track_name) AS ut, count(DISTINCT d) AS ad, min(ts) AS f, max(ts) AS l FROM e GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY n DESC, artist_name, tracking_era) AS rk FROM g), t AS (SELECT artist_name, sum(n)::BIGINT AS tn, min(f) AS tf, max(l) AS tl, count(DISTINCT year) AS ay, count(*) FILTER (WHERE rk <= 10) AS t10, count(*) FILTER (WHERE rk <= 50) AS t50 FROM k GROUP BY ALL) SELECT artist_name, year, tracking_era, n AS scrobble_count, ut AS unique_tracks, ad AS active_days, strftime(f, {TS}) AS first_scrobble, strftime(l, {TS}) AS last_scrobble, rk::INTEGER AS rank_in_year, tn AS total_scrobbles, strftime(tf, {TS}) AS first_seen, strftime(tl, {TS}) AS last_seen, ay AS active_years, t10 AS years_in_top_10, t50 AS years_in_top_50, n / sum(n) OVER (PARTITION BY year)::DOUBLE AS share_of_year FROM k JOIN t USING (artist_name)",
     "track_stats": f"WITH {LANDED} {TRACKS}",
     "discovery": f"WITH {LANDED},{YEARLY}, back AS (SELECT ay.year, count(*) FILTER (WHERE first < ay.year) AS returning_artists FROM ay JOIN fa USING (artist_name) GROUP BY ALL) SELECT year, tracking_era, artists AS total_unique_artists, tracks AS total_unique_tracks, coalesce(na, 0) AS newly_observed_artists, coalesce(nt, 0) AS newly_observed_tracks, returning_artists, coalesce(na, 0) / artists::DOUBLE AS artist_discovery_rate FROM y JOIN back USING (year) LEFT JOIN na USING (year) LEFT JOIN nt USING (year)",
     "listening_patterns": f"WITH {LANDED}, g AS (SELECT tracking_era, weekday, hour, count(*) AS scrobble_count, count(DISTINCT artist_name) AS unique_artists FROM e GROUP BY ALL) SELECT *, scrobble_count / sum(scrobble_count) OVER (PARTITION BY tracking_era)::DOUBLE AS share_of_era_scrobbles FROM g",
@@ -176,8 +176,8 @@ SQL: dict[str, str] = {
     "discovery_enriched": f"WITH {ARTISTS},{BREADTH}, fk AS (SELECT artist_key, min(year) AS first FROM a GROUP BY ALL), nk AS (SELECT first AS year, count(*) AS new_artists FROM fk GROUP BY ALL), nt AS (SELECT first AS year, count(*) AS new_tracks FROM (SELECT artist_name, track_name, min(year) AS first FROM a GROUP BY ALL) GROUP BY ALL), ns AS (SELECT a.year, count(*) FILTER (WHERE a.year = first) AS ns FROM a JOIN fk USING (artist_key) GROUP BY ALL) SELECT year, tracking_era, scrobbles, unique_artists, unique_tracks, coalesce(new_artists, 0) AS new_artists, coalesce(new_tracks, 0) AS new_tracks, ns AS new_artist_scrobbles, ns / scrobbles::DOUBLE AS new_artist_share FROM b LEFT JOIN nk USING (year) LEFT JOIN nt USING (year) LEFT JOIN ns USING (year)",
     "geography_evolution": f"WITH {GEO} SELECT *, scrobbles / sum(scrobbles) OVER (PARTITION BY year, tracking_era)::DOUBLE AS share_of_year, country <> 'unknown' AS country_known FROM geo",
     "time_patterns": f"WITH {PATTERNS} SELECT * FROM tp",
-    "local_time": f"WITH {LANDED},{LOCAL.replace('SRC', 'ev')} SELECT scrobble_id, timezone_period, location, timezone_name, strftime(lt, {TS}) AS scrobbled_at_local, strftime(lt, {DAY}) AS local_date, year(lt) AS local_year, month(lt) AS local_month, day(lt) AS local_day, hour(lt) AS local_hour, isodow(lt) - 1 AS local_weekday FROM l",
-    "era_comparison": f"WITH {ARTISTS},{BREADTH}, c AS (SELECT *, scrobbles / active_days::DOUBLE AS scrobbles_per_active_day, (scrobbles / lag(scrobbles) OVER (ORDER BY year, tracking_era)::DOUBLE - 1) * 100 AS year_over_year_scrobble_change_pct, year = 2021 AND year = (SELECT max(year) FROM b) AS partial_calendar_year FROM b) SELECT *, CASE WHEN partial_calendar_year THEN 'The calendar year is not over yet.' ELSE 'The calendar year is complete.' END AS comparison_note FROM c",
+    "local_time": f"WITH {LANDED},{LOCAL.replace('SRC', 'ev')} SELECT scrobble_id, timezone_period, location, timezone_name, strftime(lt, {TS}) AS scrobbled_at_local, strftime(lt, {DAY}) AS local_date, year(lt)::INTEGER AS local_year, month(lt)::INTEGER AS local_month, day(lt)::INTEGER AS local_day, hour(lt)::INTEGER AS local_hour, (isodow(lt) - 1)::INTEGER AS local_weekday FROM l",
+    "era_comparison": f"WITH {ARTISTS},{BREADTH}, c AS (SELECT *, scrobbles / active_days::DOUBLE AS scrobbles_per_active_day, (scrobbles / lag(scrobbles) OVER (ORDER BY year, tracking_era)::DOUBLE - 1) * 100 AS year_over_year_scrobble_change_pct, year = 2021 AND year = (SELECT max(year) FROM b) AS partial_calendar_year FROM b) SELECT *, CASE WHEN partial_calendar_year THEN 'incomplete current calendar year' ELSE 'recorded calendar year' END AS comparison_note FROM c",
     "entities": (ENTITIES := f"WITH {LANDED}, n AS (SELECT artist_name, {KEY} AS artist_key, count(*) AS n, min(ts) AS f, max(ts) AS l FROM ev GROUP BY ALL), m AS (SELECT {KEY} AS artist_key, arg_min(artist_mbid, (ts, bronze_run_id, bronze_page, scrobble_id)) AS mbid FROM ev WHERE trim(coalesce(artist_mbid, '')) <> '' GROUP BY 1), ent AS (SELECT artist_key, arg_min(artist_name, (-n, artist_name)) AS source_artist_name, sum(n)::BIGINT AS scrobble_count, strftime(min(f), {TS}) AS first_seen, strftime(max(l), {TS}) AS last_seen FROM n GROUP BY ALL) SELECT artist_key, source_artist_name, mbid AS existing_artist_mbid, scrobble_count, first_seen, last_seen FROM ent LEFT JOIN m USING (artist_key)"),
     "top_entities": f"SELECT * FROM ({ENTITIES}) ORDER BY scrobble_count DESC, source_artist_name LIMIT 50",
     "coverage": f"WITH {LANDED}, n AS (SELECT {KEY} AS artist_key, count(*) AS n FROM ev GROUP BY 1), j AS (SELECT p.artist_key, resolution_status AS st, coalesce(n, 0) AS n, (resolution_status = 'resolved')::INTEGER AS r, (p.artist_key IN (SELECT artist_key FROM artist_tags))::INTEGER AS t FROM artist_profile p LEFT JOIN n USING (artist_key)) SELECT (SELECT count(*) FROM n) AS unique_artists, count(*) AS evaluated_artists, "

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,27 +43,26 @@ def _runs(bitmap: bytes, gap: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _block_runs(gap: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ent, blk, s_all, e_all, n_all, edge_all = [], [], [], [], [], []
-            for key, block, bitmap, seen in zip(b.entity, b.block, b.bitmap, b.seen, strict=True):
+            block = b.column(1).to_numpy()
+            seen = b.column(3)
+            bounds, each = seen.offsets.to_numpy(), seen.values
+            at, num = each.field("pos").to_numpy(), each.field("n").to_numpy()
+            rows: list[np.ndarray] = []
+            for i, bitmap in enumerate(b.column(2).to_pylist()):
                 s, e = _runs(bitmap, gap)
-                pos = np.fromiter((x["pos"] for x in seen), np.int64, len(seen))
-                num = np.fromiter((x["n"] for x in seen), np.int64, len(seen))
-                order = np.argsort(pos)
-                total = np.concatenate([[0], np.cumsum(num[order])])
-                pos = pos[order]
-                ent.extend([key] * len(s))
-                blk.extend([block] * len(s))
-                s_all.append(s + block * BLOCK)
-                e_all.append(e + block * BLOCK)
-                n_all.append(total[np.searchsorted(pos, e, "right")] - total[np.searchsorted(pos, s, "left")])
-                edge = np.zeros(len(s), bool)
-                edge[[0, -1]] = True
-                edge_all.append(edge)
-            if ent:
-                cat = np.concatenate
-                yield pd.DataFrame({"entity": ent, "block": blk, "s": cat(s_all), "e": cat(e_all), "n": cat(n_all), "edge": cat(edge_all)})
+                own = slice(bounds[i], bounds[i + 1])
+                order = np.argsort(at[own])
+                pos, total = at[own][order], np.concatenate([[0], np.cumsum(num[own][order])])
+                n = total[np.searchsorted(pos, e, "right")] - total[np.searchsorted(pos, s, "left")]
+                edge = np.zeros(len(s), np.int64)
+                edge[[0, -1]] = 1
+                rows.append(np.stack([np.full(len(s), i), s + block[i] * BLOCK, e + block[i] * BLOCK, n, edge]))
+            if rows:
+                i, s, e, n, edge = np.concatenate(rows, axis=1)
+                cols = [b.column(0).take(pa.array(i)), pa.array(block[i]), pa.array(s), pa.array(e), pa.array(n), pa.array(edge > 0)]
+                yield pa.RecordBatch.from_arrays(cols, ["entity", "block", "s", "e", "n", "edge"])
 
     return run
 
@@ -85,7 +84,7 @@ def sessions(events: DataFrame, entity: Column, second: Column, gap: int = 1800)
     blocks = per_second.select("entity", block.alias("block"), at.alias("pos"), "n").groupBy("entity", "block").agg(
         F.bitmap_construct_agg("pos").alias("bitmap"), F.collect_list(F.struct("pos", "n")).alias("seen")
     )
-    runs = blocks.mapInPandas(_block_runs(gap), "entity string, block bigint, s bigint, e bigint, n bigint, edge boolean")
+    runs = blocks.mapInArrow(_block_runs(gap), "entity string, block bigint, s bigint, e bigint, n bigint, edge boolean")
     # inner runs are whole already: each is its own group, so that only edge runs meet in a window
     runs = runs.withColumn("part", F.when(F.col("edge"), F.lit(None)).otherwise(F.col("s")))
     w = Window.partitionBy("entity", "part").orderBy("s")

@@ -155,7 +155,8 @@ def time_patterns(local: DataFrame) -> DataFrame:
     return local.groupBy(*TIME_KEYS).agg(F.count("*").alias("scrobbles"), F.count_distinct("artist_key").alias("unique_artists"))
 
 
-NOTES = {True: "The calendar year is not over yet.", False: "The calendar year is complete."}
+# What the mart says of a year.
+NOTES = {True: "incomplete current calendar year", False: "recorded calendar year"}
 
 
 def era_comparison(events: DataFrame, current_year: int) -> DataFrame:

@@ -63,7 +63,7 @@ def best_identity(artists: DataFrame, overrides: DataFrame | None = None) -> Dat
     df = artists if overrides is None else artists.join(overrides.select("source_artist_name", F.col("musicbrainz_artist_id").alias("override")), "source_artist_name", "left")
     over = F.col("override") if overrides is not None else F.lit(None).cast("string")
     ident = F.coalesce(over, F.col("existing_artist_mbid"))
-    method = F.when(over.isNotNull(), "override").when(F.col("existing_artist_mbid").isNotNull(), "existing_mbid").otherwise("search_match")
+    method = F.when(over.isNotNull(), "manual_override").when(F.col("existing_artist_mbid").isNotNull(), "existing_mbid").otherwise("search_match")
     identity = F.when(ident.isNotNull(), F.concat(F.lit("mbid:"), ident)).otherwise(F.concat(F.lit("name:"), canonical_text("source_artist_name")))
     return df.withColumns({"request_identity": identity, "resolution_method": method}).drop("override")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.nested import dewey_nodes, flat_table
+from ..storage import materialise
 
 PAGE = "/pages"
 TRACK = "/pages/payload/recenttracks/track"
@@ -36,7 +37,7 @@ def artist_ids(runs: DataFrame, key: str = "run_id", doc: str = "payload") -> Da
     gives nothing; repeated rows and pages saved twice give one row.
     """
     ids = [f"{p}/mbid" for p in REFS]
-    nodes = dewey_nodes(runs, key, doc, [*ids, META_PAGE, ATTR_PAGE])
+    nodes = materialise(dewey_nodes(runs, key, doc, [*ids, META_PAGE, ATTR_PAGE]), "nodes")  # parsed once, read twice
     refs = nodes.where(F.col("path").isin(ids) & (F.col("kind") == "string")).select(
         "doc_key",
         F.slice("label", 1, _depth(PAGE)).alias("page_label"),

@@ -111,7 +111,8 @@ def fetch_answers(asked: DataFrame, cache: ResponseCache, entities: EntityProvid
             direct = None
             if r.request_identity.startswith("mbid:"):
                 direct = ask("entities", "artist", r.request_identity, lambda: entities.by_id(r.request_identity[5:]))  # noqa: B023
-            if not direct or direct["status"] != "success":
+            known = (direct or {}).get("response")
+            if not isinstance(known, dict) or f"mbid:{known.get('id')}" != r.request_identity:
 
                 def search() -> dict | None:
                     found = entities.search(name)  # noqa: B023
@@ -132,9 +133,10 @@ def resolved_artists(asked: DataFrame, cache: DataFrame) -> DataFrame:
     """Artist rows from cached answers alone: the direct answer where there is one; else the candidates of the name search."""
     by_name = F.concat(F.lit("name:"), enrichment.canonical_text("source_artist_name"))
     direct = enrichment.from_cache(asked, cache, "entities", "artist").withColumnsRenamed({"status": "s1", "response": "d1", "retrieved_at": "t1"})
-    search = enrichment.from_cache(direct.withColumn("request_identity", by_name), cache, "entities", "artist").withColumnsRenamed({"status": "s2", "response": "d2", "retrieved_at": "t2"})
+    search = enrichment.from_cache(direct.withColumnRenamed("request_identity", "asked_identity").withColumn("request_identity", by_name), cache, "entities", "artist").withColumnsRenamed({"status": "s2", "response": "d2", "retrieved_at": "t2"})
     is_id = F.col("resolution_method") != "search_match"
-    use = F.when(is_id & (F.col("s1") == "success"), "direct").when(is_id & F.coalesce(F.col("s1") != "not_found", F.lit(True)), "error")
+    right = F.coalesce(F.concat(F.lit("mbid:"), F.get_json_object("d1", "$.id")) == F.col("asked_identity"), F.lit(False))
+    use = F.when(is_id & right, "direct").when(is_id & F.coalesce(~F.col("s1").isin("not_found", "success"), F.lit(True)), "error")
     rows = materialise(search.withColumn("use", use.when(F.col("s2") == "success", "search").when(F.col("s2") == "not_found", "none").otherwise("error")), "answers")
     found = F.from_json(F.get_json_object("d2", "$.artists"), _CANDIDATE)
     one = rows.where("use = 'search'").select("artist_key", F.explode(found).alias("c"))
