@@ -46,7 +46,7 @@ def plain(text: str) -> str:
     return unicodedata.normalize("NFC", text)
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def reduce_name(text: str) -> tuple[tuple[str, ...], str]:
     """(tokens in sorted order, qualifier) of a name in its consistent form.
 
@@ -119,7 +119,7 @@ def word_cost(a: str, b: str) -> tuple[float, int]:
     return (0.3 * d, d) if d <= most else (9.0, 0)
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def agree(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     """Cost of laying the tokens of one name on those of the other, one to one; 9 if they do not agree.
 

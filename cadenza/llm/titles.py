@@ -58,7 +58,7 @@ def _version_of(note: str) -> str:
     return " ".join(rest)
 
 
-@lru_cache(400_000)
+@lru_cache(50_000)
 def title_key(text: str) -> str:
     """words, version and numbers of a title in its consistent form, joined by a separator."""
     base, notes = _split(plain(text))
@@ -99,7 +99,7 @@ def _slips(a: str, b: str, limit: int) -> bool:
     return total <= limit
 
 
-@lru_cache(400_000)
+@lru_cache(50_000)
 def same_title(a: str, b: str) -> bool:
     """Whether two keys mean the same title: equal numbers, and words and version equal but for slips of typing."""
     if a == b:
