@@ -34,12 +34,18 @@ def closing(bits: int, gap: int) -> int:
     return bits
 
 
+def _ones(bits: int) -> np.ndarray:
+    """Positions of the set bits; only bytes that hold any are looked into."""
+    data = np.frombuffer(bits.to_bytes(bits.bit_length() // 8 + 1, "little"), np.uint8)
+    at = np.flatnonzero(data)
+    byte, bit = np.nonzero(np.unpackbits(data[at][:, None], axis=1, bitorder="little"))
+    return at[byte] * 8 + bit
+
+
 def _runs(bitmap: bytes, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last position of each run of the closed bitmap."""
     closed = closing(int.from_bytes(bitmap, "little"), gap)
-    size = closed.bit_length() // 8 + 1
-    bits = np.unpackbits(np.frombuffer(closed.to_bytes(size, "little"), np.uint8), bitorder="little")
-    edge = np.flatnonzero(np.diff(bits.astype(np.int8), prepend=0, append=0))
-    return edge[::2], edge[1::2] - 1
+    return _ones(closed & ~(closed << 1)), _ones(closed & ~(closed >> 1))
 
 
 def _block_runs(gap: int):
