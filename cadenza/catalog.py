@@ -54,12 +54,17 @@ def _joined(spark: SparkSession, root: str) -> DataFrame:
     return enriched.with_artists(events(spark, root), load(spark, root, "artist_profile"), validate=False)
 
 
-#: What the enriched marts that read events in several branches need of them.
-_MART_COLUMNS = ["artist_key", "artist_name", "track_name", "scrobbled_at", "date", "year", "tracking_era", "country"]
+def _keyed(spark: SparkSession, root: str) -> DataFrame:
+    return enriched.keyed(events(spark, root), spelled=load(spark, root, "scrobbles"))
 
 
-def _with_artists(spark: SparkSession, root: str) -> DataFrame:
-    return materialise(_joined(spark, root).select(*_MART_COLUMNS), "joined")
+def _written(spark: SparkSession, root: str) -> DataFrame:
+    """Keyed events, written once for a mart that reads them in several branches."""
+    return materialise(_keyed(spark, root).select("artist_key", "artist_name", "track_name", "date", "year", "tracking_era"), "keyed")
+
+
+def _artists(spark: SparkSession, root: str) -> DataFrame:
+    return load(spark, root, "artist_profile")
 
 
 def _weights(spark: SparkSession, root: str) -> DataFrame:
@@ -155,15 +160,15 @@ def tag_weights(spark, root):
 
 
 def artist_profile(spark, root):
-    return plain(enriched.artist_profile(_joined(spark, root), _weights(spark, root)))
+    return plain(enriched.artist_profile(_keyed(spark, root), _artists(spark, root), _weights(spark, root)))
 
 
 def genre_evolution(spark, root):
-    return _rounded(enriched.genre_evolution(_joined(spark, root), _weights(spark, root)), "weighted_scrobbles", "share_of_year", "genre_tag_coverage")
+    return _rounded(enriched.genre_evolution(_keyed(spark, root), _weights(spark, root)), "weighted_scrobbles", "share_of_year", "genre_tag_coverage")
 
 
 def _evolution(spark, root):
-    return enriched.artist_evolution(_joined(spark, root))
+    return enriched.artist_evolution(_keyed(spark, root))
 
 
 def artist_evolution(spark, root):
@@ -171,7 +176,7 @@ def artist_evolution(spark, root):
 
 
 def era_comparison(spark, root):
-    return enriched.era_comparison(_joined(spark, root), CURRENT_YEAR)
+    return enriched.era_comparison(_keyed(spark, root), CURRENT_YEAR)
 
 
 def local_times(spark, root):
@@ -180,7 +185,7 @@ def local_times(spark, root):
 
 
 def _time_patterns(spark, root):
-    return enriched.time_patterns(local_time(_joined(spark, root), PERIODS))
+    return enriched.time_patterns(local_time(_keyed(spark, root), PERIODS))
 
 
 def entities(spark, root):
@@ -196,7 +201,7 @@ def coverage(spark, root):
 
 
 def enriched_coverage(spark, root):
-    return enriched.coverage(_joined(spark, root), _weights(spark, root))
+    return enriched.coverage(_keyed(spark, root), _artists(spark, root), _weights(spark, root))
 
 
 def resolve_candidates(spark, root):
@@ -214,11 +219,11 @@ def resolve_candidates(spark, root):
 
 
 def dashboard_top_artists(spark, root):
-    return consumer.top_artists(enriched.artist_profile(_joined(spark, root), _weights(spark, root)))
+    return consumer.top_artists(enriched.artist_profile(_keyed(spark, root), _artists(spark, root), _weights(spark, root)))
 
 
 def dashboard_genres(spark, root):
-    return consumer.genre_families(enriched.genre_evolution(_joined(spark, root), _weights(spark, root)))
+    return consumer.genre_families(enriched.genre_evolution(_keyed(spark, root), _weights(spark, root)))
 
 
 def dashboard_genre_view(spark, root):
@@ -244,7 +249,7 @@ def dashboard_locations(spark, root):
 
 
 def _geography(spark, root):
-    return enriched.geography_evolution(_joined(spark, root))
+    return enriched.geography_evolution(_keyed(spark, root), _artists(spark, root))
 
 
 def dashboard_countries(spark, root):
@@ -253,7 +258,7 @@ def dashboard_countries(spark, root):
 
 def _insight(name: str):
     def run(spark, root):
-        ev = _with_artists(spark, root)
+        ev = _keyed(spark, root)
         marts = {"genre_evolution": _rounded(enriched.genre_evolution(ev, _weights(spark, root)), "weighted_scrobbles", "share_of_year"), "concentration": enriched.concentration(ev), "diversity": enriched.diversity(ev)}
         return consumer.insights(marts)[name]
 
@@ -278,7 +283,7 @@ def _from_base(builder):
     return lambda spark, root: plain(builder(_base(spark, root)))
 
 
-def _from_artists(builder, read=_joined):
+def _from_keyed(builder, read=_keyed):
     return lambda spark, root: builder(read(spark, root))
 
 
@@ -290,7 +295,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "completed_runs": completed_runs, "latest_incomplete_backfill": latest_incomplete_backfill, "watermark": watermark, "payload_tracks": payload_tracks,
     "reject_reasons": reject_reasons, "event_ids": event_ids, "artist_keys": artist_keys, "artist_bridge": artist_bridge, "silver_profile": silver_profile,
     "tag_weights": tag_weights, "artist_profile": artist_profile, "genre_evolution": genre_evolution, "artist_evolution": artist_evolution,
-    "concentration": _from_artists(enriched.concentration), "diversity": _from_artists(enriched.diversity), "discovery_enriched": _from_artists(enriched.discovery_enriched, _with_artists),
+    "concentration": _from_keyed(enriched.concentration), "diversity": _from_keyed(enriched.diversity), "discovery_enriched": _from_keyed(enriched.discovery_enriched, _written),
     "geography_evolution": _geography, "time_patterns": _time_patterns, "local_time": local_times, "era_comparison": era_comparison, "entities": entities,
     "top_entities": top_entities, "coverage": coverage, "enriched_coverage": enriched_coverage, "resolve_candidates": resolve_candidates,
     "dashboard_top_artists": dashboard_top_artists, "dashboard_genres": dashboard_genres, "dashboard_genre_view": dashboard_genre_view,

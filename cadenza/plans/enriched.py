@@ -22,15 +22,25 @@ MAX_TAGS = 5
 ORDER = ("noise", "genre_style", "geography", "era", "descriptor")  # a tag in several lists belongs to the first
 
 
-def keyed(events: DataFrame, boundary: str = BOUNDARY) -> DataFrame:
-    """Prepared events with artist_key. The key is made once for each different name and joined back."""
+def keyed(events: DataFrame, boundary: str = BOUNDARY, spelled: DataFrame | None = None) -> DataFrame:
+    """Prepared events with artist_key. The key is made once for each different name and joined back. ``spelled``, a table
+    whose artist_name holds every name of the events, spares computing the events twice where they are not a table yet."""
     prepared = prepare(events, boundary)
-    names = prepared.select("artist_name").distinct().withColumn("artist_key", artist_key("artist_name"))
+    names = (prepared if spelled is None else spelled).select("artist_name").distinct().withColumn("artist_key", artist_key("artist_name"))
     return prepared.join(names, "artist_name")
 
 
+def check_bridge(events: DataFrame, artists: DataFrame) -> None:
+    """Raise unless every event has exactly one artist."""
+    joins.require_columns(artists, ["artist_key", "country"], "artists")
+    joins.require_unique(artists, ["artist_key"], "artists")
+    if not events.select("artist_key").distinct().join(artists, ["artist_key"], "left_anti").isEmpty():
+        raise joins.ContractError("artists: events without a row in the dimension")
+
+
 def with_artists(events: DataFrame, artists: DataFrame, boundary: str = BOUNDARY, validate: bool = True) -> DataFrame:
-    """Every event with its artist's metadata; raises if an artist key repeats or an event has no artist."""
+    """Every event with its artist's metadata; raises if an artist key repeats or an event has no artist. The marts do not
+    need it: they count by artist first and meet the dimension after."""
     if validate:
         joins.require_columns(artists, ["artist_key", "country"], "artists")
     return joins.many_to_one(keyed(events, boundary), artists.select(*[c for c in PROFILE if c in artists.columns]), ["artist_key"], "artists", validate)
@@ -73,15 +83,15 @@ def _best(where=None):
     return F.min(tag if where is None else F.when(where, tag))
 
 
-def artist_profile(events: DataFrame, weights: DataFrame) -> DataFrame:
-    """One row for an artist with events: metadata, totals, its best tag and genre."""
+def artist_profile(events: DataFrame, artists: DataFrame, weights: DataFrame) -> DataFrame:
+    """One row for an artist with events: metadata, totals, its best tag and genre. Events are counted before they meet the
+    artists, so no metadata travels with events."""
     totals = events.groupBy("artist_key").agg(
-        F.count("*").alias("total_scrobbles"), F.min("scrobbled_at").alias("first_listen"), F.max("scrobbled_at").alias("last_listen"), F.count_distinct("year").alias("active_years"),
-        *[F.first(c, ignorenulls=True).alias(c) for c in PROFILE[1:]],
-    )
+        F.count("*").alias("total_scrobbles"), F.min("scrobbled_at").alias("first_listen"), F.max("scrobbled_at").alias("last_listen"), F.count_distinct("year").alias("active_years")
+    )
     best = weights.groupBy("artist_key").agg(_best().alias("t"), _best(F.col("tag_category") == "genre_style").alias("g"), F.count("*").alias("tags"))
     best = best.select("artist_key", F.col("t.tag_normalized").alias("primary_tag"), "t.tag_category", F.col("g.genre_family").alias("primary_genre_family"), "tags")
-    out = totals.join(best, "artist_key", "left")
+    out = totals.join(artists.select(*PROFILE), "artist_key", "left").join(best, "artist_key", "left")
     return out.select(
         *PROFILE, "total_scrobbles", "first_listen", "last_listen", "active_years", "primary_tag", "tag_category", "primary_genre_family",
         F.coalesce("tags", F.lit(0)).cast("bigint").alias("tag_count"), F.col("tags").isNotNull().alias("tag_coverage"),
@@ -141,9 +151,11 @@ def discovery_enriched(events: DataFrame) -> DataFrame:
     )
 
 
-def geography_evolution(events: DataFrame) -> DataFrame:
-    known = events.withColumn("country", F.coalesce("country", F.lit("unknown")))
-    g = known.groupBy(*YE, "country").agg(F.count("*").alias("scrobbles"), F.count_distinct("artist_key").alias("unique_artists"))
+def geography_evolution(events: DataFrame, artists: DataFrame) -> DataFrame:
+    """Events by the artist's country. After the count by artist an artist is one row of a year and era, so its distinct
+    count is a plain one."""
+    counts = events.groupBy(*YE, "artist_key").agg(F.count("*").alias("n")).join(artists.select("artist_key", "country"), "artist_key", "left")
+    g = counts.groupBy(*YE, F.coalesce("country", F.lit("unknown")).alias("country")).agg(F.sum("n").alias("scrobbles"), F.count("*").alias("unique_artists"))
     share = F.col("scrobbles") / F.sum("scrobbles").over(Window.partitionBy(*YE))  # one row for a country
     return g.withColumns({"share_of_year": share, "country_known": F.col("country") != "unknown"})
 
@@ -171,13 +183,13 @@ def era_comparison(events: DataFrame, current_year: int) -> DataFrame:
     return y.withColumn("comparison_note", F.when(F.col("partial_calendar_year"), NOTES[True]).otherwise(NOTES[False]))
 
 
-def build_marts(events: DataFrame, weights: DataFrame, periods: list[Period], current_year: int) -> dict[str, DataFrame]:
-    """All enriched marts of events from :func:`with_artists`."""
+def build_marts(events: DataFrame, artists: DataFrame, weights: DataFrame, periods: list[Period], current_year: int) -> dict[str, DataFrame]:
+    """All enriched marts of events from :func:`keyed` and their artists."""
     local = local_time(events, periods)
     return {
-        "artist_profile": artist_profile(events, weights), "genre_evolution": genre_evolution(events, weights), "artist_evolution": artist_evolution(events),
+        "artist_profile": artist_profile(events, artists, weights), "genre_evolution": genre_evolution(events, weights), "artist_evolution": artist_evolution(events),
         "concentration": concentration(events), "diversity": diversity(events), "discovery_enriched": discovery_enriched(events),
-        "geography_evolution": geography_evolution(events), "time_patterns": time_patterns(local), "era_comparison": era_comparison(events, current_year),
+        "geography_evolution": geography_evolution(events, artists), "time_patterns": time_patterns(local), "era_comparison": era_comparison(events, current_year),
     }
 
 
@@ -187,10 +199,11 @@ SORTED = {
 }
 
 
-def coverage(events: DataFrame, weights: DataFrame) -> DataFrame:
+def coverage(events: DataFrame, artists: DataFrame, weights: DataFrame) -> DataFrame:
     """One row: events before and after the join, the size of the event-tag association, and shares of events whose artist
     has a kept tag, a genre tag, a country. One pass over counts by artist."""
-    counts = events.groupBy("artist_key").agg(F.count("*").alias("n"), F.count_if(F.col("country").isNotNull()).alias("placed"))
+    counts = events.groupBy("artist_key").agg(F.count("*").alias("n")).join(artists.select("artist_key", "country"), "artist_key", "left")
+    counts = counts.select("artist_key", "n", F.when(F.col("country").isNotNull(), F.col("n")).otherwise(0).alias("placed"))
     tags = weights.groupBy("artist_key").agg(F.count("*").alias("tags"), F.count_if(F.col("tag_category") == "genre_style").alias("genres"))
     j = counts.join(tags, "artist_key", "left")
     pct = lambda c: F.coalesce(F.bround(F.lit(100) * F.sum(c) / F.sum("n"), 3), F.lit(0.0))

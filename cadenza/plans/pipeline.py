@@ -71,14 +71,16 @@ def build_enriched(
     """The enriched marts, checked and published together with coverage figures and insights."""
     year = current_year or datetime.now(timezone.utc).year
     silver_events = spark.read.parquet(events_path)
-    events = enriched.with_artists(silver_events, spark.read.parquet(artists_path), boundary).persist()
+    artists = spark.read.parquet(artists_path)
+    events = enriched.keyed(silver_events, boundary).persist()
+    enriched.check_bridge(events, artists)
     weights = enriched.tag_weights(spark.read.parquet(tags_path), taxonomy, most_tags).persist()
-    marts = enriched.build_marts(events, weights, periods, year)
+    marts = enriched.build_marts(events, artists, weights, periods, year)
     for name, df in marts.items():
         quality.require(df, quality.mart_rules(df), name)
     n = silver_events.count()
     quality.conserved(n, {"diversity": (marts["diversity"], "scrobbles"), "time_patterns": (marts["time_patterns"], "scrobbles")})
-    facts = {"quality": enriched.coverage(events, weights).first().asDict() | {"silver_events": n}, "profile": enriched.profile(events).first().asDict()}
+    facts = {"quality": enriched.coverage(events, artists, weights).first().asDict() | {"silver_events": n}, "profile": enriched.profile(events).first().asDict()}
     from .consumer import insights
 
     found = {k: [r.asDict() for r in df.collect()] for k, df in insights(marts).items()}  # a few rows each

@@ -91,7 +91,11 @@ def test_enriched(spark):
         enriched.with_artists(ev, artists.limit(1))
     w = enriched.tag_weights(tags, taxonomy)
     assert sorted(round(r.tag_weight, 6) for r in w.collect()) == [0.333333, 0.666667, 1.0]
-    marts = enriched.build_marts(joined, w, periods_of(CONFIG), 2021)
+    keyed = enriched.keyed(ev)
+    enriched.check_bridge(keyed, artists)
+    with pytest.raises(ContractError):
+        enriched.check_bridge(keyed, artists.limit(1))
+    marts = enriched.build_marts(keyed, artists, w, periods_of(CONFIG), 2021)
     g = {(r.year, r.genre_family): r for r in marts["genre_evolution"].collect()}
     assert round(g[2020, "rock"].weighted_scrobbles, 6) == 1.333333
     assert round(g[2020, "rock"].genre_tag_coverage, 6) == 0.666667
@@ -100,7 +104,7 @@ def test_enriched(spark):
     last = marts["era_comparison"].orderBy(F.desc("year")).first()
     assert last.partial_calendar_year
     assert {r.country for r in marts["geography_evolution"].collect()} == {"AR", "unknown"}
-    c = enriched.coverage(joined, w).first()
+    c = enriched.coverage(keyed, artists, w).first()
     assert (c.events, c.tag_association_rows, c.tagged_event_coverage_pct, c.geographic_event_coverage_pct) == (4, 6, 100.0, 50.0)
 
 
