@@ -151,7 +151,7 @@ def listening_patterns(spark, root):
 
 
 def gold_profile(spark, root):
-    ev = events(spark, root)
+    ev = materialise(events(spark, root).select("artist_name", "track_name", "scrobbled_at"), "events")
     return gold.profile(ev, gold.build_marts(ev))
 
 

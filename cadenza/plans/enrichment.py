@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import artist_key, canonical_text, tag_normalized
+from ..storage import materialise
 from .gold import one_row
 
 
@@ -104,7 +105,7 @@ def coverage(events: DataFrame, artists: DataFrame, tags: DataFrame) -> DataFram
     """One row: artists by resolution, and the shares of evaluated artists, and of their events, that are resolved or tagged.
     Events are counted by name before anything is joined."""
     names = events.where("artist_name is not null").groupBy("artist_name").agg(F.count("*").alias("n")).withColumn("artist_key", artist_key("artist_name"))
-    counts = names.groupBy("artist_key").agg(F.sum("n").alias("n"))
+    counts = materialise(names.groupBy("artist_key").agg(F.sum("n").alias("n")), "counts")  # read twice
     tagged = tags.select("artist_key").where("artist_key is not null").distinct().withColumn("tagged", F.lit(1))
     own = artists.groupBy("artist_key").agg(F.max("resolution_status").alias("status"))
     j = own.join(tagged, "artist_key", "left").join(counts, "artist_key", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "tagged": F.coalesce("tagged", F.lit(0)), "resolved": (F.col("status") == "resolved").cast("int")})
