@@ -71,21 +71,21 @@ def _prefixes(least: float):
                 w /= math.sqrt(float((w * w).sum())) or 1.0
                 rest = np.sqrt(np.concatenate([np.cumsum((w * w)[::-1])[::-1], [0.0]]))
                 n = int((rest[:-1] >= least - 1e-9).sum())
-                out.append((i, *looks, [p[1] for p in parts], w.tolist(), n, float(rest[n])))
-            yield pd.DataFrame(out, columns=["fid", *SHAPE, "grams", "weights", "n", "rest"])
+                out.append((i, *looks, [p[1] for p in parts], w.tolist(), rest[1:].tolist(), n, float(rest[n])))
+            yield pd.DataFrame(out, columns=["fid", *SHAPE, "grams", "weights", "after", "n", "rest"])
 
     return run
 
 
 def vectors(forms: DataFrame, least: float) -> DataFrame:
-    """(fid, form, nt, heads, letters, size, loose, grams, weights, n, rest): unit vectors, rarest n-gram first; the first n make the postings, the rest
-    of the vector has the length ``rest`` < ``least``."""
+    """(fid, form, nt, heads, letters, size, loose, grams, weights, after, n, rest): unit vectors, rarest n-gram first; the first n make the postings, the rest
+    of the vector has the length ``rest`` < ``least``; ``after`` is the length of the vector behind each n-gram."""
     total = forms.count()
     grams = materialise(forms.mapInPandas(_grams, "fid bigint, gram string, tf int, heads bigint, letters bigint, size int, loose boolean"), "grams")
     df = grams.groupBy("gram").agg(F.count("*").alias("df"))
     part = F.struct("df", "gram", (F.col("tf") * F.log(1 + F.lit(float(total)) / F.col("df"))).alias("w"))
     by_form = grams.join(df, "gram").groupBy("fid").agg(F.collect_list(part).alias("parts"), *[F.first(c).alias(c) for c in SHAPE])
-    vec = by_form.mapInPandas(_prefixes(least), "fid bigint, heads bigint, letters bigint, size int, loose boolean, grams array<string>, weights array<double>, n int, rest double")
+    vec = by_form.mapInPandas(_prefixes(least), "fid bigint, heads bigint, letters bigint, size int, loose boolean, grams array<string>, weights array<double>, after array<double>, n int, rest double")
     return materialise(vec.join(forms, "fid").withColumn("nt", F.size(F.split("form", " "))), "vectors")
 
 
@@ -103,20 +103,23 @@ def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def similar_forms(vec: DataFrame, least: float = COSINE) -> DataFrame:
     """(fa, fb, sim), fa < fb: forms of as many tokens with a cosine of at least ``least`` whose tokens agree.
 
-    The products of common prefix n-grams plus the largest possible product of the rests bound a pair's cosine from above.
-    Pairs whose shapes differ too much cannot agree and leave the join at once.
+    Behind the last n-gram that both prefixes hold, one of the two vectors shares only what follows its own prefix, and the
+    other at most what it has left there, its own prefix included: that product and the products of common prefix n-grams
+    bound a pair's cosine from above. Pairs whose shapes differ too much cannot agree and leave the join at once.
     """
-    parts = F.arrays_zip(F.slice("grams", 1, F.col("n")).alias("g"), F.slice("weights", 1, F.col("n")).alias("w"))
-    post = vec.select("fid", "nt", *SHAPE, F.explode(parts).alias("p")).select("fid", "nt", *SHAPE, F.col("p.g").alias("g"), F.col("p.w").cast("float").alias("w"))
-    a, b = (post.select("g", "nt", *[F.col(c).alias(f"{c}_{s}") for c in ("fid", *SHAPE, "w")]) for s in "ab")
+    parts = F.arrays_zip(*[F.slice(c, 1, F.col("n")).alias(c) for c in ("grams", "weights", "after")])
+    post = vec.select("fid", "nt", *SHAPE, F.col("rest").cast("float").alias("rest"), F.explode(parts).alias("p"))
+    post = post.select("fid", "nt", *SHAPE, "rest", F.col("p.grams").alias("g"), *[F.col(f"p.{c}").cast("float").alias(n) for c, n in (("weights", "w"), ("after", "after"))])
+    a, b = (post.select("g", "nt", *[F.col(c).alias(f"{c}_{s}") for c in ("fid", *SHAPE, "w", "after", "rest")]) for s in "ab")
+    left = F.greatest(F.col("rest_a") * F.col("after_b"), F.col("after_a") * F.col("rest_b"))
     bits = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
     close = (F.abs(F.col("size_a") - F.col("size_b")) <= MOST_SLIPS) & (bits("letters") <= 2 * MOST_SLIPS)
     pairs = (
         a.join(b, ["g", "nt"])
         .where((F.col("fid_a") < F.col("fid_b")) & (bits("heads") <= 2) & (close | F.col("loose_a") | F.col("loose_b")))
         .groupBy("fid_a", "fid_b")
-        .agg(F.sum(F.col("w_a") * F.col("w_b")).alias("dot"))
-        .where(F.col("dot") >= least - least * least - 1e-4)
+        .agg(F.sum(F.col("w_a") * F.col("w_b")).alias("dot"), F.min(left).alias("left"))
+        .where(F.col("dot") + F.col("left") >= least - 1e-4)
         .select("fid_a", "fid_b")
     )
     sides = [vec.select(*[F.col(c).alias(f"{c}_{s}") for c in ("fid", "form", "grams", "weights")]) for s in "ab"]

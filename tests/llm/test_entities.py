@@ -96,6 +96,29 @@ def test_prefix_join_is_exact(spark):
     assert {(r.fa, r.fb) for r in entities.similar_forms(vec, 0.35).collect()} == want
 
 
+def test_prefix_join_of_frequent_beside_rare(spark):
+    """A rare word ends one form's prefix before the words it shares with another form, whose prefix holds them."""
+    rng = random.Random(0)
+    word = lambda n: "".join(rng.choice("abdegiklmnorstuv") for _ in range(n))
+    often, forms = [word(rng.randint(5, 7)) for _ in range(20)], set()
+    for _ in range(200):
+        a, b = rng.choice(often), word(rng.randint(5, 9))
+        k = rng.randrange(1, len(b) - 2)
+        twin = b[:k] + b[k + 1] + b[k] + b[k + 2 :]
+        slip = a[:-2] + a[-1] + a[-2]
+        forms |= {" ".join(sorted(p)) for p in ((a, b), (a, twin), (slip, twin), (a, b + rng.choice("aeiou")))}
+    vec = entities.vectors(spark.createDataFrame(list(enumerate(sorted(forms))), "fid bigint, form string"), 0.35)
+    rows = [(r.fid, r.nt, tuple(r.form.split(" ")), dict(zip(r.grams, r.weights, strict=True)), set(r.grams[: r.n])) for r in vec.collect()]
+    want, tight = set(), 0
+    for i, n, x, u, p in rows:
+        for j, m, y, v, q in rows:
+            if i < j and n == m and u.keys() & v.keys() and agree(x, y) < 9 and sum(w * v.get(g, 0) for g, w in u.items()) >= 0.35:
+                want.add((i, j))
+                tight += sum(u[g] * v[g] for g in p & q) < 0.35 - 0.35 * 0.35 - 1e-4
+    assert tight
+    assert {(r.fa, r.fb) for r in entities.similar_forms(vec, 0.35).collect()} == want
+
+
 def test_words():
     assert near("abcd", "abdc", 2) == 1
     assert near("abc", "xyz", 2) == 3
