@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from .catalog_sql import SQL  # noqa: F401
 from .functions.calendar import Period, local_time
-from .functions.text import artist_key, event_id
+from .functions.text import artist_key, canonical_text, event_id
 from .operators import dedup
 from .operators.sessions import sessions
 from .plans import consumer, enriched, enrichment, gold, pages, silver
@@ -206,16 +206,18 @@ def enriched_coverage(spark, root):
 
 def resolve_candidates(spark, root):
     """Each unresolved artist's candidates are the resolved artists whose canonical name has the same first word; the score is
-    made of the lengths of both names, so that every branch of the resolution occurs."""
+    made of the lengths of both names, so that every branch of the resolution occurs. Candidates are counted by word, by word
+    and spelling, and by word and length before they meet the artists: a word in many names makes no pairs."""
     a = load(spark, root, "artist_profile")
     word = lambda c: F.lower(F.substring_index(c, " ", 1))
-    asked = a.where("resolution_status <> 'resolved'").select("artist_key", F.col("source_artist_name").alias("name"))
-    known = a.where("resolution_status = 'resolved' and canonical_name is not null and length(canonical_name) % 7 = 3")
-    known = known.select(F.col("artist_key").alias("id"), F.col("canonical_name").alias("cand"), word(F.col("canonical_name")).alias("w"))
-    pairs = asked.withColumn("w", word(F.col("name"))).join(known, "w")
-    score = F.when(F.length("cand") == F.length("name"), 95).otherwise(50)
-    cands = pairs.select("artist_key", "id", F.col("cand").alias("name"), F.lit(None).cast("string").alias("sort_name"), score.alias("score"), F.array().cast("array<string>").alias("aliases"))
-    return enrichment.resolve(asked, cands)
+    name = F.col("source_artist_name")
+    asked = a.where("resolution_status <> 'resolved'").select("artist_key", word(name).alias("w"), canonical_text(name).alias("spelling"), F.length(name).alias("size"))
+    known = a.where("resolution_status = 'resolved' and canonical_name is not null")
+    known = known.select(F.col("artist_key").alias("id"), word(F.col("canonical_name")).alias("w"), canonical_text("canonical_name").alias("spelling"), F.length("canonical_name").alias("size"))
+    counts = lambda by, n, *least: known.groupBy(*by).agg(F.count_distinct("id").alias(n), *[F.min("id").alias(c) for c in least])
+    met = asked.join(counts(["w"], "candidate_count"), "w")
+    met = met.join(counts(["w", "spelling"], "exacts", "exact_id"), ["w", "spelling"], "left").join(counts(["w", "size"], "sures", "sure_id"), ["w", "size"], "left")
+    return enrichment.decided(asked, met.select("artist_key", "candidate_count", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("exacts", "sures")], "exact_id", "sure_id"))
 
 
 def dashboard_top_artists(spark, root):

@@ -28,6 +28,17 @@ landed AS (SELECT *, scrobbled_at AT TIME ZONE 'UTC' AS ts FROM scrobbles WHERE
 ev AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY scrobble_id ORDER BY ts, bronze_run_id, bronze_page, row_no) AS k FROM landed) WHERE k = 1),
 e AS (SELECT *, ts::DATE AS d, year(ts)::INTEGER AS year, month(ts)::INTEGER AS month, (isodow(ts) - 1)::INTEGER AS weekday, hour(ts)::INTEGER AS hour,
   CASE WHEN ts >= TIMESTAMP '2020-01-01 00:00:00' THEN 'consistent_tracking' ELSE 'partial_tracking' END AS tracking_era FROM ev)"""
+_FOLD = lambda c: f"replace(replace(lower(trim(regexp_replace(translate({c}, {_q(_BLANKS)}, {_q(' ' * len(_BLANKS))}), '\\s+', ' ', 'g'))), 'ß', 'ss'), 'ς', 'σ')"
+RESOLVED = f"""
+WITH r AS (SELECT artist_key, source_artist_name AS name FROM artist_profile WHERE resolution_status <> 'resolved'),
+k AS (SELECT artist_key AS id, canonical_name AS cand FROM artist_profile WHERE resolution_status = 'resolved' AND canonical_name IS NOT NULL),
+p AS (SELECT artist_key, id, max({_FOLD("cand")} = {_FOLD("name")}) AS exact, max(length(cand) = length(name)) AS sure
+  FROM r JOIN k ON lower(split_part(name, ' ', 1)) = lower(split_part(cand, ' ', 1)) GROUP BY ALL),
+c AS (SELECT artist_key, count(*) AS n, count(*) FILTER (exact) AS exacts, count(*) FILTER (sure) AS sures, min(id) FILTER (exact) AS exact_id, min(id) FILTER (sure) AS sure_id FROM p GROUP BY 1)
+SELECT artist_key, CASE WHEN n IS NULL THEN 'not_found' WHEN exacts = 1 OR exacts = 0 AND sures = 1 THEN 'resolved' ELSE 'ambiguous' END AS status,
+  CASE WHEN n IS NULL THEN NULL WHEN exacts = 1 THEN 'high' WHEN exacts = 0 AND sures = 1 THEN 'medium' ELSE 'low' END AS confidence,
+  CASE WHEN exacts = 1 THEN exact_id WHEN exacts = 0 AND sures = 1 THEN sure_id END AS candidate_id, coalesce(n, 0)::BIGINT AS candidate_count
+FROM r LEFT JOIN c USING (artist_key)"""
 TS, DAY = "'%Y-%m-%d %H:%M:%S'", "'%Y-%m-%d'"
 ARTISTS = (
     LANDED
@@ -192,6 +203,7 @@ SQL: dict[str, str] = {
     "dashboard_heatmap": f"WITH {PATTERNS} SELECT local_weekday, local_hour, sum(scrobbles)::BIGINT AS scrobbles, ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'][local_weekday + 1] AS weekday FROM tp WHERE tracking_era = 'consistent_tracking' GROUP BY ALL",
     "dashboard_locations": f"WITH {PATTERNS} SELECT location, sum(scrobbles)::BIGINT AS scrobbles FROM tp WHERE tracking_era = 'consistent_tracking' GROUP BY ALL",
     "dashboard_countries": f"WITH {GEO} SELECT country, sum(scrobbles)::BIGINT AS scrobbles, sum(unique_artists)::BIGINT AS artist_years FROM geo WHERE country <> 'unknown' GROUP BY ALL ORDER BY 2 DESC, 1 LIMIT 20",
+    "resolve_candidates": RESOLVED,
     "insight_genres": f"WITH {GENRE} SELECT year, genre_family, share_of_year FROM ge ORDER BY weighted_scrobbles DESC, year, genre_family LIMIT 5",
     "insight_concentration": f"WITH {CONC} SELECT * FROM conc ORDER BY top_1_share DESC, year, tracking_era LIMIT 3",
     "insight_diversity": f"WITH {DIV} SELECT * FROM div ORDER BY artists_per_100_scrobbles DESC, year, tracking_era LIMIT 3",

@@ -49,6 +49,11 @@ def resolve(requests: DataFrame, candidates: DataFrame, sure_score: int = 95) ->
         F.count("*").alias("candidate_count"), F.count_if(exact).alias("exacts"), F.count_if(sure).alias("sures"),
         F.min(F.when(exact, F.col("id"))).alias("exact_id"), F.min(F.when(sure, F.col("id"))).alias("sure_id"),
     )
+    return decided(requests, per)
+
+
+def decided(requests: DataFrame, per: DataFrame) -> DataFrame:
+    """The outcome of each request, from what is known of its candidates: (artist_key, candidate_count, exacts, sures, exact_id, sure_id)."""
     out = requests.select("artist_key").join(per, "artist_key", "left")
     one, two = F.col("exacts") == 1, (F.col("exacts") == 0) & (F.col("sures") == 1)
     return out.select(
