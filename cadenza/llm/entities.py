@@ -1,8 +1,9 @@
 """Variant spellings of names (problem 4).
 
 Names become reduced forms; distinct forms get idf-weighted vectors of character 4-grams; a prefix-filtered sparse join finds
-every pair of forms with a cosine of at least ``cosine``; the tokens of such pairs are laid on each other; average-linkage
-clustering groups the units (an id, or a spelling without id) whose mean similarity is high enough.
+every pair of forms with a cosine of at least ``cosine``; keys of whole forms (:mod:`.slips`) add the pairs below it that are
+slips of typing, initials or nicknames apart; the tokens of all these pairs are laid on each other; average-linkage clustering
+groups the units (an id, or a spelling without id) whose mean similarity is high enough.
 
 The join takes no top-n: n is unbounded, so no partner is lost. A form's postings hold only its rarest n-grams, up to where
 the rest of its vector is shorter than the threshold: two vectors without a common n-gram there cannot reach it.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from ..storage import materialise
 from .graph import components
 from .names import MOST_SLIPS, agree, reduced, shape
+from .slips import key_rows
 
 GRAM, COSINE, LINK, LARGE = 4, 0.35, 0.2, 2000
 SHAPE = ["heads", "letters", "size", "loose"]
@@ -126,6 +128,23 @@ def similar_forms(vec: DataFrame, least: float = COSINE) -> DataFrame:
     return pairs.join(sides[0], "fid_a").join(sides[1], "fid_b").mapInPandas(_check, "fa bigint, fb bigint, sim double")
 
 
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        costs = [agree(tuple(x.split(" ")), tuple(y.split(" "))) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        sim = pa.array([1 - 0.15 * c if c < 9 else 0.0 for c in costs], pa.float64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sim], ["fa", "fb", "sim"])
+
+
+def agreeing_forms(forms: DataFrame) -> DataFrame:
+    """(fa, fb, sim), fa < fb: every pair of forms (fid, form) whose tokens agree, whatever its cosine: one slip can change all
+    rare n-grams of a short name, and beside a frequent word nothing else is left. Such pairs meet at a key of the whole form."""
+    parts = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = forms.repartition(parts, "fid").mapInArrow(key_rows, "fid bigint, k bigint, short boolean")
+    pairs = rows.alias("x").join(rows.alias("y"), "k").where("x.fid < y.fid and not (x.short and y.short)").select(F.col("x.fid").alias("fa"), F.col("y.fid").alias("fb")).distinct()
+    pairs = pairs.join(forms.toDF("fa", "form_a"), "fa").join(forms.toDF("fb", "form_b"), "fb")
+    return pairs.select("fa", "fb", "form_a", "form_b").mapInArrow(_agreeing, "fa bigint, fb bigint, sim double").where("sim > 0")
+
+
 def _clash(*columns: str):
     """Whether one of the columns is known on both sides and differs."""
     c = F.lit(False)
@@ -144,7 +163,8 @@ def unit_edges(rows: DataFrame, least: float = COSINE) -> tuple[DataFrame, DataF
     )
     named = rows.select("unit", F.col("form").alias("form")).unionByName(rows.select("unit", F.col("canon").alias("form")))
     of = materialise(named.where("form is not null").distinct().withColumn("fid", F.xxhash64("form")), "forms")
-    sims = similar_forms(vectors(of.select("fid", "form").distinct(), least), least)
+    forms = of.select("fid", "form").distinct()
+    sims = similar_forms(vectors(forms, least), least).unionByName(agreeing_forms(forms)).distinct()
     ids = of.select("fid", "unit")
     apart = sims.join(ids.toDF("fa", "a"), "fa").join(ids.toDF("fb", "b"), "fb").select("a", "b", "sim")
     # units that share a form: each is tied to the least unit without an id, units with different ids stay apart anyway

@@ -1,0 +1,101 @@
+"""Keys of forms such that every two forms that :func:`names.agree` accepts have one in common (problem 4).
+
+Two words d slips apart give the same text after at most d letters are taken from each. A key is the sum of the hashes of a
+form's tokens, each as it stands, with letters taken out, as its first letter, or as the full name of a nickname; so the order
+of the tokens makes no difference, and as a key speaks for a whole form, a frequent word gathers nothing.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations, product
+
+import numpy as np
+import pyarrow as pa
+
+from .names import FULL, MOST_SLIPS
+
+BASE = 0x9E3779B97F4A7C15
+BACK = pow(BASE, -1, 1 << 64)
+MOST_COST = 1.1
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+@lru_cache(20_000)
+def taken(word: str) -> tuple[np.ndarray, ...]:
+    """Hashes of ``word`` with 0, 1 and 2 letters taken out, as many as it may have slips beside a word as long or longer."""
+    n = len(word)
+    power = np.cumprod(np.array([1, *[BASE] * n], np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array([ord(c) + 1 for c in word], np.uint64) * power[:n])])
+    out, back, back2 = [sums[-1:]], np.uint64(BACK), np.uint64(BACK * BACK % (1 << 64))
+    if n >= 3:
+        i = np.arange(n)
+        out.append(sums[i] + (sums[n] - sums[i + 1]) * back)
+    if n >= 5:
+        i, j = np.triu_indices(n, 1)
+        out.append(sums[i] + (sums[j] - sums[i + 1]) * back + (sums[n] - sums[j + 1]) * back2)
+    return tuple(_mixed(np.unique(h)) for h in out)
+
+
+def _ways(word: str, initial: bool) -> list[tuple[int, float, np.ndarray]]:
+    """(letters taken, cost of being loose, hashes) of a token other than as it stands."""
+    ways = [(d, 0.0, h) for d, h in enumerate(taken(word)) if d]
+    ways += [(0, 0.4, taken(full)[0]) for full in sorted(FULL.get(word, ()))]
+    return ways + ([(0, 0.5, taken(word[0])[0])] if initial else [])
+
+
+def keys(form: str) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, whether a token stands as its first letter) of a form.
+
+    A form with a one-letter token has at most one other (``names.reduce_name`` drops middle initials), which must be a full
+    word on both sides; so such a form takes no further first letters. A form without meets it with all tokens but one as
+    first letters: one of two, or two of three, as three cost too much. Two forms without need no first letters."""
+    count = Counter(form.split(" "))
+    tokens, n = sorted(count), count.total()
+    short = n - 1 if n in (2, 3) and all(len(t) > 1 for t in tokens) else 0
+    whole = sum((taken(t)[0] * np.uint64(c) for t, c in count.items()), np.zeros(1, np.uint64))
+    found: tuple[list, list] = ([whole], [])
+    places = [t for t in tokens for _ in range(min(count[t], 3))]
+    ways = {t: _ways(t, short > 0) for t in tokens}
+    # at most two tokens have slips, so a third one is loose
+    most = 3 if any(cost for w in ways.values() for _, cost, _ in w) else 2
+    for size in range(1, min(most, len(places)) + 1):
+        for chosen in sorted(set(combinations(places, size))):
+            for pick in product(*[ways[t] for t in chosen]):
+                letters, initials = sum(p[0] for p in pick), sum(p[1] == 0.5 for p in pick)
+                if letters > MOST_SLIPS or 0.3 * letters + sum(p[1] for p in pick) > MOST_COST + 1e-9 or initials not in (0, short):
+                    continue
+                h = whole - sum((taken(t)[0] for t in chosen), np.zeros(1, np.uint64))
+                for p in pick:
+                    h = (h[:, None] + p[2][None, :]).ravel()
+                found[initials > 0].append(h)
+    sets = [np.unique(np.concatenate(f)) if f else np.zeros(0, np.uint64) for f in found]
+    return np.concatenate(sets), np.repeat([False, True], [len(s) for s in sets])
+
+
+def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fid, k, short) of rows (fid, form)."""
+    for b in batches:
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        size = 0
+        for fid, form in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            held.append((fid, *keys(form)))
+            size += len(held[-1][1])
+            if size > 200_000:
+                yield _rows(held)
+                held, size = [], 0
+        if held:
+            yield _rows(held)
+
+
+def _rows(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    fid = np.repeat(np.array([h[0] for h in held], np.int64), [len(h[1]) for h in held])
+    k, short = (np.concatenate([h[i] for h in held]) for i in (1, 2))
+    return pa.RecordBatch.from_arrays([pa.array(fid), pa.array(k.view(np.int64)), pa.array(short)], ["fid", "k", "short"])

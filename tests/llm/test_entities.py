@@ -119,6 +119,35 @@ def test_prefix_join_of_frequent_beside_rare(spark):
     assert {(r.fa, r.fb) for r in entities.similar_forms(vec, 0.35).collect()} == want
 
 
+def test_every_pair_that_agrees_is_found(spark):
+    """By brute force over all pairs: slips in short words, initials, nicknames, frequent words beside rare ones."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("aeglnorst") for _ in range(n))
+    some = ["band", "bob", "robert", "rick", "richard", "frederick", "r", "j", "alex", "alexander"] + [word(rng.randint(2, 6)) for _ in range(8)]
+    forms = {"nunloikvo r", "nunlokivo r", "luvus zotha", "lvuus zotha", "j r zotha", "john robert zotha", "j r zohta", "bob zotha zotha", "robert zohta zotah"}
+    for _ in range(150):
+        tokens = [rng.choice(some) for _ in range(rng.randint(1, 3))]
+        for _ in range(2):
+            t = list(rng.choice(tokens))
+            k = rng.randrange(len(t))
+            t[k : k + 2] = rng.choice([t[k : k + 2][::-1], t[k + 1 : k + 2], [*t[k : k + 2], "e"], ["o", *t[k + 1 : k + 2]]])
+            tokens[rng.randrange(len(tokens))] = "".join(t) or "a"
+            full = [x for x in tokens if len(x) > 1]
+            forms.add(" ".join(sorted(full if len(tokens) > 2 and len(full) > 1 else tokens)))
+    named = list(enumerate(sorted(forms)))
+    want = {(i, j) for i, x in named for j, y in named if i < j and agree(tuple(x.split(" ")), tuple(y.split(" "))) < 9}
+    df = spark.createDataFrame(named, "fid bigint, form string")
+    got = {(r.fa, r.fb) for r in entities.agreeing_forms(df).collect()}
+    assert got == want
+    assert len(want - {(r.fa, r.fb) for r in entities.similar_forms(entities.vectors(df, 0.35), 0.35).collect()}) > 10
+
+
+def test_slips_beside_frequent_words_link(spark):
+    rows = [("a1", "Nunloikvo R.", None, None, None), ("a2", "Nunlokivo R.", None, None, None)]
+    rows += [(f"o{i}", f"Nunl{x}ko {y}", None, None, None) for i, (x, y) in enumerate((x, y) for x in "aeiou" for y in ("Kibbert", "Vazzum", "Doltre"))]
+    assert ["a1", "a2"] in linked(spark, rows)
+
+
 def test_words():
     assert near("abcd", "abdc", 2) == 1
     assert near("abc", "xyz", 2) == 3
