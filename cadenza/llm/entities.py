@@ -3,7 +3,7 @@
 Names become reduced forms; distinct forms get idf-weighted vectors of character 4-grams; a prefix-filtered sparse join finds
 every pair of forms with a cosine of at least ``cosine``; keys of whole forms (:mod:`.slips`) add the pairs below it that are
 slips of typing, initials or nicknames apart; the tokens of all these pairs are laid on each other; average-linkage clustering
-groups the units (an id, or a spelling without id) whose mean similarity is high enough.
+groups the units (an id, or spellings without id that share a form) whose mean similarity is high enough.
 
 The join takes no top-n: n is unbounded, so no partner is lost. A form's postings hold only its rarest n-grams, up to where
 the rest of its vector is shorter than the threshold: two vectors without a common n-gram there cannot reach it.
@@ -156,6 +156,20 @@ def _clash(*columns: str):
 ATTRS = ("mbid", "country", "qual")
 
 
+def joined(rows: DataFrame) -> DataFrame:
+    """Rows with one unit for the units without id that share a form, a qualifier and a country, known or not: they cannot clash
+    and are spellings of one, as those of an id are. In the linkage their number would count against them."""
+    free = rows.where("mbid is null").groupBy("unit").agg(F.max("country").alias("country"), F.max("qual").alias("qual"))
+    named = rows.where("mbid is null").select("unit", F.explode(F.array("form", "canon")).alias("form")).where("form is not null")
+    at = named.join(free, "unit").select("unit", F.xxhash64("form", "qual", F.coalesce("country", F.lit(""))).alias("k")).distinct()
+    hub = at.groupBy("k").agg(F.min("unit").alias("a"), F.max("unit").alias("z")).where("a < z").select("k", "a")
+    ties = materialise(at.join(hub, "k").where("a <> unit").select("a", F.col("unit").alias("b")).distinct(), "ties")
+    if ties.isEmpty():
+        return rows
+    into = components(ties).withColumnRenamed("v", "unit")
+    return materialise(rows.join(into, "unit", "left").withColumn("unit", F.coalesce("component", "unit")).select(*rows.columns), "names")
+
+
 def unit_edges(rows: DataFrame, least: float = COSINE) -> tuple[DataFrame, DataFrame]:
     """(units with attributes, edges (a, b, sim) between units that may mean the same)."""
     units = materialise(
@@ -167,10 +181,9 @@ def unit_edges(rows: DataFrame, least: float = COSINE) -> tuple[DataFrame, DataF
     sims = similar_forms(vectors(forms, least), least).unionByName(agreeing_forms(forms)).distinct()
     ids = of.select("fid", "unit")
     apart = sims.join(ids.toDF("fa", "a"), "fa").join(ids.toDF("fb", "b"), "fb").select("a", "b", "sim")
-    # units that share a form: each is tied to the least unit without an id, units with different ids stay apart anyway
-    mixed = ids.join(units.select("unit", "mbid"), "unit")
-    hub = mixed.where("mbid is null").groupBy("fid").agg(F.min("unit").alias("a"))
-    same = mixed.join(hub, "fid").where("a <> unit").select("a", F.col("unit").alias("b"), F.lit(1.0).alias("sim"))
+    # units that share a form: after ``joined`` those without an id are one for each qualifier and country; units with different ids stay apart anyway
+    free = ids.join(units.where("mbid is null").select("unit"), "unit").select("fid", F.col("unit").alias("a"))
+    same = free.join(ids.toDF("fid", "b"), "fid").select("a", "b", F.lit(1.0).alias("sim"))
     edges = apart.unionByName(same).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").groupBy("a", "b").agg(F.max("sim").alias("sim"))
     sides = [units.select(F.col("unit").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ATTRS]) for s in "ab"]
     edges = edges.join(sides[0], "a").join(sides[1], "b").where(~_clash(*ATTRS))
@@ -274,7 +287,7 @@ def link_names(
     cluster; an empty table gives an empty table; other columns are ignored. Components of more than ``large`` units are
     clustered by :func:`linkage_rounds`, smaller ones in one task each, with the same result.
     """
-    rows = materialise(name_rows(df, key, name, canonical, ident, country), "names")
+    rows = joined(materialise(name_rows(df, key, name, canonical, ident, country), "names"))
     units, edges = unit_edges(rows, cosine)
     comp = materialise(components(edges), "components")
     # components is keyed by unit; its size tells which way it goes

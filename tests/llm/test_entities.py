@@ -148,6 +148,17 @@ def test_slips_beside_frequent_words_link(spark):
     assert ["a1", "a2"] in linked(spark, rows)
 
 
+def test_units_that_share_a_form(spark):
+    names = ["Vorn Alpima", "Kestrel Moob", "Tidjuva", "Hessic Brundal", "Opplan", "Quezim Larrow", "Fennuk", "Dastrob Yilm", "Wuxal", "Jempit Gorsu"]
+    rows = [(f"s{i}", n, "Ranmel Nivel Ensemble", None, None) for i, n in enumerate(names)]
+    assert linked(spark, rows) == [[f"s{i}" for i in range(10)]]
+    rows, want = [], []
+    for i, n in enumerate(names):
+        rows += [(f"{i}a", f"{n} (IS)", None, None, None), (f"{i}b", f"{n} (SE)", None, f"m{i}", None), (f"{i}c", f"{n} (SE)", None, None, None)]
+        want += [[f"{i}a"], [f"{i}b", f"{i}c"]]
+    assert linked(spark, rows) == want
+
+
 def test_words():
     assert near("abcd", "abdc", 2) == 1
     assert near("abc", "xyz", 2) == 3
