@@ -1,12 +1,14 @@
 """Variant spellings of names (problem 4).
 
-Names become reduced forms; distinct forms get idf-weighted vectors of character 4-grams; a prefix-filtered sparse join finds
-every pair of forms with a cosine of at least ``cosine``; keys of whole forms (:mod:`.slips`) add the pairs below it that are
-slips of typing, initials or nicknames apart; the tokens of all these pairs are laid on each other; average-linkage clustering
-groups the units (an id, or spellings without id that share a form) whose mean similarity is high enough.
-
-The join takes no top-n: n is unbounded, so no partner is lost. A form's postings hold only its rarest n-grams, up to where
-the rest of its vector is shorter than the threshold: two vectors without a common n-gram there cannot reach it.
+Names become reduced forms; distinct forms get idf-weighted vectors of character 3-grams, in which a nickname also holds the
+n-grams of the names it stands for; a prefix-filtered sparse join finds every pair of forms with a cosine of at least
+``cosine``; pairs whose tokens cannot be laid on each other lose theirs (an exact check: two people of one rare surname have a
+high cosine too); average-linkage clustering over the cosines groups the units (an id, or spellings without id that share a
+form) whose mean is high enough.
+
+``top`` keeps the best partners of each form only; by default it is unbounded and no partner is lost. A form's postings hold
+only its rarest n-grams, up to where the rest of its vector is shorter than the threshold: two vectors without a common n-gram
+there cannot reach it.
 """
 
 from __future__ import annotations
@@ -18,15 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
 from .graph import components
-from .names import MOST_SLIPS, agree, reduced, shape
-from .slips import key_rows
+from .names import FULL, MOST_SLIPS, agree, reduced, shape
 
-GRAM, COSINE, LINK, LARGE = 4, 0.35, 0.2, 2000
+GRAM, COSINE, LINK, LARGE, NICK_WEIGHT = 3, 0.25, 0.12, 2000, 0.5
 SHAPE = ["heads", "letters", "size", "loose"]
 
 
@@ -41,26 +42,56 @@ def _reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*cols, b.column(3), b.column(4)], ["key", "form", "qual", "canon", "canon_qual", "mbid", "country"])
 
 
+def numbered(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """(column, name): a number of its own for each different value; written, so that it stays."""
+    return materialise(rows.select(column).where(F.col(column).isNotNull()).distinct().withColumn(name, F.monotonically_increasing_id()), name)
+
+
 def name_rows(df: DataFrame, key: str, name: str, canonical: str, ident: str, country: str) -> DataFrame:
-    """(key, form, qual, canon, canon_qual, mbid, country, unit) of each row with a name; the unit is the id, where present,
-    else a hash of everything that could tell spellings apart."""
+    """(key, form, qual, canon, canon_qual, mbid, country, unit) of each row with a name; the unit is a number for the id, where
+    present, else for everything that could tell spellings apart."""
     tidy = lambda c: F.nullif(F.lower(F.trim(F.col(c))), F.lit(""))
     raw = df.select(F.col(key).cast("string"), F.col(name).cast("string"), F.col(canonical).cast("string"), tidy(ident), tidy(country)).toDF("k", "n", "c", "m", "y")
     rows = raw.mapInArrow(_reduce_rows, "key string, form string, qual string, canon string, canon_qual string, mbid string, country string")
-    unit = F.coalesce("mbid", F.concat_ws("\x1f", F.lit(""), "form", "qual", "canon"))
-    return rows.where("form is not null").withColumn("qual", F.coalesce(F.nullif("qual", F.lit("")), "canon_qual", F.lit(""))).withColumn("unit", F.xxhash64(unit))
+    what = F.coalesce(F.concat(F.lit("\x1e"), "mbid"), F.concat_ws("\x1f", F.lit(""), "form", "qual", F.coalesce("canon", F.lit("\x1e"))))
+    rows = rows.where("form is not null").withColumn("qual", F.coalesce(F.nullif("qual", F.lit("")), "canon_qual", F.lit(""))).withColumn("what", what)
+    rows = materialise(rows, "reduced")
+    return rows.join(numbered(rows, "what", "unit"), "what").drop("what")
 
 
-def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        ids, grams, counts, shapes = [], [], [], []
-        for i, form in zip(b.fid, b.form, strict=True):
-            found = Counter(p[k : k + GRAM] for w in form.split(" ") for p in (f" {w} ",) for k in range(max(1, len(p) - GRAM + 1)))
-            ids += [i] * len(found)
-            grams += found.keys()
-            counts += found.values()
-            shapes += [shape(form)] * len(found)
-        yield pd.DataFrame({"fid": ids, "gram": grams, "tf": counts}).join(pd.DataFrame(shapes, columns=SHAPE))
+def _weights(form: str, gram: int) -> Counter:
+    """n-grams of a form with how often they stand in it; of a nickname also those of its full names, at NICK_WEIGHT."""
+    found: Counter = Counter()
+    for w in form.split(" "):
+        for word, much in [(w, 1.0)] + [(x, NICK_WEIGHT) for x in sorted(FULL.get(w, ()))]:
+            p = "^" + word
+            for k in range(max(1, len(p) - gram + 1)):
+                found[p[k : k + gram]] += much
+    return found
+
+
+def _grams(gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, grams, counts, shapes = [], [], [], []
+            for i, form in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = _weights(form, gram)
+                ids += [i] * len(found)
+                grams += found.keys()
+                counts += found.values()
+                shapes += [shape(form)] * len(found)
+                if len(ids) > 100_000:
+                    yield _gram_batch(ids, grams, counts, shapes)
+                    ids, grams, counts, shapes = [], [], [], []
+            if ids:
+                yield _gram_batch(ids, grams, counts, shapes)
+
+    return run
+
+
+def _gram_batch(ids: list, grams: list, counts: list, shapes: list) -> pa.RecordBatch:
+    looks = [pa.array(c, t) for c, t in zip(zip(*shapes, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.bool_()), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(grams, pa.string()), pa.array(counts, pa.float64()), *looks], ["fid", "gram", "tf", *SHAPE])
 
 
 def _prefixes(least: float):
@@ -79,70 +110,67 @@ def _prefixes(least: float):
     return run
 
 
-def vectors(forms: DataFrame, least: float) -> DataFrame:
-    """(fid, form, nt, heads, letters, size, loose, grams, weights, after, n, rest): unit vectors, rarest n-gram first; the first n make the postings, the rest
+def vectors(forms: DataFrame, least: float, gram: int = GRAM) -> DataFrame:
+    """(fid, form, heads, letters, size, loose, grams, weights, after, n, rest): unit vectors, rarest n-gram first; the first n make the postings, the rest
     of the vector has the length ``rest`` < ``least``; ``after`` is the length of the vector behind each n-gram."""
     total = forms.count()
-    grams = materialise(forms.mapInPandas(_grams, "fid bigint, gram string, tf int, heads bigint, letters bigint, size int, loose boolean"), "grams")
+    grams = materialise(forms.select("fid", "form").mapInArrow(_grams(gram), "fid bigint, gram string, tf double, heads bigint, letters bigint, size int, loose boolean"), "grams")
     df = grams.groupBy("gram").agg(F.count("*").alias("df"))
     part = F.struct("df", "gram", (F.col("tf") * F.log(1 + F.lit(float(total)) / F.col("df"))).alias("w"))
     by_form = grams.join(df, "gram").groupBy("fid").agg(F.collect_list(part).alias("parts"), *[F.first(c).alias(c) for c in SHAPE])
     vec = by_form.mapInPandas(_prefixes(least), "fid bigint, heads bigint, letters bigint, size int, loose boolean, grams array<string>, weights array<double>, after array<double>, n int, rest double")
-    return materialise(vec.join(forms, "fid").withColumn("nt", F.size(F.split("form", " "))), "vectors")
+    return materialise(vec.join(forms, "fid"), "vectors")
 
 
-def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        sims = []
-        for fa, fb, ga, wa, gb, wb in zip(b.form_a, b.form_b, b.grams_a, b.weights_a, b.grams_b, b.weights_b, strict=True):
-            other = dict(zip(gb, wb, strict=True))
-            cos = sum(w * other.get(g, 0.0) for g, w in zip(ga, wa, strict=True))
-            cost = agree(tuple(fa.split(" ")), tuple(fb.split(" "))) if cos >= b.attrs.get("least", COSINE) - 1e-9 else 9.0
-            sims.append(1 - 0.15 * cost if cost < 9 else 0.0)
-        yield pd.DataFrame({"fa": b.fid_a, "fb": b.fid_b, "sim": sims}).query("sim > 0")
+def _check(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fa, fb, *cols = [c.to_pylist() for c in b.columns]
+            keep, sims = [], []
+            for k, (x, y, ga, wa, gb, wb) in enumerate(zip(*cols, strict=True)):
+                if agree(tuple(x.split(" ")), tuple(y.split(" "))) < 9:
+                    other = dict(zip(gb, wb, strict=True))
+                    cos = sum(w * other.get(g, 0.0) for g, w in zip(ga, wa, strict=True))
+                    if cos >= least - 1e-9:
+                        keep.append(k)
+                        sims.append(cos)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64())), pa.array(sims, pa.float64())], ["fa", "fb", "sim"])
+
+    return run
 
 
-def similar_forms(vec: DataFrame, least: float = COSINE) -> DataFrame:
-    """(fa, fb, sim), fa < fb: forms of as many tokens with a cosine of at least ``least`` whose tokens agree.
+def similar_forms(vec: DataFrame, least: float = COSINE, top: int | None = None) -> DataFrame:
+    """(fa, fb, sim), fa < fb: forms with a cosine ``sim`` of at least ``least`` whose tokens agree; with ``top`` only those that
+    are among the best ``top`` partners of one of them.
 
     Behind the last n-gram that both prefixes hold, one of the two vectors shares only what follows its own prefix, and the
     other at most what it has left there, its own prefix included: that product and the products of common prefix n-grams
     bound a pair's cosine from above. Pairs whose shapes differ too much cannot agree and leave the join at once.
     """
     parts = F.arrays_zip(*[F.slice(c, 1, F.col("n")).alias(c) for c in ("grams", "weights", "after")])
-    post = vec.select("fid", "nt", *SHAPE, F.col("rest").cast("float").alias("rest"), F.explode(parts).alias("p"))
-    post = post.select("fid", "nt", *SHAPE, "rest", F.col("p.grams").alias("g"), *[F.col(f"p.{c}").cast("float").alias(n) for c, n in (("weights", "w"), ("after", "after"))])
-    a, b = (post.select("g", "nt", *[F.col(c).alias(f"{c}_{s}") for c in ("fid", *SHAPE, "w", "after", "rest")]) for s in "ab")
+    post = vec.select("fid", *SHAPE, F.col("rest").cast("float").alias("rest"), F.explode(parts).alias("p"))
+    post = post.select("fid", *SHAPE, "rest", F.col("p.grams").alias("g"), *[F.col(f"p.{c}").cast("float").alias(n) for c, n in (("weights", "w"), ("after", "after"))])
+    a, b = (post.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("fid", *SHAPE, "w", "after", "rest")]) for s in "ab")
     left = F.greatest(F.col("rest_a") * F.col("after_b"), F.col("after_a") * F.col("rest_b"))
     bits = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
     close = (F.abs(F.col("size_a") - F.col("size_b")) <= MOST_SLIPS) & (bits("letters") <= 2 * MOST_SLIPS)
     pairs = (
-        a.join(b, ["g", "nt"])
-        .where((F.col("fid_a") < F.col("fid_b")) & (bits("heads") <= 2) & (close | F.col("loose_a") | F.col("loose_b")))
+        a.join(b, "g")
+        .where((F.col("fid_a") < F.col("fid_b")) & (bits("heads") <= 3) & (close | F.col("loose_a") | F.col("loose_b")))
         .groupBy("fid_a", "fid_b")
         .agg(F.sum(F.col("w_a") * F.col("w_b")).alias("dot"), F.min(left).alias("left"))
         .where(F.col("dot") + F.col("left") >= least - 1e-4)
         .select("fid_a", "fid_b")
     )
     sides = [vec.select(*[F.col(c).alias(f"{c}_{s}") for c in ("fid", "form", "grams", "weights")]) for s in "ab"]
-    return pairs.join(sides[0], "fid_a").join(sides[1], "fid_b").mapInPandas(_check, "fa bigint, fb bigint, sim double")
-
-
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        costs = [agree(tuple(x.split(" ")), tuple(y.split(" "))) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-        sim = pa.array([1 - 0.15 * c if c < 9 else 0.0 for c in costs], pa.float64())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sim], ["fa", "fb", "sim"])
-
-
-def agreeing_forms(forms: DataFrame) -> DataFrame:
-    """(fa, fb, sim), fa < fb: every pair of forms (fid, form) whose tokens agree, whatever its cosine: one slip can change all
-    rare n-grams of a short name, and beside a frequent word nothing else is left. Such pairs meet at a key of the whole form."""
-    parts = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = forms.repartition(parts, "fid").mapInArrow(key_rows, "fid bigint, k bigint, short boolean")
-    pairs = rows.alias("x").join(rows.alias("y"), "k").where("x.fid < y.fid and not (x.short and y.short)").select(F.col("x.fid").alias("fa"), F.col("y.fid").alias("fb")).distinct()
-    pairs = pairs.join(forms.toDF("fa", "form_a"), "fa").join(forms.toDF("fb", "form_b"), "fb")
-    return pairs.select("fa", "fb", "form_a", "form_b").mapInArrow(_agreeing, "fa bigint, fb bigint, sim double").where("sim > 0")
+    both = pairs.join(sides[0], "fid_a").join(sides[1], "fid_b").select("fid_a", "fid_b", "form_a", "form_b", "grams_a", "weights_a", "grams_b", "weights_b")
+    found = both.mapInArrow(_check(least), "fa bigint, fb bigint, sim double")
+    if top is None:
+        return found
+    found = materialise(found, "similar")
+    either = found.unionByName(found.select(F.col("fb").alias("fa"), F.col("fa").alias("fb"), "sim"))
+    best = either.withColumn("rank", F.row_number().over(Window.partitionBy("fa").orderBy(F.desc("sim"), "fb"))).where(F.col("rank") <= top)
+    return best.select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb"), "sim").distinct()
 
 
 def _clash(*columns: str):
@@ -161,25 +189,26 @@ def joined(rows: DataFrame) -> DataFrame:
     and are spellings of one, as those of an id are. In the linkage their number would count against them."""
     free = rows.where("mbid is null").groupBy("unit").agg(F.max("country").alias("country"), F.max("qual").alias("qual"))
     named = rows.where("mbid is null").select("unit", F.explode(F.array("form", "canon")).alias("form")).where("form is not null")
-    at = named.join(free, "unit").select("unit", F.xxhash64("form", "qual", F.coalesce("country", F.lit(""))).alias("k")).distinct()
-    hub = at.groupBy("k").agg(F.min("unit").alias("a"), F.max("unit").alias("z")).where("a < z").select("k", "a")
-    ties = materialise(at.join(hub, "k").where("a <> unit").select("a", F.col("unit").alias("b")).distinct(), "ties")
+    key = ["form", "qual", "country"]
+    at = named.join(free, "unit").select("unit", "form", "qual", F.coalesce("country", F.lit("")).alias("country")).distinct()
+    hub = at.groupBy(*key).agg(F.min("unit").alias("a"), F.max("unit").alias("z")).where("a < z").select(*key, "a")
+    ties = materialise(at.join(hub, key).where("a <> unit").select("a", F.col("unit").alias("b")).distinct(), "ties")
     if ties.isEmpty():
         return rows
     into = components(ties).withColumnRenamed("v", "unit")
     return materialise(rows.join(into, "unit", "left").withColumn("unit", F.coalesce("component", "unit")).select(*rows.columns), "names")
 
 
-def unit_edges(rows: DataFrame, least: float = COSINE) -> tuple[DataFrame, DataFrame]:
+def unit_edges(rows: DataFrame, least: float = COSINE, top: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(units with attributes, edges (a, b, sim) between units that may mean the same)."""
     units = materialise(
         rows.groupBy("unit").agg(F.max("mbid").alias("mbid"), F.max("country").alias("country"), F.max(F.nullif("qual", F.lit(""))).alias("qual")), "units"
     )
     named = rows.select("unit", F.col("form").alias("form")).unionByName(rows.select("unit", F.col("canon").alias("form")))
-    of = materialise(named.where("form is not null").distinct().withColumn("fid", F.xxhash64("form")), "forms")
-    forms = of.select("fid", "form").distinct()
-    sims = similar_forms(vectors(forms, least), least).unionByName(agreeing_forms(forms)).distinct()
-    ids = of.select("fid", "unit")
+    named = named.where("form is not null").distinct()
+    forms = numbered(named, "form", "fid")
+    ids = materialise(named.join(forms, "form").select("fid", "unit"), "forms")
+    sims = similar_forms(vectors(forms, least), least, top)
     apart = sims.join(ids.toDF("fa", "a"), "fa").join(ids.toDF("fb", "b"), "fb").select("a", "b", "sim")
     # units that share a form: after ``joined`` those without an id are one for each qualifier and country; units with different ids stay apart anyway
     free = ids.join(units.where("mbid is null").select("unit"), "unit").select("fid", F.col("unit").alias("a"))
@@ -192,27 +221,44 @@ def unit_edges(rows: DataFrame, least: float = COSINE) -> tuple[DataFrame, DataF
 
 def average_linkage(n: int, pairs: list[tuple[int, int, float]], least: float, attrs: list[tuple]) -> list[int]:
     """Cluster index of each of n items: the pair of clusters with the highest mean similarity merges while it reaches
-    ``least``; a pair without an entry counts as 0. Clusters with two different known attributes never merge."""
-    sums: dict[int, dict[int, float]] = {i: {} for i in range(n)}
-    for i, j, s in pairs:
-        sums[i][j] = sums[j][i] = s
-    size, known, of = [1] * n, [list(x) for x in attrs], list(range(n))
+    ``least``; a pair without an entry counts as 0. Clusters with two different known attributes never merge.
 
-    def fits(i: int, j: int) -> bool:
-        return all(x is None or y is None or x == y for x, y in zip(known[i], known[j], strict=True))
-
-    while True:
-        best = max(((s / (size[i] * size[j]), -i, -j) for i, row in sums.items() for j, s in row.items() if i < j and fits(i, j)), default=None)
-        if best is None or best[0] < least:
-            return of
-        i, j = -best[1], -best[2]
-        for k, s in sums.pop(j).items():
-            del sums[k][j]
-            if k != i:
-                sums[i][k] = sums[k][i] = sums[i].get(k, 0.0) + s
+    A mean over two merged clusters is never above the higher of both means, so each row keeps its best partner and looks for
+    another only when that partner merges: about n steps over rows of n numbers.
+    """
+    sums = np.zeros((n, n))
+    if pairs:
+        i, j, s = (np.array(c) for c in zip(*pairs, strict=True))
+        sums[i, j] = sums[j, i] = s
+    size, of, alive = np.ones(n), np.arange(n), np.ones(n, bool)
+    codes: dict = {None: -1}
+    known = np.array([[codes.setdefault((k, v) if v is not None else None, len(codes)) for k, v in enumerate(x)] for x in attrs], np.int64).reshape(n, -1)
+    best, partner = np.zeros(n), np.zeros(n, np.int64)
+
+    def look(i: int) -> None:
+        fits = alive & ((known == known[i]) | (known < 0) | (known[i] < 0)).all(axis=1)
+        fits[i] = False
+        mean = np.where(fits, sums[i] / (size * size[i]), 0.0)
+        partner[i] = mean.argmax()
+        best[i] = mean[partner[i]]
+
+    for i in range(n):
+        look(i)
+    while n:
+        i = int(best.argmax())
+        if best[i] <= 0 or best[i] < least:
+            break
+        i, j = sorted((i, int(partner[i])))
+        sums[i] += sums[j]
+        sums[:, i] = sums[i]
         size[i] += size[j]
-        known[i] = [x if x is not None else y for x, y in zip(known[i], known[j], strict=True)]
-        of = [i if c == j else c for c in of]
+        known[i] = np.where(known[i] < 0, known[j], known[i])
+        alive[j], best[j] = False, 0.0
+        of[of == j] = i
+        look(i)
+        for k in np.flatnonzero(alive & ((partner == i) | (partner == j)) & (np.arange(n) != i)):
+            look(int(k))
+    return of.tolist()
 
 
 def _link_components(least: float):
@@ -278,7 +324,7 @@ def linkage_rounds(units: DataFrame, edges: DataFrame, least: float) -> DataFram
 
 def link_names(
     df: DataFrame, key: str = "artist_key", name: str = "source_artist_name", canonical: str = "canonical_name", ident: str = "musicbrainz_artist_id",
-    country: str = "country", cosine: float = COSINE, link: float = LINK, large: int = LARGE,
+    country: str = "country", cosine: float = COSINE, link: float = LINK, large: int = LARGE, top: int | None = None,
 ) -> DataFrame:
     """(key, cluster): rows with the same cluster mean the same.
 
@@ -288,7 +334,7 @@ def link_names(
     clustered by :func:`linkage_rounds`, smaller ones in one task each, with the same result.
     """
     rows = joined(materialise(name_rows(df, key, name, canonical, ident, country), "names"))
-    units, edges = unit_edges(rows, cosine)
+    units, edges = unit_edges(rows, cosine, top)
     comp = materialise(components(edges), "components")
     # components is keyed by unit; its size tells which way it goes
     sizes = comp.groupBy("component").agg(F.count("*").alias("units"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -12,12 +13,6 @@ from .charform import normal_form
 
 # Letters without a decomposition that people write without their stroke or as two letters.
 PLAIN = str.maketrans({"ø": "o", "đ": "d", "ł": "l", "ħ": "h", "ı": "i", "ŧ": "t", "ŋ": "n", "æ": "ae", "œ": "oe", "ß": "ss", "þ": "th", "ð": "d"})
-# Words of band and person names with their usual short forms.
-SHORT = {
-    "orch": "orchestra", "ens": "ensemble", "bros": "brothers", "brother": "brothers", "st": "saint", "sainte": "saint", "ste": "saint",
-    "sta": "saint", "sto": "saint", "san": "saint", "mt": "mount", "jr": "junior", "sr": "senior", "dr": "doctor", "ft": "feat", "feat": "feat", "featuring": "feat",
-    "symph": "symphony", "phil": "philharmonic", "chor": "choir", "qt": "quartet", "quart": "quartet", "grp": "group", "bd": "band",
-}
 # English given names with the short names in use for them.
 NICKNAMES = {
     "alexander": "alex sandy xander al", "elizabeth": "liz beth lizzie betty eliza bess", "katherine": "kate kathy katie kat kathie kitty", "richard": "rick dick rich ricky",
@@ -37,7 +32,8 @@ for _full, _names in NICKNAMES.items():
 MOST_SLIPS = 2
 # The rows of the usual keyboard; a slip hits a neighbouring key.
 KEYS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
-DROPPED = {"the", "thee", "tthe", "thhe", "teh", "hte", "and", "annd", "aand", "adn", "nad", "andd"}
+ARTICLES = ("the", "and")
+MOST_COST, BRIEF = 1.1, 4
 
 
 def plain(text: str) -> str:
@@ -50,8 +46,8 @@ def plain(text: str) -> str:
 def reduce_name(text: str) -> tuple[tuple[str, ...], str]:
     """(tokens in sorted order, qualifier) of a name in its consistent form.
 
-    The qualifier is what stands in brackets at the end. "Last, First" and other orders, articles, "&" and "and", short
-    forms and middle initials make no difference; a leading initial stays, as one letter.
+    The qualifier is what stands in brackets at the end. "Last, First" and other orders, articles, "&" and "and" and middle
+    initials make no difference; a leading initial stays, as one letter. A name of single letters only is one token.
     """
     text = plain(text)
     qualifier = ""
@@ -61,7 +57,9 @@ def reduce_name(text: str) -> tuple[tuple[str, ...], str]:
     text = re.sub(r"['’`]", "", text)
     text = re.sub(r"(?<=\w) (?:y|und|et|e) (?=\w)", " and ", text)
     raw = re.findall(r"[^\W_]+", text)
-    kept = [SHORT.get(t, t) for t in raw if t not in DROPPED] or raw
+    kept = [t for t in raw if t not in ARTICLES] or raw
+    if len(kept) > 1 and all(len(t) == 1 for t in kept):
+        kept = ["".join(kept)]
     if len(kept) > 2:
         full = [t for t in kept if len(t) > 1]
         kept = full if len(full) >= 2 else kept
@@ -106,42 +104,86 @@ def allowed(a: str, b: str) -> int:
     return 0 if n < 3 else 1 if n < 5 else 2
 
 
+def shortened(a: str, b: str) -> bool:
+    """Whether ``a`` may be an abbreviation of ``b``: at most BRIEF letters, two fewer than ``b`` at least, that begin it or stand
+    in it in order from its first to its last or last but one."""
+    if not 1 < len(a) <= BRIEF or len(b) < len(a) + 2 or a[0] != b[0]:
+        return False
+    rest = iter(b)
+    return b.startswith(a) or a[-1] in b[-2:] and all(c in rest for c in a)
+
+
 def word_cost(a: str, b: str) -> tuple[float, int]:
     """(cost, slips) of taking one word for the other: a cost of 0 for the same word, 9 for different words."""
     if a == b:
         return 0.0, 0
     if len(a) == 1 or len(b) == 1:
         return (0.5, 0) if a[0] == b[0] and max(len(a), len(b)) > 1 else (9.0, 0)
-    if NICK.get(a) and b in FULL[a] or NICK.get(b) and a in FULL[b]:
+    if NICK.get(a) and b in FULL[a] or NICK.get(b) and a in FULL[b] or shortened(a, b) or shortened(b, a):
         return 0.4, 0
     most = allowed(a, b)
     d = near(a, b, most)
     return (0.3 * d, d) if d <= most else (9.0, 0)
 
 
-@lru_cache(50_000)
-def agree(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """Cost of laying the tokens of one name on those of the other, one to one; 9 if they do not agree.
+@lru_cache(5_000)
+def slipped_article(word: str) -> bool:
+    """Whether a word is an article with one slip: another letter that isn't the first, a letter twice or a swap."""
+    for w in ARTICLES:
+        n = len(w)
+        if len(word) == n and (word[0] == w[0] and sum(x != y for x, y in zip(word, w, strict=True)) == 1 or word in {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(n - 1)}):
+            return True
+        if len(word) == n + 1 and word in {w[: i + 1] + w[i:] for i in range(n)}:
+            return True
+    return False
 
-    Names of different numbers of tokens are different. At most one token may begin with another letter, there are at most
-    MOST_SLIPS slips in all, and some token must be a full word on both sides.
-    """
-    if a == b:
-        return 0.0
-    if len(a) != len(b):
+
+def _lay(a: list[str], b: list[str], over: int) -> float:
+    """Cost of laying the tokens of ``b`` on those of ``a``, one to one, of which ``over`` may be left as slipped articles."""
+    both = Counter(a) & Counter(b)
+    rest_a, rest_b = list((Counter(a) - both).elements()), list((Counter(b) - both).elements())
+    if len(rest_a) > 3 + over:
         return 9.0
-    left = list(b)
-    total, slips, strong, heads = 0.0, 0, 0, 0
-    for x in sorted(a, key=len, reverse=True):
-        (cost, d), at = min((word_cost(x, y), i) for i, y in enumerate(left))
+    strong, total, slips, heads = sum(len(t) > 3 for t in both), 0.0, 0, 0
+    for x in sorted(rest_b, key=len, reverse=True):
+        (cost, d), at = min((word_cost(x, y), i) for i, y in enumerate(rest_a))
         if cost >= 9:
             return 9.0
-        y = left.pop(at)
+        y = rest_a.pop(at)
         total += cost
         slips += d
         strong += min(len(x), len(y)) > 3
         heads += x[:1] != y[:1]
-    return total if strong and heads < 2 and slips <= MOST_SLIPS and total <= 1.1 else 9.0
+    if not all(slipped_article(x) for x in rest_a):
+        return 9.0
+    total, slips = total + 0.3 * len(rest_a), slips + len(rest_a)
+    return total if strong and heads < 2 and slips <= MOST_SLIPS and total <= MOST_COST else 9.0
+
+
+@lru_cache(50_000)
+def agree(a: tuple[str, ...], b: tuple[str, ...]) -> float:
+    """Cost of laying the tokens of one name on those of the other; 9 if they do not agree.
+
+    At most one token may begin with another letter, there are at most MOST_SLIPS slips in all, and some token must be a
+    full word on both sides. A name of one token more agrees if that token is an article with a slip, or if two of its tokens
+    written together are a token of the other.
+    """
+    if a == b:
+        return 0.0
+    if len(a) < len(b):
+        a, b = b, a
+    over = len(a) - len(b)
+    if over > 1:
+        return 9.0
+    best = _lay(list(a), list(b), over)
+    if not over:
+        return best
+    have = Counter(a)
+    for t in (Counter(b) - have):
+        for k in range(1, len(t)):
+            if t[:k] in have and t[k:] in have and (t[:k] != t[k:] or have[t[k:]] > 1):
+                best = min(best, 0.1 + _lay([*(have - Counter((t[:k], t[k:]))).elements(), t], list(b), 0))
+    return best if best <= MOST_COST else 9.0
 
 
 def _mask(chars) -> int:
@@ -153,15 +195,15 @@ def _mask(chars) -> int:
 
 def shape(form: str) -> tuple[int, int, int, bool]:
     """(heads, letters, size, loose): bits of the letters that begin tokens, bits of all letters, number of letters, and
-    whether a token is an initial or a nickname.
+    whether a token may be an initial, an abbreviation, a nickname or a slipped article.
 
-    Of forms that agree at most one token begins with another letter, so their heads differ in two bits at most; if neither
-    is loose they are at most MOST_SLIPS edits apart, so their sizes differ by that much and their letters in twice as many
-    bits at most.
+    Of forms that agree at most one token begins with another letter and one token more is on one side, so their heads differ
+    in three bits at most; if neither is loose they are at most MOST_SLIPS edits apart, so their sizes differ by that much and
+    their letters in twice as many bits at most.
     """
     tokens = [t for t in form.split(" ") if t]
     joined = "".join(tokens)
-    return _mask(t[0] for t in tokens), _mask(joined), len(joined), any(len(t) == 1 or t in NICK for t in tokens)
+    return _mask(t[0] for t in tokens), _mask(joined), len(joined), any(len(t) <= BRIEF or t in NICK for t in tokens)
 
 
 def reduced(col: pa.Array) -> tuple[list[tuple[tuple[str, ...], str] | None], pa.Array]:

@@ -48,6 +48,7 @@ def play_rows(rows: DataFrame, clusters: DataFrame) -> DataFrame:
         F.unix_micros(F.col("scrobbled_at").cast("timestamp")).alias("t"), F.col("bronze_run_id").alias("run"), "artist_name", "track_name",
     ).where("user is not null and t is not null and artist_name is not null and track_name is not null")
     keyed = ready.mapInArrow(_prepare, "row_no bigint, user string, t bigint, run string, artist_key string, title string")
-    slim = keyed.withColumn("k", F.xxhash64("artist_key")).drop("artist_key")
-    ids = clusters.select(F.xxhash64("key").alias("k"), "cluster").groupBy("k").agg(F.min("cluster").alias("cluster"))
-    return slim.join(ids, "k", "left").select("row_no", "user", "t", "run", F.coalesce("cluster", "k").alias("artist"), "title")
+    twice = [F.xxhash64("key"), F.xxhash64(F.reverse("key"))]  # 128 bits stand for a name's key
+    slim = keyed.withColumnRenamed("artist_key", "key").withColumns(dict(zip(("k", "l"), twice, strict=True))).drop("key")
+    ids = clusters.select(twice[0].alias("k"), twice[1].alias("l"), "cluster").groupBy("k", "l").agg(F.min("cluster").alias("cluster"))
+    return slim.join(ids, ["k", "l"], "left").select("row_no", "user", "t", "run", F.coalesce("cluster", "k").alias("artist"), "title")
