@@ -26,7 +26,8 @@ def _plays(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    return history.repeated_deliveries(_plays(spark, root))
+    kept = history.ChunkHistory(spark, f"{work_folder(spark)}/history-{uuid.uuid4().hex}")
+    return history.repeated_deliveries(_plays(spark, root), kept)
 
 
 def p2_runs(spark: SparkSession, root: str) -> DataFrame:
