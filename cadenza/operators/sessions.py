@@ -76,9 +76,10 @@ def _block_runs(gap: int):
 def sessions(events: DataFrame, entity: Column, second: Column, gap: int = 1800) -> DataFrame:
     """(entity, start_s, end_s, n_events): sessions of ``entity`` split where the next event is more than ``gap`` seconds
     later. ``second`` is an epoch second. Rows whose entity or second is null belong to no session; repeated rows count
-    in n_events; an empty table gives an empty table. Other columns are ignored, whatever their names."""
-    if not 1 <= gap < BLOCK:
-        raise ValueError(f"gap must be from 1 to {BLOCK - 1} seconds")
+    in n_events; an empty table gives an empty table. Other columns are ignored, whatever their names. A gap of a block or
+    more makes every block one run; what is left to join are the runs of neighbouring blocks."""
+    if gap < 1:
+        raise ValueError("gap must be a second or more")
     per_second = (
         events.select(entity.alias("entity"), second.cast("bigint").alias("sec"))
         .where("entity is not null and sec is not null")
@@ -90,7 +91,7 @@ def sessions(events: DataFrame, entity: Column, second: Column, gap: int = 1800)
     blocks = per_second.select("entity", block.alias("block"), at.alias("pos"), "n").groupBy("entity", "block").agg(
         F.bitmap_construct_agg("pos").alias("bitmap"), F.collect_list(F.struct("pos", "n")).alias("seen")
     )
-    runs = blocks.mapInArrow(_block_runs(gap), "entity string, block bigint, s bigint, e bigint, n bigint, edge boolean")
+    runs = blocks.mapInArrow(_block_runs(min(gap, BLOCK)), "entity string, block bigint, s bigint, e bigint, n bigint, edge boolean")
     # inner runs are whole already: each is its own group, so that only edge runs meet in a window
     runs = runs.withColumn("part", F.when(F.col("edge"), F.lit(None)).otherwise(F.col("s")))
     w = Window.partitionBy("entity", "part").orderBy("s")

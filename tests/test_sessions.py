@@ -51,4 +51,11 @@ def test_empty_and_null(spark):
     assert run(spark, [], 1800) == []
     assert run(spark, [(None, 1), ("a", None)], 1800) == []
     with pytest.raises(ValueError):
-        run(spark, [], BLOCK)
+        run(spark, [], 0)
+
+
+@pytest.mark.parametrize("gap", [BLOCK - 1, BLOCK, BLOCK + 1, 43_200, 7 * BLOCK])
+def test_gaps_of_a_block_and_more(spark, gap):
+    rng = random.Random(gap)
+    rows = [(rng.choice("ab"), rng.randint(0, 60 * gap)) for _ in range(120)] + [("c", 5), ("c", 5 + gap), ("c", 6 + 2 * gap)]
+    assert run(spark, rows, gap) == brute(rows, gap)
