@@ -1,9 +1,10 @@
 """Token ids of a whole corpus by a public byte-level BPE vocabulary (problem 8).
 
-Texts are cut into pre-tokens a block at a time. A block, a few MB of text, becomes one row: its documents, its distinct
-words, and the word number of every pre-token in order. So positions travel packed, and what is exploded and shuffled is
-each block's distinct words, not each occurrence. All rows of a word meet in one task, which encodes it once; the ids go
-back to the blocks, which are reassembled by position.
+Texts are cut into pre-tokens a block at a time. A block, at most BLOCK_BYTES of text (or one longer text), becomes one row: its
+documents and the code of every pre-token in order. So positions travel packed. A pre-token that is a token of the vocabulary
+has its id as code: the vocabulary is a table of fixed size that every worker holds, and it takes the frequent words out of
+the shuffle. The others are numbered within the block and exploded; the distinct ones are encoded once each and their ids
+joined back to the blocks, which are reassembled by position.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .codepoints import gather, utf8
 from .pretoken import pretokens
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -44,92 +45,115 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], Callable[[str], list[int]]]
     return ranks, tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-def _block(ids: list[pa.Array], texts: list[pa.Array], block: int) -> pa.RecordBatch:
-    doc_ids, text = pa.concat_arrays(ids), pa.concat_arrays(texts)
+def _block(ranks: dict[bytes, int], ids: pa.Array, text: pa.Array, block: int) -> pa.RecordBatch:
     words, counts = pretokens(*utf8(text))
     coded = words.dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    code = np.array([ranks.get(w, -1) for w in distinct], np.int32)
+    new = np.flatnonzero(code < 0)
+    code[new] = -1 - np.arange(len(new), dtype=np.int32)
     one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-    codes = pa.array([coded.indices.cast(pa.int32()).to_numpy().tobytes()], pa.binary())
+    codes = code[coded.indices.to_numpy()] if len(distinct) else code
     return pa.RecordBatch.from_arrays(
-        [pa.array([block], pa.int64()), one(doc_ids), one(pa.array(counts.astype(np.int32))), codes, one(coded.dictionary.cast(pa.binary()))],
-        ["block", "docs", "counts", "codes", "words"],
-    )
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part = TaskContext.get().partitionId() << 32
-    ids: list[pa.Array] = []
-    texts: list[pa.Array] = []
-    size = 0
-    for b in batches:
-        ids.append(b.column(0))
-        texts.append(b.column(1).cast(pa.large_string()))
-        size += b.column(1).nbytes
-        if size >= BLOCK_BYTES:
-            yield _block(ids, texts, part)
-            part, ids, texts, size = part + 1, [], [], 0
-    if ids:
-        yield _block(ids, texts, part)
+        [
+            pa.array([block], pa.int64()), one(ids), one(pa.array(counts.astype(np.int32))), pa.array([len(codes)], pa.int64()),
+            pa.array([pa.compress(codes.tobytes(), "zstd", asbytes=True)], pa.binary()), one(pa.array([distinct[i] for i in new], pa.binary())),
+        ],
+        BLOCK_FIELDS,
+    )
+
+
+BLOCK_FIELDS = ["block", "docs", "counts", "n", "codes", "words"]
+
+
+def _cuts(sizes: np.ndarray, room: int) -> list[int]:
+    """Where lists of sizes are cut so that none holds more than ``room`` unless it is a single one."""
+    cuts, held = [0], 0
+    for i, n in enumerate(sizes.tolist()):
+        if held + n > room and i > cuts[-1]:
+            cuts.append(i)
+            held = 0
+        held += n
+    return [*cuts, len(sizes)]
+
+
+def _blocks(path: str, room: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, _ = vocabulary(path)
+        part = TaskContext.get().partitionId() << 32
+        ids: pa.Array | None = None
+        for b in batches:
+            text = b.column(1).cast(pa.large_string())
+            ids, text = (b.column(0), text) if ids is None else (pa.concat_arrays([ids, b.column(0)]), pa.concat_arrays([held, text]))
+            cuts = _cuts(np.diff(utf8(text)[1]), room)
+            for s, e in zip(cuts[:-2], cuts[1:-1]):
+                yield _block(ranks, ids[s:e], text[s:e], part)
+                part += 1
+            ids, held = ids[cuts[-2] :], text[cuts[-2] :]
+        if ids is not None and len(ids):
+            yield _block(ranks, ids, held, part)
+
+    return run
 
 
 def _encode(path: str, lengths_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, encode = vocabulary(path)
-        known: dict[bytes, list[int]] = {}
+        _, encode = vocabulary(path)
         for b in batches:
-            coded = b.column(2).dictionary_encode()
-            ids = []
-            for w in coded.dictionary.to_pylist():
-                r = ranks.get(w)
-                if r is None:
-                    got = known.get(w)
-                    if got is None:
-                        got = known[w] = encode(w.decode("utf-8"))
-                    ids.append(got)
-                else:
-                    ids.append([r])
-            if len(known) > 1_000_000:
-                known.clear()
-            distinct = pa.array([len(x) for x in ids], pa.int32()) if lengths_only else pa.array(ids, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), distinct.take(coded.indices)], ["block", "pos", "ids"])
+            ids = [encode(w.decode("utf-8")) for w in b.column(0).to_pylist()]
+            out = pa.array([len(x) for x in ids], pa.int32()) if lengths_only else pa.array(ids, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), out], ["word", "ids"])
 
     return run
 
 
-def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Documents of one block with their ids; ``right`` has the ids of each of its words."""
-    docs = left["docs"].combine_chunks().values
-    counts = left["counts"].combine_chunks().values.to_numpy()
-    codes = np.frombuffer(left["codes"][0].as_py(), np.int32)
+def _codes(left: pa.Table) -> np.ndarray:
+    return np.frombuffer(pa.decompress(left["codes"][0].as_py(), 4 * left["n"][0].as_py(), "zstd"), np.int32)
+
+
+def _by_pos(right: pa.Table) -> np.ndarray:
+    """The row of ``right`` that has each word of the block."""
     pos = right["pos"].to_numpy()
     order = np.empty(len(pos), np.int64)
     order[pos] = np.arange(len(pos))
+    return order
+
+
+def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Documents of one block with their ids; ``right`` has the ids of each of its words outside the vocabulary."""
+    counts, codes = left["counts"].combine_chunks().values.to_numpy(), _codes(left)
     ids = right["ids"].combine_chunks()
-    flat, offs = ids.values.to_numpy(), ids.offsets.to_numpy()
-    row = order[codes] if len(codes) else codes
-    size = np.diff(offs)[row] if len(codes) else np.zeros(0, np.int64)
-    out = flat[gather(offs[:-1][row].astype(np.int64), size)] if len(codes) else np.zeros(0, np.int32)
-    ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
-    return pa.table({"doc_id": docs, "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out.astype(np.int32)))})
+    flat, offs = ids.values.to_numpy(), ids.offsets.to_numpy().astype(np.int64)
+    new = np.flatnonzero(codes < 0)
+    row = _by_pos(right)[-1 - codes[new]]
+    size = np.ones(len(codes), np.int64)
+    size[new] = np.diff(offs)[row]
+    start = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(start[-1], np.int32)
+    out[start[:-1][codes >= 0]] = codes[codes >= 0]
+    out[gather(start[new], size[new])] = flat[gather(offs[row], size[new])]
+    ends = start[np.concatenate([[0], np.cumsum(counts)])]
+    return pa.table({"doc_id": left["docs"].combine_chunks().values, "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))})
 
 
 def _total(left: pa.Table, right: pa.Table) -> pa.Table:
-    counts = left["counts"].combine_chunks().values.to_numpy()
-    codes = np.frombuffer(left["codes"][0].as_py(), np.int32)
-    per_word = np.zeros(len(right), np.int64)
-    per_word[right["pos"].to_numpy()] = right["ids"].to_numpy()
-    total = np.concatenate([[0], np.cumsum(per_word[codes])])[np.concatenate([[0], np.cumsum(counts)])]
+    counts, codes = left["counts"].combine_chunks().values.to_numpy(), _codes(left)
+    size, new = np.ones(len(codes), np.int64), codes < 0
+    size[new] = right["ids"].to_numpy()[_by_pos(right)][-1 - codes[new]]
+    total = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
     return pa.table({"doc_id": left["docs"].combine_chunks().values, "n_tokens": pa.array(np.diff(total))})
 
 
-def _word_shuffle(docs: DataFrame, key: str, text: str, path: str, lengths_only: bool) -> DataFrame:
+def _word_shuffle(docs: DataFrame, key: str, text: str, path: str, lengths_only: bool, room: int = BLOCK_BYTES) -> DataFrame:
     rows = docs.select(F.col(key).cast("bigint"), F.coalesce(F.col(text), F.lit("")))
-    blocks = materialise(rows.mapInArrow(_blocks, "block bigint, docs array<bigint>, counts array<int>, codes binary, words array<binary>"), "blocks")
-    words = blocks.select("block", F.posexplode("words").alias("pos", "word")).repartition("word")
+    blocks = materialise(rows.mapInArrow(_blocks(path, room), "block bigint, docs array<bigint>, counts array<int>, n bigint, codes binary, words array<binary>"), "blocks")
+    words = blocks.select("block", F.posexplode("words").alias("pos", "word"))
     of = "int" if lengths_only else "array<int>"
-    ids = words.mapInArrow(_encode(path, lengths_only), f"block bigint, pos int, ids {of}")
+    # each distinct word is encoded once; one that stands in very many blocks is split by the join's skew handling
+    encoded = words.select("word").distinct().mapInArrow(_encode(path, lengths_only), f"word binary, ids {of}")
+    ids = words.join(encoded, "word").select("block", "pos", "ids")
     out = ("doc_id bigint, n_tokens bigint", _total) if lengths_only else ("doc_id bigint, ids array<int>", _assemble)
-    return blocks.select("block", "docs", "counts", "codes").groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(out[1], out[0])
+    return blocks.select(F.col("block").alias("at"), "docs", "counts", "n", "codes").groupBy("at").cogroup(ids.groupBy("block")).applyInArrow(out[1], out[0])
 
 
 def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import regex
 from cadenza.llm import tokens
 from cadenza.llm.codepoints import utf8
 from cadenza.llm.pretoken import pretokens
+from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 TEXTS = ["", None, " ", "\n\n", "Hello world's  end\r\n\tx = 1_000;", "naïve Ⅻ ２３ 語語　語", "<|endoftext|> a", "'" * 9 + "s 're 'll", "x" * 30_000, "é" * 7 + "﻿", "  \n  a", "it's 'tis we'll"]
@@ -35,7 +36,7 @@ def test_pretokens_follow_the_pattern():
         at += n
 
 
-def test_ids(spark, monkeypatch):
+def test_ids(spark):
     rng = random.Random(1)
     texts = TEXTS + ["".join(rng.choice("ab \n'sé1_(") for _ in range(rng.randint(0, 300))) for _ in range(200)]
     got = dict(map(tuple, tokens.token_ids(frame(spark, texts).repartition(3)).collect()))
@@ -45,13 +46,21 @@ def test_ids(spark, monkeypatch):
     assert [counts[i] for i in range(len(texts))] == [len(x) for x in want]
 
 
-def test_many_blocks(spark, monkeypatch):
-    texts = ["some words here %d" % (i % 7) for i in range(500)]
-    small = tokens._blocks
-    assert small
-    df = frame(spark, texts).repartition(13)
-    got = dict(map(tuple, tokens.token_ids(df).collect()))
-    assert [got[i] for i in range(500)] == reference()(texts)
+@pytest.mark.parametrize("room", [1, 200, 5000])
+def test_many_blocks(spark, room):
+    """Blocks hold no more than their room, or one text; words of the vocabulary and others meet in every block."""
+    texts = ["some wörds here %d qqzxv" % (i % 7) for i in range(300)] + ["", None, "zqx" * 700, "zqx"]
+    df = frame(spark, texts).repartition(5).select("doc_id", "text")
+    rows = df.select("doc_id", F.coalesce("text", F.lit(""))).mapInArrow(tokens._blocks(tokens.vocabulary_path(), room), "block bigint, docs array<bigint>, counts array<int>, n bigint, codes binary, words array<binary>")
+    size = {i: len((t or "").encode()) for i, t in enumerate(texts)}
+    blocks = [list(r.docs) for r in rows.select("docs").collect()]
+    assert sorted(i for b in blocks for i in b) == list(range(len(texts)))
+    assert all(sum(size[i] for i in b) <= room or len([i for i in b if size[i]]) == 1 for b in blocks)
+    want = reference()(texts)
+    got = dict(map(tuple, tokens._word_shuffle(df, "doc_id", "text", tokens.vocabulary_path(), False, room).collect()))
+    assert [got[i] for i in range(len(texts))] == want
+    counts = dict(map(tuple, tokens._word_shuffle(df, "doc_id", "text", tokens.vocabulary_path(), True, room).collect()))
+    assert [counts[i] for i in range(len(texts))] == [len(x) for x in want]
 
 
 def test_round_trip(spark):
