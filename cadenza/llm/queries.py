@@ -51,7 +51,7 @@ def p9_pack(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
-    index = spans.FingerprintIndex(spark, f"{work_folder(spark)}/index-{uuid.uuid4().hex}")
+    index = spans.FingerprintIndex(spark, f"{work_folder(spark)}/index-{uuid.uuid4().hex}", fan=2)
     return spans.shared_spans(load(spark, root, "documents"), index)
 
 
