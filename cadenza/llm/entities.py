@@ -28,8 +28,8 @@ from .graph import components
 from .names import FULL, MOST_SLIPS, agree, reduced, shape
 
 GRAM, COSINE, LINK, LARGE, NICK_WEIGHT = 3, 0.3, 0.15, 2000, 0.5
-SHAPE = ["heads", "letters", "core", "size", "core_size", "tokens", "loose"]
-SHAPE_TYPES = "heads bigint, letters bigint, core bigint, size int, core_size int, tokens int, loose boolean"
+SHAPE = ["heads", "letters_0", "letters_1", "core_0", "core_1", "size", "core_size", "tokens", "loose"]
+SHAPE_TYPES = "heads bigint, letters_0 bigint, letters_1 bigint, core_0 bigint, core_1 bigint, size int, core_size int, tokens int, loose boolean"
 
 
 def _reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +91,7 @@ def _grams(gram: int):
 
 
 def _gram_batch(ids: list, grams: list, counts: list, shapes: list) -> pa.RecordBatch:
-    looks = [pa.array(c, t) for c, t in zip(zip(*shapes, strict=True), (*[pa.int64()] * 3, *[pa.int32()] * 3, pa.bool_()), strict=True)]
+    looks = [pa.array(c, t) for c, t in zip(zip(*shapes, strict=True), (*[pa.int64()] * 5, *[pa.int32()] * 3, pa.bool_()), strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(grams, pa.string()), pa.array(counts, pa.float64()), *looks], ["fid", "gram", "tf", *SHAPE])
 
 
@@ -140,7 +140,8 @@ def similar_forms(vec: DataFrame, least: float = COSINE, top: int | None = None)
     post = vec.select("fid", *SHAPE, F.explode(F.arrays_zip("grams", "length")).alias("p"))
     post = post.select("fid", *SHAPE, F.col("p.grams").alias("g"), F.col("p.length").cast("float").alias("length")).where(F.col("length") >= least - 1e-4)
     a, b = (post.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("fid", *SHAPE, "length")]) for s in "ab")
-    more = lambda x, y: F.bit_count(F.col(f"core_{x}").bitwiseAND(F.bitwise_not(f"letters_{y}")))
+    half = lambda k, x, y: F.bit_count(F.col(f"core_{k}_{x}").bitwiseAND(F.bitwise_not(f"letters_{k}_{y}")))
+    more = lambda x, y: half(0, x, y) + half(1, x, y)
     within = lambda x, y: (more(x, y) <= MOST_SLIPS) & (F.col(f"core_size_{x}") <= F.col(f"size_{y}") + MOST_SLIPS)
     close = within("a", "b") & within("b", "a") & (F.abs(F.col("size_a") - F.col("size_b")) <= MOST_SLIPS)
     alike = close | F.col("loose_a") & within("a", "b") | F.col("loose_b") & within("b", "a")

@@ -199,16 +199,21 @@ def agree(a: tuple[str, ...], b: tuple[str, ...]) -> float:
 
 @lru_cache(100_000)
 def _mask(text: str) -> int:
+    """126 bits: one for each letter's first, second, third and further occurrences. Collisions only hide differences."""
     mask = 0
-    for c in text:
-        mask |= 1 << (ord(c) % 63)
+    for c, n in Counter(text).items():
+        for k in range(min(n, 4)):
+            mask |= 1 << ((ord(c) * 4 + k) % 126)
     return mask
 
 
-def shape(form: str) -> tuple[int, int, int, int, int, int, bool]:
-    """(heads, letters, core, size, core_size, tokens, loose): bits of the letters that begin tokens, bits of all letters and of
-    those outside nicknames and slipped articles, numbers of these letters, number of tokens, and whether a token may be an
-    initial, an abbreviation, a nickname or a slipped article.
+HALF = (1 << 63) - 1
+
+
+def shape(form: str) -> tuple[int, int, int, int, int, int, int, int, bool]:
+    """(heads, letters_0, letters_1, core_0, core_1, size, core_size, tokens, loose): bits of the letters that begin tokens, bits of
+    all letters and of those outside nicknames and slipped articles in two halves, numbers of these letters, number of tokens,
+    and whether a token may be an initial, an abbreviation, a nickname or a slipped article.
 
     Of forms that agree at most one token begins with another letter and one token more is on one side, so their heads differ
     in three bits at most. On the side of the short forms, or on both if there are none, the core has at most MOST_SLIPS letters
@@ -218,7 +223,11 @@ def shape(form: str) -> tuple[int, int, int, int, int, int, bool]:
     free = [t in NICK or slipped_article(t) for t in tokens]
     core = "".join(t for t, f in zip(tokens, free, strict=True) if not f)
     joined = "".join(tokens)
-    return _mask("".join(t[0] for t in tokens)), _mask(joined), _mask(core), len(joined), len(core), len(tokens), any(len(t) <= BRIEF for t in tokens) or any(free)
+    heads = 0
+    for t in tokens:
+        heads |= 1 << (ord(t[0]) % 63)
+    halves = [h for m in (_mask(joined), _mask(core)) for h in (m & HALF, m >> 63)]
+    return heads, *halves, len(joined), len(core), len(tokens), any(len(t) <= BRIEF for t in tokens) or any(free)
 
 
 def reduced(col: pa.Array) -> tuple[list[tuple[tuple[str, ...], str] | None], pa.Array]:
