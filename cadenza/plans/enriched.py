@@ -14,6 +14,7 @@ from ..operators import joins
 from ..operators.ranking import hhi, lifecycle, rank_within, top_shares
 from .gold import BOUNDARY, YE, prepare
 
+# Columns of the artist table.
 PROFILE = [
     "artist_key", "source_artist_name", "musicbrainz_artist_id", "canonical_name", "artist_type", "country", "area", "begin_area", "resolution_status",
     "resolution_method", "resolution_confidence",

@@ -11,8 +11,9 @@ from typing import Any, Protocol
 
 from ..functions.text import redact
 
+# What the services mean by "try again".
 TRANSIENT_STATUS = frozenset({429, 500, 502, 503, 504})
-TRANSIENT_CODE = 8
+TRANSIENT_CODE = "8"
 
 
 class Response(Protocol):
@@ -29,6 +30,10 @@ class SourceError(RuntimeError):
     """A request failed."""
 
 
+class TransportError(SourceError):
+    """There was no answer."""
+
+
 class HttpError(SourceError):
     """The service answered with an HTTP error."""
 
@@ -59,9 +64,17 @@ def backoff(attempt: int, base: float = 1.0) -> float:
     return base * 2 ** (attempt - 1)
 
 
+def _sent(transport: Transport, endpoint: str, params: dict[str, Any], headers: dict[str, str], timeout: float) -> Response:
+    """The answer. What the transport raises may hold the whole address with its key, so only its type's name goes on."""
+    try:
+        return transport(endpoint, params, headers, timeout)
+    except Exception as e:  # noqa: BLE001 - transports raise what they like
+        raise TransportError(f"the request failed: {type(e).__name__}") from None
+
+
 class PagedSource:
-    """Pages of a user's events. Transient failures are tried again with growing waits; others raise at once. No secret
-    reaches a message."""
+    """Pages of a user's events. Transient failures are tried again with growing waits; others, those of the transport
+    included, raise at once. No secret reaches a message."""
 
     def __init__(
         self, transport: Transport, endpoint: str, method: str, user: str, api_key: str, timeout: float = 30, attempts: int = 6, wait: float = 1.0,
@@ -74,10 +87,10 @@ class PagedSource:
         params: dict[str, Any] = {"method": self.method, "user": self.user, "api_key": self.api_key, "format": "json", "page": page, "limit": limit}
         params |= {k: v for k, v in (("from", since), ("to", until)) if v is not None}
         for attempt in range(1, self.attempts + 1):
-            answer = self.transport(self.endpoint, params, {}, self.timeout)
+            answer = _sent(self.transport, self.endpoint, params, {}, self.timeout)
             body = self._body(answer)
             code = body.get("error") if isinstance(body, dict) else None
-            if answer.status_code not in TRANSIENT_STATUS and code != TRANSIENT_CODE:
+            if answer.status_code not in TRANSIENT_STATUS and str(code).strip() != TRANSIENT_CODE:
                 break
             if attempt < self.attempts:
                 self.sleep(backoff(attempt, self.wait))
@@ -86,7 +99,7 @@ class PagedSource:
         if code is not None:
             raise ApiError(f"error {code}: {redact(str(body.get('message', '')), self.api_key)}")
         listing = body.get("recenttracks") if isinstance(body, dict) else None
-        if not isinstance(listing, dict) or not isinstance(listing.get("track"), list):
+        if not isinstance(listing, dict) or not isinstance(listing.get("track", []), list):
             raise ShapeError("the answer has no list of tracks")
         return body
 
@@ -113,7 +126,7 @@ class PagedSource:
             except (TypeError, ValueError):
                 total = 1
             yield page, total, body
-            if page >= total or not listing["track"]:
+            if page >= total or not listing.get("track"):
                 return
             page += 1
 
@@ -126,7 +139,7 @@ class EntityProvider:
 
     def _get(self, path: str, params: dict[str, Any]) -> Response:
         self.limiter.wait()
-        return self.transport(f"{self.endpoint}/{path}", params | {"fmt": "json"}, {"User-Agent": self.agent}, self.timeout)
+        return _sent(self.transport, f"{self.endpoint}/{path}", params | {"fmt": "json"}, {"User-Agent": self.agent}, self.timeout)
 
     def by_id(self, ident: str) -> dict | None:
         answer = self._get(f"artist/{ident}", {})
@@ -157,14 +170,14 @@ class TagProvider:
         for attempt in range(1, self.attempts + 1):
             self.limiter.wait()
             try:
-                answer = self.transport(self.endpoint, params, {}, self.timeout)
+                answer = _sent(self.transport, self.endpoint, params, {}, self.timeout)
                 if answer.status_code < 400:
                     break
-                failure: Exception = HttpError(f"HTTP {answer.status_code}")
-            except OSError as e:
+                failure: SourceError = HttpError(f"HTTP {answer.status_code}")
+            except TransportError as e:
                 failure = e
             if attempt == self.attempts:
-                raise HttpError(redact(str(failure), self.api_key)) from None
+                raise failure from None
             self.sleep(backoff(attempt))
         body = answer.json()
         if isinstance(body, dict) and "error" in body:

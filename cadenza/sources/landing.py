@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import ContractError
 from ..schemas import RUNS
 
+# Names of files and fields of the landing area's layout.
 PAGE = re.compile(r"page_(\d{4,})\.json")
 STATE = "run_metadata.json"
 
