@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .catalog_sql import SQL  # noqa: F401
+from . import catalog_rows, catalog_sql
 from .functions.calendar import Period, local_time
 from .functions.text import artist_key, canonical_text, event_id
 from .operators import dedup
@@ -51,16 +51,16 @@ def _base(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _joined(spark: SparkSession, root: str) -> DataFrame:
-    return enriched.with_artists(events(spark, root), load(spark, root, "artist_profile"), validate=False)
+    return enriched.with_artists(materialise(events(spark, root).select("artist_name", "track_name", "scrobbled_at"), "events"), load(spark, root, "artist_profile"))
 
 
 def _keyed(spark: SparkSession, root: str) -> DataFrame:
-    return enriched.keyed(events(spark, root), spelled=load(spark, root, "scrobbles"))
+    return enriched.keyed(events(spark, root))
 
 
 def _written(spark: SparkSession, root: str) -> DataFrame:
-    """Keyed events, written once for a mart that reads them in several branches."""
-    return materialise(_keyed(spark, root).select("artist_key", "artist_name", "track_name", "date", "year", "tracking_era"), "keyed")
+    """Keyed counts, written once for a mart that reads them in several branches."""
+    return materialise(_keyed(spark, root), "keyed")
 
 
 def _artists(spark: SparkSession, root: str) -> DataFrame:
@@ -106,28 +106,6 @@ def latest_incomplete_backfill(spark, root):
     return latest_incomplete(load(spark, root, "run_metadata")).select("run_id", "started_at", "status")
 
 
-def watermark(spark, root):
-    """Over completed runs only: a failed run must not move it past events that were never taken in."""
-    runs = completed_runs(spark, root).select(F.col("run_id").alias("bronze_run_id"))
-    rows = dedup.present(load(spark, root, "scrobbles"), runs, ["bronze_run_id"])
-    return rows.agg(F.max(F.unix_timestamp("scrobbled_at")).alias("watermark"))
-
-
-def payload_tracks(spark, root):
-    """Records in the runs' payloads by outcome: completed, now playing, or why rejected."""
-    runs = load(spark, root, "run_metadata").select("run_id", "payload")
-    doc = F.try_variant_get(F.try_parse_json("payload"), "$.pages", "array<variant>")
-    docs = runs.select("run_id", F.posexplode(doc).alias("page", "d")).select("run_id", "page", F.to_json("d").alias("document"))
-    return silver.read_tracks(silver.flatten(docs)).groupBy(F.coalesce("reason", F.lit("completed")).alias("outcome")).agg(F.count("*").alias("n_records"))
-
-
-def reject_reasons(spark, root):
-    rows = load(spark, root, "scrobbles")
-    missing = F.concat_ws(",", *[F.when(F.trim(F.coalesce(c, F.lit(""))) == "", F.lit(c)) for c in ("user", "artist_name", "track_name")])
-    reason = F.when(F.col("scrobbled_at").isNull(), "invalid_scrobble_timestamp").when(missing != "", F.concat(F.lit("missing_required:"), missing)).otherwise("accepted")
-    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n_rows"))
-
-
 def event_ids(spark, root):
     rows = load(spark, root, "scrobbles").where("user is not null and scrobbled_at is not null")
     return rows.select("row_no", event_id("user", "artist_name", "track_name", F.unix_timestamp("scrobbled_at")).alias("event_id"))
@@ -185,7 +163,7 @@ def local_times(spark, root):
 
 
 def _time_patterns(spark, root):
-    return enriched.time_patterns(local_time(_keyed(spark, root), PERIODS))
+    return enriched.time_patterns(local_time(gold.prepare(events(spark, root)), PERIODS))
 
 
 def entities(spark, root):
@@ -294,8 +272,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "artist_stats": _from_base(gold.artist_stats), "track_stats": _from_base(gold.track_stats), "discovery": _from_base(gold.discovery),
     "listening_patterns": listening_patterns, "streaks": _from_base(gold.listening_streaks), "gold_profile": gold_profile,
     "silver_events": silver_events, "silver_merge_incremental": silver_merge_incremental, "unprocessed_runs": unprocessed_runs, "landed_runs": landed_runs,
-    "completed_runs": completed_runs, "latest_incomplete_backfill": latest_incomplete_backfill, "watermark": watermark, "payload_tracks": payload_tracks,
-    "reject_reasons": reject_reasons, "event_ids": event_ids, "artist_keys": artist_keys, "artist_bridge": artist_bridge, "silver_profile": silver_profile,
+    "completed_runs": completed_runs, "latest_incomplete_backfill": latest_incomplete_backfill, "event_ids": event_ids, "artist_keys": artist_keys, "artist_bridge": artist_bridge, "silver_profile": silver_profile,
     "tag_weights": tag_weights, "artist_profile": artist_profile, "genre_evolution": genre_evolution, "artist_evolution": artist_evolution,
     "concentration": _from_keyed(enriched.concentration), "diversity": _from_keyed(enriched.diversity), "discovery_enriched": _from_keyed(enriched.discovery_enriched, _written),
     "geography_evolution": _geography, "time_patterns": _time_patterns, "local_time": local_times, "era_comparison": era_comparison, "entities": entities,
@@ -305,5 +282,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dashboard_locations": dashboard_locations, "dashboard_countries": dashboard_countries,
     "insight_genres": _insight("top_genre_years"), "insight_concentration": _insight("highest_concentration"), "insight_diversity": _insight("highest_artist_diversity"),
     "p3_found": _runs(pages.artist_ids), "p3_pages": _runs(pages.page_table), "p3_tracks": _runs(pages.track_table), "p3_references": _runs(pages.reference_table),
-    "p7_found": p7_found, "p7_sessions": p7_sessions,
+    "p7_found": p7_found, "p7_sessions": p7_sessions, **catalog_rows.QUERIES,
 }
+SQL: dict[str, str] = catalog_sql.SQL | catalog_rows.SQL

@@ -170,8 +170,6 @@ SQL: dict[str, str] = {
     "landed_runs": "SELECT run_id, mode, status FROM run_metadata WHERE run_id IN (SELECT bronze_run_id FROM scrobbles)",
     "completed_runs": f"SELECT run_id, started_at, expected_pages FROM run_metadata WHERE {OK_RUN}",
     "latest_incomplete_backfill": "SELECT run_id, started_at, status FROM run_metadata WHERE mode = 'backfill' AND status IN ('running', 'failed') ORDER BY started_at DESC, run_id DESC LIMIT 1",
-    "watermark": f"SELECT max(floor(epoch(scrobbled_at))::BIGINT) AS watermark FROM scrobbles WHERE bronze_run_id IN (SELECT run_id FROM run_metadata WHERE {OK_RUN})",
-    "reject_reasons": "SELECT CASE WHEN scrobbled_at IS NULL THEN 'invalid_scrobble_timestamp' WHEN m <> '' THEN 'missing_required:' || m ELSE 'accepted' END AS reason, count(*) AS n_rows FROM (SELECT *, concat_ws(',', CASE WHEN trim(coalesce(\"user\", '')) = '' THEN 'user' END, CASE WHEN trim(coalesce(artist_name, '')) = '' THEN 'artist_name' END, CASE WHEN trim(coalesce(track_name, '')) = '' THEN 'track_name' END) AS m FROM scrobbles) GROUP BY ALL",
     "event_ids": 'SELECT row_no, scrobble_id AS event_id FROM scrobbles WHERE "user" IS NOT NULL AND scrobbled_at IS NOT NULL',
     "artist_keys": f"SELECT artist_name, {KEY} AS artist_key FROM (SELECT DISTINCT artist_name FROM scrobbles)",
     "artist_bridge": f"WITH {ARTISTS} SELECT resolution_status, count(*) AS n_events, count(DISTINCT artist_key) AS n_artists FROM a GROUP BY ALL",

@@ -23,12 +23,12 @@ MAX_TAGS = 5
 ORDER = ("noise", "genre_style", "geography", "era", "descriptor")  # a tag in several lists belongs to the first
 
 
-def keyed(events: DataFrame, boundary: str = BOUNDARY, spelled: DataFrame | None = None) -> DataFrame:
-    """Prepared events with artist_key. The key is made once for each different name and joined back. ``spelled``, a table
-    whose artist_name holds every name of the events, spares computing the events twice where they are not a table yet."""
-    prepared = prepare(events, boundary)
-    names = (prepared if spelled is None else spelled).select("artist_name").distinct().withColumn("artist_key", artist_key("artist_name"))
-    return prepared.join(names, "artist_name")
+def keyed(events: DataFrame, boundary: str = BOUNDARY) -> DataFrame:
+    """Counts of events with artist_key: (artist_name, track_name, date, year, tracking_era, n, first_ts, last_ts, artist_key).
+    Events are counted, partly before they are shuffled, and keys are made of the counts; no event is joined by name."""
+    keys = ["artist_name", "track_name", "date", "year", "tracking_era"]
+    counts = prepare(events, boundary).groupBy(*keys).agg(F.count("*").alias("n"), F.min("scrobbled_at").alias("first_ts"), F.max("scrobbled_at").alias("last_ts"))
+    return counts.withColumn("artist_key", artist_key("artist_name"))
 
 
 def check_bridge(events: DataFrame, artists: DataFrame) -> None:
@@ -44,7 +44,7 @@ def with_artists(events: DataFrame, artists: DataFrame, boundary: str = BOUNDARY
     need it: they count by artist first and meet the dimension after."""
     if validate:
         joins.require_columns(artists, ["artist_key", "country"], "artists")
-    return joins.many_to_one(keyed(events, boundary), artists.select(*[c for c in PROFILE if c in artists.columns]), ["artist_key"], "artists", validate)
+    return joins.many_to_one(prepare(events, boundary).withColumn("artist_key", artist_key("artist_name")), artists.select(*[c for c in PROFILE if c in artists.columns]), ["artist_key"], "artists", validate)
 
 
 def taxonomy_table(spark, config: dict) -> DataFrame:
@@ -88,7 +88,7 @@ def artist_profile(events: DataFrame, artists: DataFrame, weights: DataFrame) ->
     """One row for an artist with events: metadata, totals, its best tag and genre. Events are counted before they meet the
     artists, so no metadata travels with events."""
     totals = events.groupBy("artist_key").agg(
-        F.count("*").alias("total_scrobbles"), F.min("scrobbled_at").alias("first_listen"), F.max("scrobbled_at").alias("last_listen"), F.count_distinct("year").alias("active_years")
+        F.sum("n").alias("total_scrobbles"), F.min("first_ts").alias("first_listen"), F.max("last_ts").alias("last_listen"), F.count_distinct("year").alias("active_years")
     )
     best = weights.groupBy("artist_key").agg(_best().alias("t"), _best(F.col("tag_category") == "genre_style").alias("g"), F.count("*").alias("tags"))
     best = best.select("artist_key", F.col("t.tag_normalized").alias("primary_tag"), "t.tag_category", F.col("g.genre_family").alias("primary_genre_family"), "tags")
@@ -103,7 +103,7 @@ def genre_evolution(events: DataFrame, weights: DataFrame) -> DataFrame:
     """Events by year, era and genre family, weighted by the artists' tags: counts of an artist and year meet the artist's
     families, not events the tags."""
     family = weights.where(F.col("tag_category") == "genre_style").groupBy("artist_key", "genre_family").agg(F.sum("tag_weight").alias("w"))
-    counts = events.groupBy("artist_key", *YE).agg(F.count("*").alias("n"))
+    counts = events.groupBy("artist_key", *YE).agg(F.sum("n").alias("n"))
     g = counts.join(family, "artist_key").groupBy(*YE, "genre_family").agg(F.sum(F.col("n") * F.col("w")).alias("weighted_scrobbles"), F.count_distinct("artist_key").alias("unique_artists"))
     total = counts.groupBy(*YE).agg(F.sum("n").alias("all"))
     share = F.col("weighted_scrobbles") / F.sum("weighted_scrobbles").over(Window.partitionBy(*YE))  # one row for a family
@@ -112,7 +112,7 @@ def genre_evolution(events: DataFrame, weights: DataFrame) -> DataFrame:
 
 def artist_evolution(events: DataFrame) -> DataFrame:
     """One row for an artist, year and era: rank, share, years since the first, and lifecycle."""
-    g = events.groupBy("artist_key", "artist_name", *YE).agg(F.count("*").alias("scrobbles"), F.min("scrobbled_at").alias("first_seen"), F.max("scrobbled_at").alias("last_seen"))
+    g = events.groupBy("artist_key", "artist_name", *YE).agg(F.sum("n").alias("scrobbles"), F.min("first_ts").alias("first_seen"), F.max("last_ts").alias("last_seen"))
     ranked = rank_within(g, ["year"], [F.desc("scrobbles"), F.asc("artist_name"), F.asc("artist_key"), F.asc("tracking_era")], "rank")
     total = ranked.groupBy("year").agg(F.sum("scrobbles").alias("in_year"))
     since = F.col("year") - F.min("year").over(Window.partitionBy("artist_key"))
@@ -121,7 +121,7 @@ def artist_evolution(events: DataFrame) -> DataFrame:
 
 
 def concentration(events: DataFrame) -> DataFrame:
-    counts = events.groupBy(*YE, "artist_key").agg(F.count("*").alias("n"))
+    counts = events.groupBy(*YE, "artist_key").agg(F.sum("n").alias("n"))
     ks = (1, 5, 10, 25, 50)
     shares = top_shares(counts, YE, "artist_key", "n", ks, [f"top_{k}_share" for k in ks])
     return shares.join(counts.groupBy(*YE).agg(hhi().alias("hhi"), F.count("*").alias("artist_count")), YE)
@@ -129,7 +129,7 @@ def concentration(events: DataFrame) -> DataFrame:
 
 def _breadth(events: DataFrame) -> DataFrame:
     return events.groupBy(*YE).agg(
-        F.count("*").alias("scrobbles"), F.count_distinct("date").alias("active_days"), F.count_distinct("artist_key").alias("unique_artists"),
+        F.sum("n").alias("scrobbles"), F.count_distinct("date").alias("active_days"), F.count_distinct("artist_key").alias("unique_artists"),
         F.count_distinct(F.struct("artist_name", "track_name")).alias("unique_tracks"),
     )
 
@@ -141,7 +141,7 @@ def diversity(events: DataFrame) -> DataFrame:
 
 def discovery_enriched(events: DataFrame) -> DataFrame:
     """Like the plain discovery mart by artist key, with the events of artists in their first year."""
-    years = events.groupBy("artist_key", "year").agg(F.count("*").alias("n"))
+    years = events.groupBy("artist_key", "year").agg(F.sum("n").alias("n"))
     first = years.withColumn("first", F.min("year").over(Window.partitionBy("artist_key"))).where("first = year")  # a row for each year
     fresh = first.groupBy("year").agg(F.count("*").alias("new_artists"), F.sum("n").alias("new_artist_scrobbles"))
     tracks = events.groupBy("artist_name", "track_name").agg(F.min("year").alias("year")).groupBy("year").agg(F.count("*").alias("new_tracks"))
@@ -155,7 +155,7 @@ def discovery_enriched(events: DataFrame) -> DataFrame:
 def geography_evolution(events: DataFrame, artists: DataFrame) -> DataFrame:
     """Events by the artist's country. After the count by artist an artist is one row of a year and era, so its distinct
     count is a plain one."""
-    counts = events.groupBy(*YE, "artist_key").agg(F.count("*").alias("n")).join(artists.select("artist_key", "country"), "artist_key", "left")
+    counts = events.groupBy(*YE, "artist_key").agg(F.sum("n").alias("n")).join(artists.select("artist_key", "country"), "artist_key", "left")
     g = counts.groupBy(*YE, F.coalesce("country", F.lit("unknown")).alias("country")).agg(F.sum("n").alias("scrobbles"), F.count("*").alias("unique_artists"))
     share = F.col("scrobbles") / F.sum("scrobbles").over(Window.partitionBy(*YE))  # one row for a country
     return g.withColumns({"share_of_year": share, "country_known": F.col("country") != "unknown"})
@@ -165,7 +165,9 @@ TIME_KEYS = ["local_year", "local_month", "tracking_era", "timezone_period", "lo
 
 
 def time_patterns(local: DataFrame) -> DataFrame:
-    return local.groupBy(*TIME_KEYS).agg(F.count("*").alias("scrobbles"), F.count_distinct("artist_key").alias("unique_artists"))
+    """Prepared events with local time by hour of the local week. They are counted by name before keys are made."""
+    counts = local.groupBy(*TIME_KEYS, "artist_name").agg(F.count("*").alias("n")).withColumn("artist_key", artist_key("artist_name"))
+    return counts.groupBy(*TIME_KEYS).agg(F.sum("n").alias("scrobbles"), F.count_distinct("artist_key").alias("unique_artists"))
 
 
 # What the mart says of a year.
@@ -184,9 +186,9 @@ def era_comparison(events: DataFrame, current_year: int) -> DataFrame:
     return y.withColumn("comparison_note", F.when(F.col("partial_calendar_year"), NOTES[True]).otherwise(NOTES[False]))
 
 
-def build_marts(events: DataFrame, artists: DataFrame, weights: DataFrame, periods: list[Period], current_year: int) -> dict[str, DataFrame]:
-    """All enriched marts of events from :func:`keyed` and their artists."""
-    local = local_time(events, periods)
+def build_marts(events: DataFrame, prepared: DataFrame, artists: DataFrame, weights: DataFrame, periods: list[Period], current_year: int) -> dict[str, DataFrame]:
+    """All enriched marts of counts from :func:`keyed`, the prepared events themselves for the hourly one, and their artists."""
+    local = local_time(prepared, periods)
     return {
         "artist_profile": artist_profile(events, artists, weights), "genre_evolution": genre_evolution(events, weights), "artist_evolution": artist_evolution(events),
         "concentration": concentration(events), "diversity": diversity(events), "discovery_enriched": discovery_enriched(events),
@@ -203,7 +205,7 @@ SORTED = {
 def coverage(events: DataFrame, artists: DataFrame, weights: DataFrame) -> DataFrame:
     """One row: events before and after the join, the size of the event-tag association, and shares of events whose artist
     has a kept tag, a genre tag, a country. One pass over counts by artist."""
-    counts = events.groupBy("artist_key").agg(F.count("*").alias("n")).join(artists.select("artist_key", "country"), "artist_key", "left")
+    counts = events.groupBy("artist_key").agg(F.sum("n").alias("n")).join(artists.select("artist_key", "country"), "artist_key", "left")
     counts = counts.select("artist_key", "n", F.when(F.col("country").isNotNull(), F.col("n")).otherwise(0).alias("placed"))
     tags = weights.groupBy("artist_key").agg(F.count("*").alias("tags"), F.count_if(F.col("tag_category") == "genre_style").alias("genres"))
     j = counts.join(tags, "artist_key", "left")
@@ -217,7 +219,8 @@ def coverage(events: DataFrame, artists: DataFrame, weights: DataFrame) -> DataF
 
 def profile(events: DataFrame) -> DataFrame:
     """One row: events, artists, years and eras."""
+    of = lambda era: F.coalesce(F.sum(F.when(F.col("tracking_era") == era, F.col("n"))), F.lit(0))
     return events.agg(
-        F.count("*").alias("events_analyzed"), F.count_distinct("artist_key").alias("artists_enriched"), F.count_distinct("year").alias("years_analyzed"),
-        F.count_if(F.col("tracking_era") == PARTIAL).alias("partial_tracking_events"), F.count_if(F.col("tracking_era") == CONSISTENT).alias("consistent_tracking_events"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("events_analyzed"), F.count_distinct("artist_key").alias("artists_enriched"), F.count_distinct("year").alias("years_analyzed"),
+        of(PARTIAL).alias("partial_tracking_events"), of(CONSISTENT).alias("consistent_tracking_events"),
     )

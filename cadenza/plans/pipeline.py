@@ -75,7 +75,7 @@ def build_enriched(
     events = enriched.keyed(silver_events, boundary).persist()
     enriched.check_bridge(events, artists)
     weights = enriched.tag_weights(spark.read.parquet(tags_path), taxonomy, most_tags).persist()
-    marts = enriched.build_marts(events, artists, weights, periods, year)
+    marts = enriched.build_marts(events, gold.prepare(silver_events, boundary), artists, weights, periods, year)
     for name, df in marts.items():
         quality.require(df, quality.mart_rules(df), name)
     n = silver_events.count()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import event_id, null_if_blank
@@ -30,6 +30,17 @@ def _text(path: str):
     return null_if_blank(F.try_variant_get(F.col("track"), path, "string"))
 
 
+def reject_reason(second: Column, required: tuple[str, ...], is_object: Column | None = None, now: Column | None = None) -> Column:
+    """Why a record is no event, or null if it is one: the first of these that holds. ``second`` is null if unreadable;
+    the required fields that are null or blank are listed."""
+    missing = F.concat_ws(",", *[F.when(null_if_blank(c).isNull(), F.lit(c)) for c in required])
+    is_object, now = F.lit(True) if is_object is None else is_object, F.lit(None).cast("string") if now is None else now
+    return (
+        F.when(~is_object, "record_is_not_an_object").when(now == "true", "now_playing").when(second.isNull(), "invalid_scrobble_timestamp")
+        .when(missing != "", F.concat(F.lit("missing_required:"), missing))
+    )
+
+
 def read_tracks(flat: DataFrame) -> DataFrame:
     """Flat rows with the fields of the track and ``reason``: null for a completed event, "now_playing" for one that is
     skipped, else why it is rejected. Reasons are tried in a fixed order; missing fields are listed."""
@@ -42,12 +53,7 @@ def read_tracks(flat: DataFrame) -> DataFrame:
         "lastfm_track_url": _text("$.url"),
     })
     t = t.withColumn("second", second).withColumn("second", F.when(F.col("second").between(0, 4_133_980_799), F.col("second")))  # years 1970 to 2100
-    missing = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in ("user", "artist_name", "track_name")])
-    reason = (
-        F.when(~F.col("is_object"), "record_is_not_an_object").when(F.col("now") == "true", "now_playing").when(F.col("second").isNull(), "invalid_scrobble_timestamp")
-        .when(missing != "", F.concat(F.lit("missing_required:"), missing))
-    )
-    return t.withColumn("reason", reason)
+    return t.withColumn("reason", reject_reason(F.col("second"), ("user", "artist_name", "track_name"), F.col("is_object"), F.col("now")))
 
 
 def accepted(tracks: DataFrame, source: str) -> DataFrame:

@@ -14,7 +14,7 @@ from datetime import datetime, timezone
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import ContractError
@@ -104,9 +104,14 @@ def complete(states: DataFrame) -> DataFrame:
 
 def completed_runs(spark: SparkSession, root: str) -> DataFrame:
     """Complete runs whose files on disk are the pages of their state too, by start and id."""
-    on_disk = page_files(spark, root).select("folder", "page").groupBy("folder").agg(F.collect_set("page").alias("files"))
-    both = complete(runs(spark, root)).join(on_disk, "folder").where(_is_full("files", "expected_pages"))
-    return both.drop("files").orderBy("started_at", "run_id")
+    files = page_files(spark, root).select("folder", "page")
+    return with_all_files(complete(runs(spark, root)), files, "folder").orderBy("started_at", "run_id")
+
+
+def with_all_files(states: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """Runs that have each of their expected pages among files (key, page), and no others."""
+    on_disk = files.groupBy(key).agg(F.collect_set("page").alias("files"))
+    return states.join(on_disk, key).where(_is_full("files", "expected_pages")).drop("files")
 
 
 def latest_incomplete(states: DataFrame) -> DataFrame:
@@ -114,20 +119,28 @@ def latest_incomplete(states: DataFrame) -> DataFrame:
     return states.where((F.col("mode") == "backfill") & F.col("status").isin("running", "failed")).orderBy(F.desc("started_at"), F.desc("run_id")).limit(1)
 
 
+def is_page(document: str) -> Column:
+    """Whether a text is a page document: an object at payload.recenttracks."""
+    shape = F.try_variant_get(F.try_parse_json(document), "$.payload.recenttracks", "variant")
+    return F.coalesce(F.to_json(shape).startswith("{"), F.lit(False))
+
+
 def pages_of(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
     """(run_id, page, document) of the runs in ``wanted``; raises for a page that is no page document."""
     docs = page_files(spark, root).join(wanted.select("folder", "run_id"), "folder").select("run_id", "page", "document")
-    shape = F.try_variant_get(F.try_parse_json("document"), "$.payload.recenttracks", "variant")
-    ok = F.coalesce(F.to_json(shape).startswith("{"), F.lit(False))
-    bad = docs.where(~ok).select("run_id", "page").first()
+    bad = docs.where(~is_page("document")).select("run_id", "page").first()
     if bad:
         raise ContractError(f"run {bad.run_id}, page {bad.page}: not a page document")
     return docs
 
 
-def watermark(pages: DataFrame) -> int | None:
-    """The latest second of a completed record among pages (run_id, page, document); now-playing and unreadable ones do not
-    count. Meant for pages of completed runs, so that a failed run cannot move it."""
+def latest_second(pages: DataFrame) -> DataFrame:
+    """(watermark): the latest second of a completed record among pages (run_id, page, document), null if there is none;
+    now-playing and unreadable ones do not count. Meant for pages of completed runs, so that a failed run cannot move it."""
     from ..plans.silver import flatten, read_tracks
 
-    return read_tracks(flatten(pages)).where("coalesce(now, '') <> 'true'").agg(F.max("second")).first()[0]
+    return read_tracks(flatten(pages)).where("coalesce(now, '') <> 'true'").agg(F.max("second").alias("watermark"))
+
+
+def watermark(pages: DataFrame) -> int | None:
+    return latest_second(pages).first()[0]

@@ -101,7 +101,7 @@ def test_enriched(spark):
     enriched.check_bridge(keyed, artists)
     with pytest.raises(ContractError):
         enriched.check_bridge(keyed, artists.limit(1))
-    marts = enriched.build_marts(keyed, artists, w, periods_of(CONFIG), 2021)
+    marts = enriched.build_marts(keyed, gold.prepare(ev), artists, w, periods_of(CONFIG), 2021)
     g = {(r.year, r.genre_family): r for r in marts["genre_evolution"].collect()}
     assert round(g[2019, "folk"].weighted_scrobbles, 6) == round(3 * 4 / 7, 6)
     assert round(g[2019, "ambient"].genre_tag_coverage, 6) == round(1 / 7, 6)
