@@ -13,6 +13,7 @@ from .plans import enriched, gold, ingest, pipeline
 from .session import build_session
 from .sources import config
 from .sources.http import EntityProvider, PagedSource, RateLimiter, TagProvider
+from .storage import release
 
 
 class _Answer:
@@ -91,6 +92,7 @@ def main(argv: list[str] | None = None, transport=urllib_transport) -> dict:
             spark, f"{d}/silver/events", f"{d}/enrichment/normalized/artists", f"{d}/enrichment/normalized/artist_tags", enriched.taxonomy_table(spark, c),
             config.periods(o.periods), f"{d}/gold_enriched", most_tags=c.get("max_tags_per_artist", enriched.MAX_TAGS),
         )
+    release(spark)
     if getattr(o, "profile", False) or getattr(o, "full", False):
         print(json.dumps(out, ensure_ascii=False, indent=2, default=str))
     return out

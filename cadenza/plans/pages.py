@@ -22,6 +22,11 @@ def _int(c):
     return F.expr(f"try_cast(trim({c}) as int)")
 
 
+def paths_of(path: str, fields: dict[str, str]) -> list[str]:
+    """The schema paths that a flat table is made of."""
+    return [path, *[f"{path}/{member}" for member in fields.values()]]
+
+
 def page_numbers(nodes: DataFrame) -> DataFrame:
     """(doc_key, page_label, page): metadata.page, or "@attr".page of the payload where that is missing."""
     at = nodes.where(F.col("path").isin(META_PAGE, ATTR_PAGE)).withColumn("page_label", F.slice("label", 1, _depth(PAGE)))
@@ -50,17 +55,16 @@ def artist_ids(runs: DataFrame, key: str = "run_id", doc: str = "payload") -> Da
 
 def page_table(runs: DataFrame, key: str = "run_id", doc: str = "payload") -> DataFrame:
     """(run_id, label, parent_label, page, user, total_pages): one row for each page element that is an object."""
-    nodes = dewey_nodes(runs, key, doc)
     fields = {"meta_page": "metadata/page", "attr_page": "payload/recenttracks/@attr/page", "user": "payload/recenttracks/@attr/user", "total_pages": "payload/recenttracks/@attr/totalPages"}
-    t = flat_table(nodes, PAGE, fields)
+    t = flat_table(dewey_nodes(runs, key, doc, paths_of(PAGE, fields)), PAGE, fields)
     page = F.coalesce(_int("meta_page"), _int("attr_page"))
     return t.select(F.col("doc_key").alias("run_id"), "label", "parent_label", page.alias("page"), "user", _int("total_pages").alias("total_pages"))
 
 
 def track_table(runs: DataFrame, key: str = "run_id", doc: str = "payload") -> DataFrame:
     """(run_id, label, page_label, track_pos, name, mbid, url, uts, now_playing): one row for each track element that is an object."""
-    nodes = dewey_nodes(runs, key, doc)
-    t = flat_table(nodes, TRACK, {"name": "name", "mbid": "mbid", "url": "url", "uts": "date/uts", "now_playing": "@attr/nowplaying"})
+    fields = {"name": "name", "mbid": "mbid", "url": "url", "uts": "date/uts", "now_playing": "@attr/nowplaying"}
+    t = flat_table(dewey_nodes(runs, key, doc, paths_of(TRACK, fields)), TRACK, fields)
     return t.select(
         F.col("doc_key").alias("run_id"), "label", F.slice("label", 1, _depth(PAGE)).alias("page_label"),
         F.element_at("label", _depth(TRACK)).alias("track_pos"), "name", "mbid", "url", "uts", "now_playing",
@@ -69,10 +73,11 @@ def track_table(runs: DataFrame, key: str = "run_id", doc: str = "payload") -> D
 
 def reference_table(runs: DataFrame, key: str = "run_id", doc: str = "payload") -> DataFrame:
     """(run_id, label, track_label, kind, name, mbid): one row for each artist reference that is an object."""
-    nodes = dewey_nodes(runs, key, doc)
+    fields = {"text": "#text", "plain": "name", "mbid": "mbid"}
+    nodes = materialise(dewey_nodes(runs, key, doc, [p for path in REFS for p in paths_of(path, fields)]), "nodes")  # parsed once, read for each kind
     out = None
     for path, kind in REFS.items():
-        t = flat_table(nodes, path, {"text": "#text", "plain": "name", "mbid": "mbid"}).select(
+        t = flat_table(nodes, path, fields).select(
             F.col("doc_key").alias("run_id"), "label", F.slice("label", 1, _depth(TRACK)).alias("track_label"),
             F.lit(kind).alias("kind"), F.coalesce("text", "plain").alias("name"), "mbid",
         )

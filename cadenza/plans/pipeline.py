@@ -12,7 +12,7 @@ from ..functions.calendar import Period
 from ..functions.text import canonical
 from ..operators import dedup, quality
 from ..operators.joins import ContractError
-from ..schemas import ARTISTS, TAGS, conform
+from ..schemas import ARTISTS, EVENTS, TAGS, conform
 from ..sources import landing
 from ..sources.cache import ResponseCache, cached_responses
 from ..sources.http import EntityProvider, SourceError, TagProvider
@@ -22,11 +22,30 @@ from ..storage import discard, materialise
 from . import enriched, enrichment, gold, silver
 
 
+def load_events(spark: SparkSession, path: str) -> DataFrame | None:
+    """The event table, or None where there is none yet."""
+    return load_or_none(spark, path, EVENTS)
+
+
+def merge_events(spark: SparkSession, path: str, new: DataFrame, full: bool = False) -> int:
+    """Merge accepted events into the table at ``path``, a folder for each day. An id stands for an instant, so its rows are all
+    of one day: only the days of ``new`` are read, checked and written. Returns the rows of these days."""
+    existing = None if full else load_events(spark, path)
+    if existing is not None:
+        days = [r[0] for r in new.select("scrobble_date").distinct().collect()]  # as many as the calendar has
+        existing = existing.where(F.col("scrobble_date").isin(days))
+    merged = materialise(silver.merge(existing, new), "merged")
+    quality.check_events(merged)
+    rows = replace_table(merged, path, "scrobble_date", only_parts=existing is not None)
+    discard(merged)
+    return rows
+
+
 def transform(spark: SparkSession, landing_root: str, root: str, full: bool = False, source: str = "provider") -> dict:
     """New completed runs into the event table at ``root``/events; with ``full``, all runs anew. Events are published first,
     then the rejects of these runs, then the list of processed runs and the description. Without new runs nothing changes."""
     runs = landing.completed_runs(spark, landing_root)
-    existing = None if full else load_or_none(spark, f"{root}/events")
+    existing = None if full else load_events(spark, f"{root}/events")
     done = None if full else load_or_none(spark, f"{root}/processed_runs")
     todo = runs if done is None else dedup.absent(runs, done, ["run_id"])
     if todo.isEmpty():
@@ -34,26 +53,25 @@ def transform(spark: SparkSession, landing_root: str, root: str, full: bool = Fa
             raise ContractError("there is no completed run")
         return {"runs": 0, "events": quality.check_events(existing), **silver.profile(existing).first().asDict()}
     tracks = materialise(silver.read_tracks(silver.flatten(landing.pages_of(spark, landing_root, todo))).drop("track"), "tracks")
-    new = silver.accepted(tracks, source)
-    merged = materialise(silver.merge(existing, new), "merged")
-    rows = quality.check_events(merged)
     counts = silver.counters(tracks).first().asDict()
     before = 0 if existing is None else existing.count()
-    counts["duplicates_removed"] = before + counts["completed_scrobbles"] - rows
-    profile = silver.profile(merged).first().asDict()
     ids = materialise(todo.select("run_id"), "ids")
-    replace_table(merged, f"{root}/events")
+    new = materialise(silver.accepted(tracks, source), "accepted")
+    merge_events(spark, f"{root}/events", new, full)
+    profile = silver.profile(load_events(spark, f"{root}/events")).first().asDict()
+    rows = profile["scrobble_count"]
+    counts["duplicates_removed"] = before + counts["completed_scrobbles"] - rows
     replace_rejects(silver.rejected(tracks), f"{root}/rejects/batch={landing.now().replace(':', '')}")
     replace_table(ids if done is None else done.select("run_id").unionByName(ids), f"{root}/processed_runs")
     write_json(spark, f"{root}/_metadata.json", {"last_transformed_at": landing.now(), "row_count": rows, "schema_version": 1, "last_run": counts | {"profile": profile}})
-    for df in (tracks, merged):
+    for df in (tracks, new):
         discard(df)
     return {"runs": ids.count(), "events": rows, **counts, **profile}
 
 
 def build_gold(spark: SparkSession, events_path: str, root: str, boundary: str = gold.BOUNDARY) -> dict:
     """The activity marts of an event table, checked and published together."""
-    events = spark.read.parquet(events_path)
+    events = load_events(spark, events_path)
     marts = gold.build_marts(events, boundary)
     checked = gold.validate_marts(marts, events.count())
     facts = gold.profile(events, marts, boundary).first().asDict()
@@ -70,7 +88,7 @@ def build_enriched(
 ) -> dict:
     """The enriched marts, checked and published together with coverage figures and insights."""
     year = current_year or datetime.now(timezone.utc).year
-    silver_events = spark.read.parquet(events_path)
+    silver_events = load_events(spark, events_path)
     artists = spark.read.parquet(artists_path)
     events = enriched.keyed(silver_events, boundary).persist()
     enriched.check_bridge(events, artists)
@@ -90,12 +108,16 @@ def build_enriched(
     return facts | {"marts": rows, "insights": found}
 
 
-def fetch_answers(asked: DataFrame, cache: ResponseCache, entities: EntityProvider | None, tags: TagProvider | None, progress: Callable[[int], None] | None = None, every: int = 10) -> dict[str, int]:
+def fetch_answers(asked: DataFrame, cache: ResponseCache, entities: EntityProvider | None, tags: TagProvider | None, progress: Callable[[list[str], list[tuple[str, str, str]]], None] | None = None, every: int = 10) -> dict[str, int]:
     """Ask the providers for what the cache lacks, on the driver and one by one, as their rate limits demand. Every answer is
-    in the cache before the next is asked, so nothing is lost between two calls of ``progress``."""
+    in the cache before the next is asked, so nothing is lost between two calls of ``progress``, which takes the keys and the
+    requests of the last ``every`` artists."""
+    keys: list[str] = []
+    requests: list[tuple[str, str, str]] = []
     stats = {"api_requests": 0, "errors": 0}
 
     def ask(provider: str, kind: str, identity: str, call: Callable[[], object]) -> dict:
+        requests.append((provider, kind, identity))
         known = cache.load(provider, kind, identity)
         if known and known["status"] != "error":
             return known
@@ -123,8 +145,11 @@ def fetch_answers(asked: DataFrame, cache: ResponseCache, entities: EntityProvid
                 ask("entities", "artist", f"name:{canonical(name)}", search)
         if tags:
             ask("tags", "artist", r.artist_key, lambda: tags.top_tags(name))  # noqa: B023
+        keys.append(r.artist_key)
         if progress and i % every == 0:
-            progress(i)
+            progress(keys[:], requests[:])
+            keys.clear()
+            requests.clear()
     return stats
 
 
@@ -160,11 +185,12 @@ def resolved_artists(asked: DataFrame, cache: DataFrame) -> DataFrame:
 
 def enrich_artists(
     spark: SparkSession, events_path: str, cache_root: str, root: str, entities: EntityProvider | None = None, tags: TagProvider | None = None, limit: int | None = None,
-    from_cache: bool = False, overrides: DataFrame | None = None, tag_limit: int = 20, source: str = "provider",
+    from_cache: bool = False, overrides: DataFrame | None = None, tag_limit: int = 20, source: str = "provider", every: int = 10,
 ) -> dict:
-    """Artists and tags at ``root``/artists and ``root``/artist_tags. Rows that are there and no error are kept as they are
+    """Artists and tags at ``root``/artists and ``root``/artist_tags, where those of every ``every`` artists can be read while
+    the others are still asked for. Rows that are there and no error are kept as they are
     and cost no request; with ``from_cache`` no request is made at all."""
-    events = spark.read.parquet(events_path)
+    events = load_events(spark, events_path)
     asked = enrichment.best_identity(enrichment.by_volume(enrichment.entities(events), limit), overrides)
     asked = materialise(asked, "asked")
     kept = load_or_none(spark, f"{root}/artists")
@@ -172,14 +198,26 @@ def enrich_artists(
         kept = materialise(kept.where("resolution_status <> 'error'"), "kept")
         asked = dedup.absent(asked, kept, ["artist_key"])
     stats = {"api_requests": 0, "errors": 0}
+    made = lambda cache, of: resolved_artists(asked if of is None else asked.where(F.col("artist_key").isin(of)), cache)
+
+    def tagged(cache: DataFrame, of: DataFrame) -> DataFrame:
+        answers = cache.where("provider = 'tags' and status = 'success'").select(F.col("request_identity").alias("artist_key"), "retrieved_at", "response")
+        return conform(enrichment.tags_of(dedup.present(answers, of.select("artist_key"), ["artist_key"]), limit=tag_limit, source=source), TAGS)
+
+    def checkpoint(keys: list[str], requests: list[tuple[str, str, str]]) -> None:
+        """The last few artists and their tags are appended; the whole tables take their place at the end."""
+        some = ResponseCache(cache_root).frame(spark, requests)
+        rows = materialise(made(some, keys).where("resolution_status <> 'error'"), "checkpoint")
+        tagged(some, rows).write.mode("append").parquet(f"{root}/artist_tags")
+        rows.write.mode("append").parquet(f"{root}/artists")
+        discard(rows)
+
     if not from_cache:
-        stats = fetch_answers(asked, ResponseCache(cache_root), entities, tags)
+        stats = fetch_answers(asked, ResponseCache(cache_root), entities, tags, checkpoint, every)
     cache = cached_responses(spark, cache_root)
-    fresh = resolved_artists(asked, cache)
+    fresh = made(cache, None)
     replace_table(fresh if kept is None else kept.unionByName(fresh), f"{root}/artists")
-    answers = cache.where("provider = 'tags' and status = 'success'").select(F.col("request_identity").alias("artist_key"), "retrieved_at", "response")
-    known = spark.read.parquet(f"{root}/artists").select("artist_key")
-    replace_table(conform(enrichment.tags_of(dedup.present(answers, known, ["artist_key"]), limit=tag_limit, source=source), TAGS), f"{root}/artist_tags")
+    replace_table(tagged(cache, spark.read.parquet(f"{root}/artists")), f"{root}/artist_tags")
     covered = enrichment.coverage(events, spark.read.parquet(f"{root}/artists"), spark.read.parquet(f"{root}/artist_tags")).first().asDict()
     write_json(spark, f"{root}/_metadata.json", {"generated_at": landing.now(), "coverage": covered, "stats": stats})
     return stats | covered

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from pathlib import Path
 from typing import Any
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import UNIT
-from ..schemas import CACHE
+from ..schemas import CACHE, columns
 from .landing import now, read_json, write_json
 
 STATUS = ("success", "not_found", "error")
@@ -39,6 +40,13 @@ class ResponseCache:
         return doc
 
 
+    def frame(self, spark: SparkSession, requests: list[tuple[str, str, str]]) -> DataFrame:
+        """The documents of some requests as :func:`cached_responses` gives them all."""
+        docs = [d for r in requests if (d := self.load(*r))]
+        rows = [tuple(json.dumps(d.get(n), ensure_ascii=False) if n == "response" and d.get(n) is not None else d.get(n) for n, _ in columns(CACHE)) for d in docs]
+        return spark.createDataFrame(rows, CACHE)
+
+
 def cached_responses(spark: SparkSession, root: str) -> DataFrame:
     """All documents under ``root`` as a table; ``response`` is JSON text. Documents that would be a miss are left out."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)

@@ -26,7 +26,8 @@ def _swap(spark: SparkSession, staged: str, target: str) -> None:
     """Rename ``staged`` to ``target``; what was there is set aside first and removed after."""
     fs, to = _fs(spark, target)
     _, frm = _fs(spark, staged)
-    _, aside = _fs(spark, f"{target.rstrip('/')}.old-{uuid.uuid4().hex[:8]}")
+    parent, _, name = target.rstrip("/").rpartition("/")
+    _, aside = _fs(spark, f"{parent}/_old-{uuid.uuid4().hex[:8]}-{name}")  # a name that readers pass over
     fs.mkdirs(to.getParent())
     had = fs.exists(to)
     if had:
@@ -39,17 +40,30 @@ def _swap(spark: SparkSession, staged: str, target: str) -> None:
         fs.delete(aside, True)
 
 
-def replace_table(df: DataFrame, path: str) -> int:
-    """Write ``df`` beside ``path``, read it back, and swap it in; the plan may read ``path`` itself. Returns the rows."""
+def replace_table(df: DataFrame, path: str, by: str | None = None, only_parts: bool = False) -> int:
+    """Write ``df`` beside ``path``, read it back, and swap it in; the plan may read ``path`` itself. Returns the rows.
+
+    ``by`` is a column that makes a folder for each of its values. With ``only_parts`` the folders of the values in ``df`` are
+    swapped one by one and the others stay as they are; each is whole at any time."""
     spark = df.sparkSession
     staged = f"{path.rstrip('/')}.new-{uuid.uuid4().hex[:8]}"
     try:
-        df.write.parquet(staged)
-        back = spark.read.parquet(staged)
-        if [f.name for f in back.schema] != df.columns:
+        if by is None:
+            df.write.parquet(staged)
+            back = spark.read.parquet(staged)
+        else:
+            df.hint("rebalance", by).write.partitionBy(by).parquet(staged)
+            back = spark.read.schema(df.schema).parquet(staged)
+        if sorted(f.name for f in back.schema) != sorted(df.columns):
             raise ContractError(f"{path}: read back with other columns")
         rows = back.count()
-        _swap(spark, staged, path)
+        if only_parts:
+            fs, p = _fs(spark, staged)
+            for part in sorted(s.getPath().getName() for s in fs.listStatus(p)):
+                if part.startswith(f"{by}="):
+                    _swap(spark, f"{staged}/{part}", f"{path.rstrip('/')}/{part}")
+        else:
+            _swap(spark, staged, path)
         return rows
     finally:
         fs, p = _fs(spark, staged)

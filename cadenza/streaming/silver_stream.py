@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from ..operators.dedup import present
 from ..plans import silver
+from ..plans.pipeline import merge_events
 from ..sources import landing
-from ..sources.publish import replace_table
-from ..sources.tables import load_or_none
-from ..storage import materialise
+from ..storage import discard, materialise
 
 
 def page_stream(spark: SparkSession, root: str) -> DataFrame:
@@ -34,9 +33,9 @@ def merge_batch(root: str, events_path: str, source: str):
         if touched.isEmpty():
             return
         pages = landing.pages_of(spark, root, touched)
-        new = silver.accepted(silver.read_tracks(silver.flatten(pages)), source)
-        merged = materialise(silver.merge(load_or_none(spark, events_path), new), "stream")
-        replace_table(merged, events_path)
+        new = materialise(silver.accepted(silver.read_tracks(silver.flatten(pages)), source).drop("track"), "stream")
+        merge_events(spark, events_path, new)
+        discard(new)
 
     return run
 

@@ -151,6 +151,12 @@ def test_transform_full_noop_incremental(spark, tmp_path):
     assert spark.read.parquet(f"{silver}/processed_runs").count() == 2
     about = read_json(spark, f"{silver}/_metadata.json")
     assert about["row_count"] == 2
+    # a batch of another day leaves the files of the days before alone
+    days = lambda: {p.name: sorted(f.name for f in p.iterdir()) for p in (tmp_path / "silver" / "events").iterdir() if p.is_dir()}
+    old = days()
+    land(bronze, "20240106T000000Z", [track(name="later", uts="1709000000"), track(name="later", uts="1709000000")])
+    assert pipeline.transform(spark, str(bronze), silver)["events"] == 3
+    assert len(days()) == 2 and days().items() >= old.items()
     assert str(tmp_path) not in json.dumps(about)
     land(bronze, "20240105T000000Z", [track()], files=(1,))
     (landing.run_folder(bronze, "20240105T000000Z") / "page_0001.json").write_text("{", encoding="utf-8")
@@ -218,6 +224,31 @@ def test_enrich_gold_and_marts(spark, tmp_path):
         consumer.tiles(spark, f"{d}/nothing")
 
 
+def test_checkpoints(spark, tmp_path):
+    """What was answered before a crash is in the tables already, and is not asked for again."""
+    bronze, d = tmp_path / "bronze", str(tmp_path)
+    land(bronze, "20240101T000000Z", [track(artist=f"Name {i}", uts=str(1700000000 + i)) for i in range(5)])
+    pipeline.transform(spark, str(bronze), f"{d}/silver")
+    asked = []
+
+    def transport(url, params, headers, timeout):
+        asked.append(params)
+        if len(asked) > 8 and len(asked) < 100:
+            raise KeyboardInterrupt
+        if "query" in params:
+            return Answer({"artists": [{"id": params["query"], "name": params["query"][8:-1], "score": 90}]})
+        return Answer({"toptags": {"tag": [{"name": "Rock", "count": 3}]}})
+
+    args = (spark, f"{d}/silver/events", f"{d}/cache", f"{d}/norm", EntityProvider(transport, "http://e", "a", RateLimiter(0)), TagProvider(transport, "http://t", "k", RateLimiter(0)))
+    with pytest.raises(KeyboardInterrupt):
+        pipeline.enrich_artists(*args, every=2)
+    assert spark.read.parquet(f"{d}/norm/artists").where("resolution_status = 'resolved'").count() == 4
+    assert spark.read.parquet(f"{d}/norm/artist_tags").count() == 4
+    asked += [None] * 100
+    got = pipeline.enrich_artists(*args, every=2)
+    assert (got["api_requests"], got["resolved_artists"], got["tagged_artists"]) == (2, 5, 5)
+
+
 def test_cache(spark, tmp_path):
     c = ResponseCache(tmp_path)
     assert c.load("p", "artist", "x") is None
