@@ -177,8 +177,10 @@ def _compose_marks(t: Tables, out: np.ndarray, offs: np.ndarray) -> tuple[np.nda
     rank = np.arange(len(out)) - seg
     gone = np.zeros(len(out), bool)
     last = np.zeros(len(out), np.uint8)  # class of the last mark that stayed, by starter
-    for r in range(1, int(rank.max(initial=0)) + 1):
-        i = np.flatnonzero(rank == r)
+    marks = np.flatnonzero(rank > 0)
+    marks = marks[np.argsort(rank[marks], kind="stable")]
+    ends = np.flatnonzero(np.diff(rank[marks], append=-1)) + 1
+    for i in np.split(marks, ends[:-1]) if len(marks) else ():  # first marks, second marks and so on; each mark is looked at once
         s = seg[i]
         new = t.compose(out[s], out[i])
         take = (new > 0) & (last[s] < ccc[i]) & (t.ccc[out[s]] == 0)

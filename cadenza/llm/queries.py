@@ -20,6 +20,14 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return entities.same_pairs(entities.link_names(load(spark, root, "artist_profile")))
 
 
+def p4_classes(spark: SparkSession, root: str) -> DataFrame:
+    """Each artist row with its class, named by the least key in it, and the number of other rows in it: membership, however
+    many spellings an artist has."""
+    of = materialise(entities.link_names(load(spark, root, "artist_profile")), "clusters")
+    sizes = of.groupBy("cluster").agg(F.min("key").alias("class"), (F.count_distinct("key") - 1).alias("n_links"))
+    return of.join(sizes, "cluster").select(F.col("key").alias("artist_key"), "class", "n_links").distinct()
+
+
 def _plays(spark: SparkSession, root: str) -> DataFrame:
     clusters = entities.link_names(load(spark, root, "artist_profile"))
     return plays.play_rows(load(spark, root, "scrobbles"), clusters)
@@ -76,7 +84,7 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p5_found": p5_found, "p5_pairs": p5_pairs,
+    "p1_found": p1_found, "p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_pairs": p5_pairs,
     "p6_found": p6_found, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_shares": p10_shares,
 }
 

@@ -1,4 +1,5 @@
 import random
+import time
 import unicodedata
 
 import pyarrow as pa
@@ -38,3 +39,11 @@ def test_agrees_with_nfkc(monkeypatch):
 def test_idempotent():
     got, _ = one("Ｓｅñａｌ‍", "Ρіrmassun  ", "x　y")
     assert one(*got) == (got, [False] * 3)
+
+
+def test_very_many_marks():
+    text = "e" + "\u0301\u0323" * 30_000 + " a\u0300b"
+    start = time.perf_counter()
+    form, _ = normal_form(pa.array([text, "x"]))
+    assert form.to_pylist() == [unicodedata.normalize("NFC", text), "x"]
+    assert time.perf_counter() - start < 20
