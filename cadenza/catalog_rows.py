@@ -196,3 +196,42 @@ SELECT row_number() OVER (ORDER BY year_month, tracking_era) - 1 AS place, * FRO
     "events_with_country": f"WITH {LANDED} SELECT scrobble_id, country, resolution_status FROM (SELECT scrobble_id, {KEY} AS artist_key FROM e WHERE artist_name IS NOT NULL AND track_name IS NOT NULL) LEFT JOIN artist_profile USING (artist_key)",
     "artists_one_to_one": "SELECT artist_key, country, resolution_status FROM artist_profile",
 }
+
+
+def _elements(x: str) -> str:
+    """A value as a list: an array's elements, a lone value alone, nothing for an absent one."""
+    return f"CASE WHEN {x} IS NULL THEN [] WHEN json_type({x}) = 'ARRAY' THEN json_extract({x}, '$[*]') ELSE [{x}] END"
+
+
+def _step(name: str, before: str, key: str) -> str:
+    """The nodes below a member, with the ordinals of the member and of the element at the end of their labels."""
+    value = f"json_extract(d, '$.\"{key}\"')"
+    return f"""{name} AS (SELECT run_id, list_concat(label, [k, i]) AS label, d FROM (SELECT run_id, label, list_position(json_keys(d), '{key}')::INTEGER - 1 AS k,
+  unnest({_elements(value)}) AS d, unnest(range(len({_elements(value)})))::INTEGER AS i FROM {before} WHERE json_type(d) = 'OBJECT' AND {value} IS NOT NULL))"""
+
+
+def _first(*keys: str) -> str:
+    """The first scalar below a chain of members, as text."""
+    found = "[d]"
+    for n, key in enumerate(keys):
+        value = f"json_extract(x{n}, '$.\"{key}\"')"
+        found = f"flatten(list_transform({found}, lambda x{n}: {_elements(value)}))"
+    return f"json_extract_string(list_filter({found}, lambda y: json_type(y) IN {_SCALAR})[1], '$')"
+
+
+def _whole(text: str) -> str:
+    return f"CASE WHEN regexp_matches(trim({text}, ' '), '^[+-]?[0-9]{{1,9}}$') THEN trim({text}, ' ')::INTEGER END"
+
+
+_NODES = ",\n".join([
+    "n0 AS (SELECT run_id, payload::JSON AS d, []::INTEGER[] AS label FROM run_metadata WHERE json_valid(payload))", _step("pg", "n0", "pages"), _step("pl", "pg", "payload"),
+    _step("rt", "pl", "recenttracks"), _step("tr", "rt", "track"), _step("ra", "tr", "artist"), _step("cr", "tr", "credits"), _step("ca", "cr", "artist"), _step("cm", "cr", "members"),
+])
+_REF = lambda t, kind: f"SELECT run_id, label, label[:8] AS track_label, '{kind}' AS kind, coalesce({_first('#text')}, {_first('name')}) AS name, {_first('mbid')} AS mbid FROM {t} WHERE json_type(d) = 'OBJECT'"
+SQL |= {
+    "p3_pages": f"""WITH {_NODES} SELECT run_id, label, []::INTEGER[] AS parent_label, coalesce({_whole(_first('metadata', 'page'))}, {_whole(_first('payload', 'recenttracks', '@attr', 'page'))}) AS page,
+  {_first('payload', 'recenttracks', '@attr', 'user')} AS "user", {_whole(_first('payload', 'recenttracks', '@attr', 'totalPages'))} AS total_pages FROM pg WHERE json_type(d) = 'OBJECT'""",
+    "p3_tracks": f"""WITH {_NODES} SELECT run_id, label, label[:2] AS page_label, label[8] AS track_pos, {_first('name')} AS name, {_first('mbid')} AS mbid, {_first('url')} AS url, {_first('date', 'uts')} AS uts,
+  {_first('@attr', 'nowplaying')} AS now_playing FROM tr WHERE json_type(d) = 'OBJECT'""",
+    "p3_references": f"WITH {_NODES} " + " UNION ALL ".join(_REF(t, k) for t, k in (("ra", "artist"), ("ca", "credit_artist"), ("cm", "credit_member"))),
+}
