@@ -153,7 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _SCALAR = "('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE', 'BOOLEAN')"
-_TRIM = lambda x: f"nullif(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'), '')"
+_TRIM = lambda x: f"nullif(regexp_replace({x}, '^[\\s\\p{{Z}}\\x{{85}}]+|[\\s\\p{{Z}}\\x{{85}}]+$', '', 'g'), '')"
 _AT = lambda d, path: f"CASE WHEN json_type({d}, '{path}') IN {_SCALAR} THEN json_extract_string({d}, '{path}') END"
 PAGES = """
 l AS (SELECT run_id, status, pages_saved, expected_pages, CASE WHEN json_valid(payload) AND json_type(payload, '$.pages') = 'ARRAY' THEN json_extract(payload, '$.pages[*]') ELSE [] END AS l FROM run_metadata),
