@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
@@ -70,18 +70,17 @@ def _count_block(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def _light_pairs(light: DataFrame, least: int) -> DataFrame:
-    """(a, b, n) of pairs of rare items. Of the baskets, the ``least - 1`` largest are left out of the join: a pair with
-    ``least`` baskets must stand in another one too, and then it only probes the large ones. So a basket that holds a great
-    part of all rows makes no pairs of its own."""
+    """(a, b, n) of pairs of rare items. An item makes no pairs in its ``least - 1`` largest baskets: what it has in common with
+    another in ``least`` baskets stands in one of the others too, and such pairs then only probe the large ones. So a basket
+    that holds a great part of all rows makes pairs of those of its items only that have as large ones besides."""
     basket = ["block", "bit"]
-    large = light.groupBy(*basket).agg(F.count("*").alias("size")).orderBy(F.desc("size"), *basket).limit(max(0, least - 1))
-    large = materialise(large.select(*basket), "large")
-    rest = light.join(F.broadcast(large), basket, "left_anti")  # at most least - 1 rows
-    inside = light.join(F.broadcast(large), basket, "left_semi")
-    a, b = (rest.select(*basket, F.col("item").alias(x)) for x in "ab")
-    near = a.join(b, basket).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    own = [inside.select(*basket, F.col("item").alias(x)) for x in "ab"]
-    more = near.select("a", "b").join(own[0], "a").join(own[1], [*basket, "b"]).groupBy("a", "b").agg(F.count("*").alias("n"))
+    sizes = light.groupBy(*basket).agg(F.count("*").alias("size"))
+    place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("size"), *basket))  # a rare item has few baskets
+    ranked = materialise(light.join(sizes, basket).select(*basket, "item", (place < least).alias("large")), "ranked")
+    a = ranked.select(*basket, F.col("item").alias("a"), "large")
+    b = ranked.select(*basket, F.col("item").alias("b"))
+    near = materialise(a.where("not large").join(b, basket).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")), "near")
+    more = near.select("a", "b").join(a.where("large").select(*basket, "a"), "a").join(b, [*basket, "b"]).groupBy("a", "b").agg(F.count("*").alias("n"))
     return near.unionByName(more)
 
 

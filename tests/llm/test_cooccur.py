@@ -33,6 +33,14 @@ def test_random(spark, least, share):
     assert run(spark, rows, least=least, heavy_share=share) == brute(rows, least)
 
 
+def test_large_baskets_of_rare_items(spark):
+    """Several baskets with thousands of items that stand in few others: most items make no pairs there."""
+    rng = random.Random(2)
+    rows = [(f"b{k}", f"i{i}") for k in range(3) for i in rng.sample(range(3000), 1200)] + [(f"s{i}", f"i{j}") for i in range(400) for j in rng.sample(range(3000), 3)]
+    rows += [(f"t{k}", f"i{i}") for k in range(4) for i in (5, 6, 7)]
+    assert run(spark, rows, least=4) == brute(rows, 4)
+
+
 def test_long_lists_are_split(spark, monkeypatch):
     monkeypatch.setattr("cadenza.llm.cooccur.PROBES", 100)
     rng = random.Random(9)
