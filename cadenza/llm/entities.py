@@ -27,7 +27,7 @@ from ..storage import materialise
 from .graph import components
 from .names import FULL, MOST_SLIPS, agree, reduced, shape
 
-GRAM, COSINE, LINK, LARGE, NICK_WEIGHT = 3, 0.3, 0.15, 2000, 0.5
+GRAM, COSINE, LINK, LARGE, NICK_WEIGHT = 3, 0.3, 0.15, 500, 0.5
 SHAPE = ["heads", "letters_0", "letters_1", "core_0", "core_1", "size", "core_size", "tokens", "loose"]
 SHAPE_TYPES = "heads bigint, letters_0 bigint, letters_1 bigint, core_0 bigint, core_1 bigint, size int, core_size int, tokens int, loose boolean"
 

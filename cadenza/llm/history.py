@@ -166,8 +166,9 @@ class ChunkHistory:
         old = self.near(new)
         stored = new if old is None else old.unionByName(new)
         probing = new.withColumn("w", F.explode(probes(self.within_s))).withColumn("c", context(F.col("w"))).drop("w")
-        # only contexts that hold another record are looked into; that needs no more than two numbers of a record
-        busy = stored.select("c", F.col("id").alias("x")).join(probing.select("c", F.col("id").alias("y")), "c").where("x <> y").select("c").distinct()
+        # only contexts that hold another record are looked into: two numbers of a record, combined before they are shuffled
+        at = stored.select("c", "id", F.lit(False).alias("asks")).unionByName(probing.select("c", "id", F.lit(True).alias("asks")))
+        busy = at.groupBy("c").agg(F.min("id").alias("i"), F.max("id").alias("j"), F.max("asks").alias("asks")).where("i < j and asks").select("c")
         busy = materialise(busy, "busy")
         left = materialise(stored.join(busy, "c", "left_semi"), "left")
         right = materialise(probing.join(busy, "c", "left_semi"), "right")
