@@ -160,8 +160,9 @@ class ChunkHistory:
 
     def check(self, batch: DataFrame) -> DataFrame:
         """(a, run_a, b, run_b, same_t): the links of the batch's records with the history and with each other. ``batch`` is
-        (row_no, user, t, run, artist, title); t in microseconds. Repeated rows are one record; an empty batch has no links."""
-        rows = materialise(batch.select("row_no", "user", "t", "run", "artist", "title"), "batch")
+        (row_no, user, t, run, artist, title), read from a written table, as ``append`` reads it again; t in microseconds.
+        Repeated rows are one record; an empty batch has no links."""
+        rows = batch.select("row_no", "user", "t", "run", "artist", "title")
         new = materialise(chunk_table(records_of(rows), self.within_s), "new")
         old = self.near(new)
         stored = new if old is None else old.unionByName(new)
@@ -216,7 +217,7 @@ def run_batches(rows: DataFrame, batches: int) -> list[DataFrame]:
     return [rows.where(within(lo, hi)) for lo, hi in zip(lows, highs, strict=True)]
 
 
-def repeated_deliveries(rows: DataFrame, history: ChunkHistory, batches: int = 3) -> DataFrame:
+def repeated_deliveries(rows: DataFrame, history: ChunkHistory, batches: int = 2) -> DataFrame:
     """The ``deliveries`` of ``history`` after all rows have been checked against it and appended, run after run: the runs are
     taken in order in ``batches`` groups, within which rows are checked against each other too, so that the number of groups
     makes no difference. An empty table gives an empty table."""
