@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 from .graph import components
+from .laid import candidates
 from .names import FULL, MOST_SLIPS, agree, reduced, shape
 
 GRAM, COSINE, LINK, LARGE, NICK_WEIGHT = 3, 0.3, 0.15, 500, 0.5
@@ -135,19 +136,19 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similar_forms(vec: DataFrame, least: float = COSINE, top: int | None = None) -> DataFrame:
     """(fa, fb, sim), fa < fb: forms with a cosine ``sim`` of at least ``least`` whose tokens agree; with ``top`` only those that
-    are among the best ``top`` partners of one of them. Pairs whose shapes differ too much cannot agree and leave the join at
-    once; the cosine itself is taken last, for the pairs that agree."""
-    post = vec.select("fid", *SHAPE, F.explode(F.arrays_zip("grams", "length")).alias("p"))
-    post = post.select("fid", *SHAPE, F.col("p.grams").alias("g"), F.col("p.length").cast("float").alias("length")).where(F.col("length") >= least - 1e-4)
-    a, b = (post.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("fid", *SHAPE, "length")]) for s in "ab")
+    are among the best ``top`` partners of one of them. Forms meet in the words of :func:`laid.candidates`, which loses no pair
+    that agrees. Pairs whose shapes differ too much cannot agree and leave the join at once; the cosine itself is taken last,
+    for the pairs that agree."""
+    looks = vec.select("fid", *SHAPE)
+    a, b = (d.join(looks.hint("merge"), "fid").select("word", "initial", *[F.col(c).alias(f"{c}_{s}") for c in ("fid", *SHAPE)]) for d, s in zip(candidates(vec.select("fid", "form")), "ab", strict=True))
     half = lambda k, x, y: F.bit_count(F.col(f"core_{k}_{x}").bitwiseAND(F.bitwise_not(f"letters_{k}_{y}")))
     more = lambda x, y: half(0, x, y) + half(1, x, y)
     within = lambda x, y: (more(x, y) <= MOST_SLIPS) & (F.col(f"core_size_{x}") <= F.col(f"size_{y}") + MOST_SLIPS)
     close = within("a", "b") & within("b", "a") & (F.abs(F.col("size_a") - F.col("size_b")) <= MOST_SLIPS)
     alike = close | F.col("loose_a") & within("a", "b") | F.col("loose_b") & within("b", "a")
     alike = alike & (F.abs(F.col("tokens_a") - F.col("tokens_b")) <= 1) & (F.bit_count(F.col("heads_a").bitwiseXOR(F.col("heads_b"))) <= 3)
-    met = a.join(b, "g").where((F.col("fid_a") < F.col("fid_b")) & (F.col("length_a") * F.col("length_b") >= least - 1e-4) & alike)
-    pairs = met.select(F.col("fid_a").alias("fa"), F.col("fid_b").alias("fb")).distinct()
+    met = a.hint("merge").join(b, ["word", "initial"]).where((F.col("fid_a") != F.col("fid_b")) & alike)
+    pairs = met.select(F.least("fid_a", "fid_b").alias("fa"), F.greatest("fid_a", "fid_b").alias("fb")).distinct()
     side = lambda cols, s: vec.select(F.col("fid").alias(f"f{s}"), *[F.col(c).alias(f"{c}_{s}") for c in cols])
     named = pairs.join(side(["form"], "a"), "fa").join(side(["form"], "b"), "fb").select("fa", "fb", "form_a", "form_b")
     agreed = materialise(named.mapInArrow(_agreeing, "fa bigint, fb bigint"), "agreed")
