@@ -1,14 +1,12 @@
 """Variant spellings of names (problem 4).
 
 Names become reduced forms; distinct forms get idf-weighted vectors of character 3-grams, in which a nickname also holds the
-n-grams of the names it stands for; a sparse join over their rarest n-grams finds every pair of forms with a cosine of at
-least ``cosine``; pairs whose tokens cannot be laid on each other lose theirs (an exact check: two people of one rare surname have a
-high cosine too); average-linkage clustering over the cosines groups the units (an id, or spellings without id that share a
+n-grams of the names it stands for; forms meet by words that may stand for each other (:mod:`laid`); of the pairs whose tokens
+can be laid on each other (an exact check: two people of one rare surname have a high cosine too) those with a cosine of at
+least ``cosine`` stay; average-linkage clustering over the cosines groups the units (an id, or spellings without id that share a
 form) whose mean is high enough.
 
-``top`` keeps the best partners of each form only; by default it is unbounded and no partner is lost. What two vectors share
-lies behind their first common n-gram, rarest first; if the lengths of both from there on multiply to less than the threshold,
-that n-gram is not the first of a pair that reaches it, so the join leaves such pairs of postings out and loses nothing.
+``top`` keeps the best partners of each form only; by default it is unbounded and no partner is lost.
 """
 
 from __future__ import annotations
